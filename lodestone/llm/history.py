@@ -81,7 +81,7 @@ class HistoryTable:
         mine = "a.tag <> b.tag"
         pairs = join_regions(region_rows(texts, self.theta, False, *self.order), self._read("smaller"), self.theta, mine).union(join_regions(self._read("larger"), region_rows(texts, self.theta, True, *self.order), self.theta, mine))
         # a text whose equal is held: sizes are equal and the batch has the smaller rid, so the second join finds it
-        near = verify(materialize(pairs, "candidates"), texts.select("rid", "words").union(self._read("texts").select("rid", "words")), self.theta)
+        near = verify(materialize(pairs, "candidates"), texts.select("rid", "n", "words").union(self._read("texts").select("rid", "n", "words")), self.theta)
         hit = near.select(F.least("a", "b").alias("rid")).distinct().select((-1 - F.col("rid")).alias("rid"), F.lit(True).alias("held"))
         got = members.join(hit, "rid", "left").select(F.col("doc").alias(id_col), F.coalesce("held", F.lit(False)).alias("held"))
         return batch.select(id_col).join(got, id_col, "left").select(id_col, F.coalesce("held", F.lit(False)).alias("held"))

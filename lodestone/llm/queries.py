@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..session import load, materialize, ship
 from .cross_split import cross_split_overlaps
 from .history import held_intake
+from .mixing import mixture
 from .near_dups import group_pairs, near_duplicate_groups
+from .packing import pack
+from .split_items import split_oversized
 from .survivors import Trust, survivors, undisputed
+from .tokens import with_tokens
 
 #: Thresholds that TESTDATA.md fixes.
 MEMORY_SHARE, QUERY_SHARE = 0.70, 0.60
+CHUNK_LIMIT, CHUNK_OVERLAP, CONTAINER = 4000, 200, 2048
 BEST = ["pinned", "importance", "access_count", "created_at"]
 TRUST = Trust("source_kind", {"decision": 2.0, "agent-memory": 1.5}, 1.0, "created_at", "2026-07-01")
 
@@ -23,6 +28,15 @@ def _memory_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(rows, "id", text, MEMORY_SHARE)
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk in pieces of at most 4,000 characters."""
+    return split_oversized(load(spark, sf_dir, "code_chunks"), "id", "content", "start_line", CHUNK_LIMIT, CHUNK_OVERLAP)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pieces(spark, sf_dir).where("piece = 2").select("id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cross_split_overlaps(load(spark, sf_dir, "recall_eval"), "id", "query", "split", "train", QUERY_SHARE)
     return got.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
@@ -80,7 +94,36 @@ def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(_grouped(spark, sf_dir), "group_id", ["type", "title", "content", "source_kind", "status", "source_uri", "summary"], BEST, TRUST)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_batches, p7_found, p7_survivors)}
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = materialize(with_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text"), "tokens")
+    return pack(sized, "doc_id", "tokens", CONTAINER)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir).where("piece = 2").select("doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return _containers(spark, sf_dir)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(with_tokens(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"), "tokens")
+    return mixture(sized, "doc_id", "tokens", "source", load(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the mixture, in output shards."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the tokens that each source reached."""
+    return _mixed(spark, sf_dir)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_batches, p7_found, p7_survivors, p8_found, p8_containers, p9_mixture, p9_report)}
 
 
 def queries() -> dict:

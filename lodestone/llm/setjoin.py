@@ -145,11 +145,59 @@ def join_regions(larger: DataFrame, smaller: DataFrame, theta: float, allow: str
     return larger.alias("a").join(smaller.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
 
+#: Bits of the filter that spares texts without candidates a shuffle: 1 MB, whatever the size of the input.
+FILTER_BITS = 1 << 23
+
+
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = _mix(ids, np.full(len(ids), 7, np.int64)).view(np.uint64)
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def thin(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """df (rid, words) without most rows whose rid is not in ids (rid): a filter of fixed size, which never drops one that is."""
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    all_bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.select("rid").coalesce(8).mapInArrow(collect, "bits binary").collect():  # at most 8 of 1 MB
+        all_bits |= np.frombuffer(row["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(all_bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            one, two = _bits(batch.column("rid").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(bits[one] & bits[two]))
+
+    return df.select("rid", "words").mapInArrow(keep, "rid long, words array<long>")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(rid, n, s1, s2): per text the parity of its distance to the empty set on each of 128 slices of the vocabulary.
+
+    Each slice obeys the triangle inequality, so the number of slices on which two texts differ is at most the size of
+    their symmetric difference.
+    """
+    bit = "shiftleft(1L, cast(x & 63 as int))"
+    one = F.expr(f"aggregate(words, 0L, (s, x) -> s ^ if(x & 64 = 0, {bit}, 0L))")
+    two = F.expr(f"aggregate(words, 0L, (s, x) -> s ^ if(x & 64 = 0, 0L, {bit}))")
+    return texts.select("rid", "n", one.alias("s1"), two.alias("s2"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, theta: float) -> DataFrame:
-    """(a, b, share) of the candidate pairs whose true word share is at least theta."""
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    used = texts.select("rid", "words").join(ids, "rid", "left_semi")
-    both = pairs.join(used.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(used.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+    """(a, b, share) of the candidate pairs whose true word share is at least theta. First the sketches, then the words decide."""
+    marks = sketches(texts)
+    apart = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {(1 - theta) / (1 + theta)!r} * (a.n + b.n) + {EPS!r}"
+    near = pairs.join(marks.withColumnRenamed("rid", "a").alias("a"), "a").join(marks.withColumnRenamed("rid", "b").alias("b"), "b").where(apart).select("a", "b")
+    near = materialize(near, "near")
+    ids = near.select(F.col("a").alias("rid")).union(near.select(F.col("b").alias("rid"))).distinct()
+    used = thin(texts, ids)
+    both = near.join(used.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(used.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("share")).where(F.col("share") >= theta - 1e-12)
 

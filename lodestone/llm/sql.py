@@ -18,6 +18,7 @@ reach as (select x as k, x as g from ends union select r.k, e.y from reach r joi
 groups as (select k, min(g) as g from reach group by k)"""
 
 SQL = {
+    "p1_found": "select id from code_chunks where length(content) > 4000",
     "p2_found": f"""with w as ({_words("recall_eval", "id", "query")}), s as ({_SIZES.format("w")}),
 sp as (select id, split = 'train' as t from recall_eval where split is not null),
 c as (select a.k as x, b.k as y, count(*) as o from w a join w b on a.w = b.w join sp p on p.id = a.k and p.t join sp q on q.id = b.k and not q.t group by 1, 2)
