@@ -11,6 +11,8 @@ from .history import held_intake
 from .mixing import mixture
 from .near_dups import group_pairs, near_duplicate_groups
 from .packing import pack
+from .neighbours import graph_search, neighbour_graph
+from .quality import text_quality
 from .split_items import split_oversized
 from .survivors import Trust, survivors, undisputed
 from .tokens import with_tokens
@@ -123,7 +125,44 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_batches, p7_found, p7_survivors, p8_found, p8_containers, p9_mixture, p9_report)}
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document."""
+    return text_quality(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "common_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
+#: Nearest rows asked for, the least cosine of a pair, and the one below which an edge can't lead to such a pair.
+NEAREST, COSINE, FLOOR = 5, 0.85, 0.5
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for kind, table in (("memory", "memories"), ("chunk", "code_chunks")):
+        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST, floor=FLOOR).where(F.col("cosine") >= COSINE)
+        pairs = near.select(F.lit(kind).alias("record_kind"), F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar rows of every memory and chunk, whatever their cosine."""
+    out = None
+    for kind, table in (("memory", "memories"), ("chunk", "code_chunks")):
+        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST).select(F.lit(kind).alias("record_kind"), "id", "neighbour_id", "rank", "cosine")
+        out = near if out is None else out.union(near)
+    return out
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy search of the neighbour graph of the table embeddings, for every row whose id is divisible by 50."""
+    rows = load(spark, sf_dir, "embeddings")
+    return graph_search(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), NEAREST)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_batches, p7_found, p7_survivors, p8_found, p8_containers, p9_mixture, p9_report, p10_found, p10_quality)}
 
 
 def queries() -> dict:
