@@ -118,8 +118,8 @@ def lexical_cover_arm(df: DataFrame, id_col: str, text_cols: list[str], query: s
             yield pd.DataFrame(out, columns=["id", "lex_score"])
 
     rows = df.select(F.col(id_col).alias("id"), F.concat_ws(" ", *text_cols).alias("t"))
-    for t in terms:  # a stem that was not rewritten at its end is a substring of every word it comes from
-        rows = rows.where(F.lower("t").contains(t[:-1] if t[-1:] in "iey" else t))
+    for t in terms:  # stemming rewrites at most the last three letters of a stem, so what is before is in the word itself
+        rows = rows.where(F.lower("t").contains(t[: max(1, len(t) - 3)]))
     top = rows.mapInPandas(run, f"id {kind}, lex_score double").orderBy(F.desc("lex_score"), "id").limit(limit)
     return top.withColumn("lex_rank", F.row_number().over(Window.orderBy(F.desc("lex_score"), "id")))
 
