@@ -40,7 +40,7 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
 
     Signs of random projections put each row in one bucket of each table; rows that share a bucket are compared exactly.
     A pair at the threshold is missed with a probability of a millionth, closer ones with less. Null, all-zero and
-    odd-sized vectors don't take part. Buckets of more than 4,096 rows are cut by further signs inside the task.
+    odd-sized vectors don't take part. A bucket is compared in blocks and gives each row its nearest few only.
     """
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -65,31 +65,26 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
             yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), b.column("id").take(pa.array(at)), pa.array([d for d in data for _ in range(tables)], pa.binary())], ["bucket", "id", "q"])
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids = group.column("id").to_pylist()
+        group = group.sort_by("id").combine_chunks()
+        ids = group.column("id").chunk(0) if isinstance(group.column("id"), pa.ChunkedArray) else group.column("id")
         x = np.frombuffer(b"".join(group.column("q").to_pylist()), np.float32).reshape(-1, dim)
-        out_i, out_j = [], []
-        parts = [np.arange(len(x))]
-        extra = np.random.default_rng(seed + 1)
-        while parts:
-            p = parts.pop()
-            if len(p) > 4096:
-                side = x[p] @ extra.standard_normal(dim).astype(np.float32) > 0
-                if 0 < side.sum() < len(p):
-                    parts += [p[side], p[~side]]
-                    continue
-                parts += [p[:4096], p[4096:]]
-                continue
-            i, j = np.nonzero(np.triu(x[p] @ x[p].T > threshold - 1e-4, 1))
-            out_i += p[i].tolist()
-            out_j += p[j].tolist()
-        pairs = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(out_i, out_j)]
-        return pa.table([pa.array([a for a, _ in pairs], group.schema.field("id").type), pa.array([b for _, b in pairs], group.schema.field("id").type)], names=["a", "b"])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x), 1024):
+            sims = x[at : at + 1024] @ x.T
+            sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+            i, j = np.nonzero(sims > threshold - 1e-4)
+            if top is not None:  # a few more than asked for, as the order is settled in double precision
+                order = np.lexsort((j, -sims[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < top + 8
+                i, j = i[keep], j[keep]
+            left.append(at + i)
+            right.append(j)
+        return pa.table([ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))], names=["a", "b"])
 
     found = usable.mapInArrow(hashed, f"bucket long, id {kind}, q binary").groupBy("bucket").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
     found = materialize(found, "pairs")
-    exact = found.join(usable.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(usable.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > threshold)
-    both = exact.union(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).toDF("id", "near_id", "cosine")
+    both = found.join(usable.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(usable.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > threshold).toDF("id", "near_id", "cosine")
     if top is None:
         return both
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "near_id")
