@@ -135,7 +135,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Nearest rows asked for, the least cosine of a pair, and the one below which an edge can't lead to such a pair.
-NEAREST, COSINE, FLOOR = 5, 0.85, 0.5
+NEAREST, COSINE, FLOOR = 5, 0.85, 0.7
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
