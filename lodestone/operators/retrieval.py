@@ -66,6 +66,10 @@ def blend_column(cfg: Blend, now: str, relevance: Column, kind: Column, source_k
     return relevance * (1.0 + cfg.recency * decay + cfg.importance * importance)
 
 
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == F.lit(term)
+
+
 def lexical_arm(df: DataFrame, id_col: str, text: Column, terms: list[str], limit: int = ARM_LIMIT) -> DataFrame:
     """(id, lex_score, lex_rank): rows that hold all terms, by summed saturated term frequency tf / (tf + 1.2).
 
@@ -76,7 +80,7 @@ def lexical_arm(df: DataFrame, id_col: str, text: Column, terms: list[str], limi
     for t in terms:
         maybe = maybe.where(F.col("_t").contains(t))
     words = maybe.select("id", tokens(F.col("_t")).alias("_w"))
-    tf = [F.size(F.filter("_w", lambda x, t=t: x == F.lit(t))).cast("double") for t in terms]
+    tf = [F.size(F.filter("_w", _is(t))).cast("double") for t in terms]
     score, found = F.lit(0.0), F.lit(True)
     for c in tf:
         score, found = score + c / (c + 1.2), found & (c > 0)

@@ -177,7 +177,7 @@ def extract(text: str, path: str) -> Extract:
                         pending = (ts[k][1], v)
                     i = k + 1
                     continue
-            if before in ("const", "let", "var") or before == "," and False:
+            if before in ("const", "let", "var"):
                 k = i + 1
                 if after == ":":  # a declared type
                     d = 0

@@ -1,55 +1,12 @@
-"""Registered queries of the core: name -> (query, SQL or None)."""
+"""All queries of the core and the SQL they are compared with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.hierarchy import descendants, hierarchy
-from ..session import load, materialize, ship
-
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, tuple[Query, str | None]] = {}
-
-
-def register(sql: str | None = None):
-    def add(f: Query) -> Query:
-        CATALOG[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-_WALK = """with recursive walk as (
-  select id, id as here, superseded_by as nxt, 0 as d, [id] as seen, cast(null as varchar) as loop_id from memories where superseded_by is not null
-  union all
-  select w.id, m.id, m.superseded_by, w.d + 1, list_append(w.seen, m.id),
-    case when list_contains(w.seen, m.id) then list_min(w.seen[list_position(w.seen, m.id):]) end
-  from walk w join memories m on m.id = w.nxt where w.loop_id is null),
-ended as (select id, coalesce(loop_id, here) as root_id, case when loop_id is null then d else -1 end as depth, seen from (
-  select *, row_number() over (partition by id order by d desc) as r from walk) where r = 1)"""
-
-
-@register(_WALK + " select id, root_id, depth::int as depth from ended")
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(load(spark, sf_dir, "memories").select("id", "superseded_by"), "id", "superseded_by").select("id", "root_id", "depth")
-
-
-@register(_WALK + " select id, root_id, depth::int as depth, array_to_string(seen, '>') as path from ended where depth >= 0")
-def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path of every memory whose chain is sound, from itself to its root."""
-    from pyspark.sql import functions as F
-
-    got = hierarchy(load(spark, sf_dir, "memories").select("id", "superseded_by"), "id", "superseded_by", with_path=True)
-    return got.where("depth >= 0").select("id", "root_id", "depth", F.array_join("path", ">").alias("path"))
-
-
-@register(_WALK + ", steps as (select id, unnest(seen) as ancestor_id, unnest(range(len(seen))) as distance from ended where depth >= 0) select ancestor_id, id, distance::int as distance from steps where distance > 0")
-def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All memories that a memory replaced, directly or not."""
-    got = hierarchy(load(spark, sf_dir, "memories").select("id", "superseded_by"), "id", "superseded_by", with_path=True)
-    return descendants(materialize(got, "paths"), "id")
+from ..session import ship
+from . import code, evaluate, lineage, memory  # noqa: F401  (they register their queries)
+from .registry import CATALOG, Query
 
 
 def queries() -> dict[str, Query]:
