@@ -171,7 +171,7 @@ def judge_pairs(pairs: DataFrame, judge: Callable[[list[tuple[str, str]]], str],
             got: list[tuple[int, str | None]] = []
             for s in range(0, len(b), batch):
                 part = b.iloc[s : s + batch]
-                pinned = list(zip(part["pinned_a"].fillna(False).astype(bool), part["pinned_b"].fillna(False).astype(bool)))
+                pinned = [(a is True, b is True) for a, b in zip(part["pinned_a"].tolist(), part["pinned_b"].tolist())]
                 try:
                     got += parse_verdicts(judge(list(zip(part["side_a"], part["side_b"]))), pinned)
                 except Exception:

@@ -49,7 +49,7 @@ def _gain(places: str) -> str:
 
 _IDEAL = _gain("range(1, greatest(least(len(gold), 3), 1) + 1)")
 _METRIC = {
-    "recall": lambda p: f"case when len(list_filter({p}, lambda x: x <= 3)) > 0 then 1.0 else 0.0 end",
+    "recall": lambda p: f"case when len(list_filter({p}, lambda x: x <= 3)) > 0 then 1.0::double else 0.0::double end",
     "rr": lambda p: f"coalesce(1.0 / {p}[1], 0.0)",
     "ndcg": lambda p: f"{_gain(f'list_filter({p}, lambda x: x <= 3)')} / {_IDEAL}",
 }
