@@ -53,8 +53,13 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = Non
     return materialize(rows.mapInArrow(run, f"rid long, id {kind}, q binary"), "vectors"), dim
 
 
+def _unpack(values: list[bytes], dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(values), np.int16).reshape(-1, dim).astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE)
+    return _unpack(column.to_pylist(), dim)
 
 
 def _centres(vectors: DataFrame, dim: int, total: int, spread: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +69,7 @@ def _centres(vectors: DataFrame, dim: int, total: int, spread: int, seed: int) -
     if not got:
         got = vectors.select("rid", "q").limit(SAMPLE_ROWS).collect()
     got.sort(key=lambda r: r["rid"])
-    x = np.frombuffer(b"".join(bytes(r["q"]) for r in got), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE)
+    x = _unpack([bytes(r["q"]) for r in got], dim)
     n = min(max(1, math.ceil(total * spread / CELL_ROWS)), MOST_CENTRES, len(x))
     pick = np.sort(np.random.default_rng(seed).choice(len(x), n, replace=False))
     c = x[pick]
@@ -158,7 +163,7 @@ def _descend(edges: DataFrame, vectors: DataFrame, dim: int, k: int, floor: floa
 def _graph(vectors: DataFrame, dim: int, k: int, floor: float, passes: int, spread: int, rounds: int, seed: int, least_change: float) -> DataFrame:
     total = vectors.count()
     edges = None
-    for p in range(passes if dim else 0):
+    for p in range(passes if dim and total else 0):
         _, c, salts = _centres(vectors, dim, total, spread, seed + p)
         cells = vectors.select("rid", "q").mapInArrow(_assigner(c, salts, dim, spread), "cell long, rid long, q binary")
         found = cells.groupBy("cell").applyInArrow(_best_in_cell(dim, k, floor), "a long, b long, s float")
@@ -212,7 +217,7 @@ def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                sims = (np.frombuffer(b"".join(b["q"]), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE)) @ c.T
+                sims = _unpack(list(b["q"]), dim) @ c.T
                 near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                 yield pd.DataFrame({"query": np.repeat(b["rid"].to_numpy(), m), "node": rids[near.ravel()], "s": np.take_along_axis(sims, near, 1).ravel()})
 

@@ -78,7 +78,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, full: float
         bins[d] = [i for i in bins[d] if i not in come] + go
         fill[target] += moved
         fill[d] -= moved
-        closed.discard(d)
+        closed.clear()
     return [b for b in bins if b]
 
 
