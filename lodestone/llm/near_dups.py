@@ -7,36 +7,40 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import discard, materialize, release_shuffles
-from .setjoin import collapse, similar_texts, word_sets
+from .setjoin import CROWDED, collapse, connecting_texts, similar_texts, word_sets
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str, text: Column, theta: float = 0.8) -> DataFrame:
-    """(doc, group_id, links): the group of every document, groups being connected by links of word share >= theta.
+def near_duplicate_groups(docs: DataFrame, id_col: str, text: Column, theta: float = 0.8, count_links: bool = False, crowded: int = CROWDED) -> DataFrame:
+    """(doc, group_id[, links]): the group of every document, groups being connected by links of word share >= theta.
 
-    group_id is the least id of the group; links counts the documents that one is linked to, copies among them. A
-    document without words (null or empty text) is linked to nothing and forms its own group, as does any document that
-    resembles no other. Rows with a null id are ignored; ids are expected to be unique. Other columns are not touched.
-    Exact copies are one class throughout and are never expanded into pairs.
+    group_id is the least id of the group. With count_links, links counts the documents that one is linked to, copies
+    among them; this makes all pairs of linked texts, which the groups alone do not need. A document without words (null
+    or empty text) is linked to nothing and forms its own group, as does any document that resembles no other. Rows with
+    a null id are ignored; ids are expected to be unique. Other columns are not touched. Exact copies are one class
+    throughout and are never expanded into pairs.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     members, texts = collapse(word_sets(docs, id_col, text))
-    links = materialize(similar_texts(texts, theta), "links")
+    links = similar_texts(texts, theta).select("a", "b") if count_links else connecting_texts(texts, theta, crowded=crowded)
+    links = materialize(links, "links")
     release_shuffles(docs.sparkSession)
     comp = components(links, "a", "b")
-    copies = texts.select("rid", "copies")
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(copies.withColumnRenamed("rid", "b"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("copies").alias("near"))
-    classes = materialize(
-        copies.join(comp.withColumnsRenamed({"node": "rid"}), "rid", "left").join(degree, "rid", "left").select("rid", F.coalesce("component", "rid").alias("component"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")),
-        "classes",
-    )
+    classes = texts.select("rid", "copies").join(comp.withColumnsRenamed({"node": "rid"}), "rid", "left").select("rid", "copies", F.coalesce("component", "rid").alias("component"))
+    if count_links:
+        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = ends.join(texts.select(F.col("rid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("copies").alias("near"))
+        classes = classes.join(degree, "rid", "left").withColumn("links", F.coalesce("near", F.lit(0)) + F.col("copies") - 1)
+    else:
+        classes = classes.withColumn("links", F.lit(None).cast("long"))
+    classes = materialize(classes.select("rid", "component", "links"), "classes")
     discard(texts)
     placed = members.join(classes, "rid").select("doc", "component", "links")
     least = placed.groupBy("component").agg(F.min("doc").alias("group_id"))
     grouped = placed.join(least, "component").select("doc", "group_id", "links")
     ids = docs.select(F.col(id_col).alias("doc"))
     alone = ids.join(members.select("doc"), "doc", "left_anti").select("doc", F.col("doc").alias("group_id"), F.lit(0).cast("long").alias("links"))
-    return grouped.union(alone)
+    out = grouped.union(alone)
+    return out if count_links else out.drop("links")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

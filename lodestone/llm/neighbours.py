@@ -25,6 +25,8 @@ SCALE = 32767.0
 SAMPLE_ROWS, MOST_CENTRES = 16_384, 4096
 #: Rows a cell should have; one that is expected to have over twice as many is dealt out by hash.
 CELL_ROWS = 2048
+#: Second centres that a row is sent to within each of its cells, where cells are divided.
+SECOND_SPREAD = 2
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
@@ -62,36 +64,59 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return _unpack(column.to_pylist(), dim)
 
 
-def _centres(vectors: DataFrame, dim: int, total: int, spread: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rids, centres, salts): centres drawn from a sample of at most SAMPLE_ROWS, and the parts that each cell is dealt into."""
+def _centres(vectors: DataFrame, dim: int, total: int, spread: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """(rids, centres, second centres, parts): centres drawn from a sample of at most SAMPLE_ROWS rows.
+
+    Where MOST_CENTRES cells would be too large, each is divided by the nearest of the second centres. parts tells cells
+    that the sample shows to be crowded still, and into how many parts their rows are dealt.
+    """
     share = min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1))
     got = vectors.select("rid", "q").sample(False, share, seed).limit(SAMPLE_ROWS).collect()
     if not got:
         got = vectors.select("rid", "q").limit(SAMPLE_ROWS).collect()
     got.sort(key=lambda r: r["rid"])
     x = _unpack([bytes(r["q"]) for r in got], dim)
-    n = min(max(1, math.ceil(total * spread / CELL_ROWS)), MOST_CENTRES, len(x))
-    pick = np.sort(np.random.default_rng(seed).choice(len(x), n, replace=False))
-    c = x[pick]
-    near = np.argpartition(-(x @ c.T), min(spread, n) - 1, axis=1)[:, : min(spread, n)]
-    rows = np.bincount(near.ravel(), minlength=n) * (total / len(x))
-    return np.array([got[i]["rid"] for i in pick]), c, np.where(rows > 2 * CELL_ROWS, np.ceil(rows / CELL_ROWS), 1).astype(np.int64)
+    rng = np.random.default_rng(seed)
+    cells = max(1, math.ceil(total * spread / CELL_ROWS))
+    n = min(cells, MOST_CENTRES, len(x))
+    pick = np.sort(rng.choice(len(x), n, replace=False))
+    m = min(math.ceil(SECOND_SPREAD * cells / n), MOST_CENTRES, len(x)) if cells > MOST_CENTRES else 1
+    second = x[rng.choice(len(x), m, replace=False)]
+    near = _cells(x, x[pick], second, spread)
+    names, rows = np.unique(near, return_counts=True)
+    expected = rows * (total / len(x))
+    crowded = (expected > 2 * CELL_ROWS) & ((rows >= 8) | (m == 1))
+    parts = {int(c): math.ceil(e / CELL_ROWS) for c, e in zip(names[crowded], expected[crowded])}
+    return np.array([got[i]["rid"] for i in pick]), x[pick], second, parts
+
+
+def _cells(x: np.ndarray, c: np.ndarray, second: np.ndarray, spread: int) -> np.ndarray:
+    """The cells of each row: its `spread` nearest centres, each with its SECOND_SPREAD nearest second ones if there are any."""
+    m = min(spread, len(c))
+    first = np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m].astype(np.int64)
+    if len(second) == 1:
+        return first << 32
+    k = min(SECOND_SPREAD, len(second))
+    fine = np.argpartition(-(x @ second.T), k - 1, axis=1)[:, :k].astype(np.int64)
+    return ((first[:, :, None] << 32) | (fine[:, None, :] << 20)).reshape(len(x), -1)
 
 
-def _assigner(c: np.ndarray, salts: np.ndarray, dim: int, spread: int):
-    m = min(spread, len(c))
+def _assigner(c: np.ndarray, second: np.ndarray, parts: dict[int, int], dim: int, spread: int):
+    crowded = np.array(sorted(parts), np.int64)
+    dealt = np.array([parts[k] for k in crowded.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                near = np.argpartition(-(_matrix(part.column("q"), dim) @ c.T), m - 1, axis=1)[:, :m]
+                cells = _cells(_matrix(part.column("q"), dim), c, second, spread)
                 rid = part.column("rid").to_numpy()
-                salt = (rid[:, None] * 2654435761 >> 7) % salts[near]
-                cell = (near.astype(np.int64) << 24) + salt
-                row = np.repeat(np.arange(len(rid)), m)
-                t = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), t.column("rid"), t.column("q")], ["cell", "rid", "q"])
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, cells), len(crowded) - 1)
+                    n = np.where(crowded[at] == cells, dealt[at], 1)
+                    cells = cells + (rid[:, None] * 2654435761 >> 7) % n
+                t = part.take(pa.array(np.repeat(np.arange(len(rid)), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), t.column("rid"), t.column("q")], ["cell", "rid", "q"])
 
     return run
 
@@ -164,8 +189,8 @@ def _graph(vectors: DataFrame, dim: int, k: int, floor: float, passes: int, spre
     total = vectors.count()
     edges = None
     for p in range(passes if dim and total else 0):
-        _, c, salts = _centres(vectors, dim, total, spread, seed + p)
-        cells = vectors.select("rid", "q").mapInArrow(_assigner(c, salts, dim, spread), "cell long, rid long, q binary")
+        _, c, second, parts = _centres(vectors, dim, total, spread, seed + p)
+        cells = vectors.select("rid", "q").mapInArrow(_assigner(c, second, parts, dim, spread), "cell long, rid long, q binary")
         found = cells.groupBy("cell").applyInArrow(_best_in_cell(dim, k, floor), "a long, b long, s float")
         found = materialize(_top(found, k), "found")
         edges = found if edges is None else edges.union(found)
@@ -211,7 +236,7 @@ def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, rank int, cosine double")
     edges = _graph(vectors, dim, 2 * k, -1.0, 2, 3, 3, seed, 0.001)
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "walks")
-    rids, c, _ = _centres(vectors, dim, vectors.count(), 3, seed)
+    rids, c, _, _ = _centres(vectors, dim, vectors.count(), 3, seed)
     m = min(max(beam // 2, 1), len(c))
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,10 +24,10 @@ BEST = ["pinned", "importance", "access_count", "created_at"]
 TRUST = Trust("source_kind", {"decision": 2.0, "agent-memory": 1.5}, 1.0, "created_at", "2026-07-01")
 
 
-def _memory_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _memory_groups(spark: SparkSession, sf_dir: str, count_links: bool = False) -> DataFrame:
     rows = load(spark, sf_dir, "memories")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    return near_duplicate_groups(rows, "id", text, MEMORY_SHARE)
+    return near_duplicate_groups(rows, "id", text, MEMORY_SHARE, count_links)
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per memory: its group and the number of memories it is linked to."""
-    return _memory_groups(spark, sf_dir).select(F.col("doc").alias("id"), "group_id", "links")
+    return _memory_groups(spark, sf_dir, True).select(F.col("doc").alias("id"), "group_id", "links")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

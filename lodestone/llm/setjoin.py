@@ -7,6 +7,12 @@ words, their first common word, rarest first, stands among the first n - t + 1 o
 (the size) bounds t from both sides: the larger text of a pair is replicated by t = theta * n, the smaller one by
 t = 2 * theta / (1 + theta) * n. A pivot that too many texts contain is split again by the second and third common word
 until the expected region is small. All of it is exact: no text, region or pair is dropped.
+
+Where only the groups that links make are asked for, regions that stay crowded, as those of thousands of variants of one
+text do, are divided among texts as pivots (`crowded_pairs`): each text within 1 - theta of a pivot is linked to it and
+needs no link to others of its cell; by the triangle inequality a text of another cell can only be linked to it if it
+lies within 2 * (1 - theta) of the pivot, so only such boundary texts are replicated to the cell; and the texts that no
+pivot covers are divided again.
 """
 
 from __future__ import annotations
@@ -77,7 +83,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _regions(theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, total: int, cap: int):
     """A mapInArrow function: (rid, tag, n, words) to the regions (key, rid, tag, n, left) a text takes part in.
 
-    `left` is the number of its words from the pivot on, the most that it can share with a text it first meets there.
+    `left` is the number of its words from the pivot on, the most that it can share with a text it first meets there;
+    `multi` tells regions of several words, the only ones that can hold more texts than `cap`.
     """
     need = 2 * theta / (1 + theta) if short else theta
     depth = max(1, min(3, math.ceil(theta / (1 - theta) - EPS))) if theta < 1 else 3  # words that different texts share at least
@@ -101,11 +108,12 @@ def _regions(theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, to
             last = size - np.ceil(need * size - EPS).astype(np.int64)  # the first common word stands here at the latest
             live = np.flatnonzero(pos <= last)
             key, first, tip, expect = flat[live], live, live, count[live].astype(float)
-            out_key, out_first = [], []
+            out_key, out_first, out_multi = [], [], []
             for level in range(1, depth + 1):
                 done = (expect <= cap) | (level == depth)
                 out_key.append(key[done])
                 out_first.append(first[done])
+                out_multi.append(np.full(int(done.sum()), level > 1))
                 key, first, tip, expect = key[~done], first[~done], tip[~done], expect[~done]
                 if not len(key):
                     break
@@ -119,14 +127,14 @@ def _regions(theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, to
             key, first = np.concatenate(out_key), np.concatenate(out_first)
             r = row[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(batch.column("rid").to_numpy(zero_copy_only=False)[r]), pa.array(batch.column("tag").to_numpy(zero_copy_only=False)[r]), pa.array(n[r].astype(np.int32)), pa.array((size[first] - pos[first]).astype(np.int32))],
-                ["key", "rid", "tag", "n", "left"],
+                [pa.array(key), pa.array(batch.column("rid").to_numpy(zero_copy_only=False)[r]), pa.array(batch.column("tag").to_numpy(zero_copy_only=False)[r]), pa.array(n[r].astype(np.int32)), pa.array((size[first] - pos[first]).astype(np.int32)), pa.array(np.concatenate(out_multi))],
+                ["key", "rid", "tag", "n", "left", "multi"],
             )
 
     return run
 
 
-REGION_SCHEMA = "key long, rid long, tag int, n int, left int"
+REGION_SCHEMA = "key long, rid long, tag int, n int, left int, multi boolean"
 
 
 def region_rows(texts: DataFrame, theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, total: int, cap: int = REGION_TEXTS) -> DataFrame:
@@ -216,3 +224,87 @@ def similar_texts(texts: DataFrame, theta: float, allow: str = "true", cap: int
     pairs = materialize(pairs, "candidates")
     release_shuffles(texts.sparkSession)
     return verify(pairs, texts, theta)
+
+
+#: Texts that a region may hold before it is divided among pivots, and pivots drawn each time.
+CROWDED, PIVOTS, PIVOT_ROUNDS = 2000, 16, 12
+
+
+def _meeting(theta: float) -> str:
+    t = f"({theta / (1 + theta)!r} * (a.n + b.n) - {EPS!r})"
+    return f"b.n <= a.n and b.n >= {theta!r} * a.n - {EPS!r} and a.left >= {t} and b.left >= {t} and (b.n < a.n or b.rid < a.rid)"
+
+
+def crowded_pairs(larger: DataFrame, smaller: DataFrame, texts: DataFrame, theta: float, crowded: int = CROWDED, pivots: int = PIVOTS, rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates), both (a, b), that connect the same texts as all pairs of these regions would.
+
+    Each round draws some pivots per region by hash, measures every text's distance to them, and gives
+    * a link for each text within 1 - theta of a pivot, whose cell it joins (that of its least such pivot);
+    * candidates between different cells, and between a cell and the texts outside all cells, each text being sent only
+      to cells whose pivot it is within 2 * (1 - theta) of;
+    and goes on with the texts outside all cells where these are still many; in the end they are all candidates.
+    """
+    large, small, links, pairs = larger, smaller, [], []
+    for r in range(rounds + 1):
+        both = materialize(large.select("key", "rid").union(small.select("key", "rid")).distinct(), "crowd")
+        sizes = both.groupBy("key").count()
+        many = materialize(sizes.where(F.col("count") > crowded), "many")
+        few = sizes.where(F.col("count") <= crowded).select("key")
+        last = r == rounds or many.isEmpty()
+        rest = many.select("key").union(few) if last else few
+        a, b = large.join(rest, "key", "left_semi").alias("a"), small.join(rest, "key", "left_semi").alias("b")
+        pairs.append(materialize(a.join(b, F.expr(f"a.key = b.key and {_meeting(theta)}")).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")), "candidates"))
+        if last:
+            break
+        held = materialize(both.join(many, "key").join(texts.select("rid", "words"), "rid").select("key", "rid", "words", (F.pmod(F.xxhash64("rid", F.lit(r)), F.ceil(F.col("count") / pivots)) == 0).alias("is_pivot")), "held")
+        drawn = held.where("is_pivot").select("key", F.col("rid").alias("pivot"), F.col("words").alias("pivot_words"))
+        common = F.size(F.array_intersect("words", "pivot_words"))
+        share = common / (F.size("words") + F.size("pivot_words") - common)
+        near = held.join(drawn, "key").select("key", "rid", "pivot", share.alias("share")).where(F.col("share") >= 2 * theta - 1 - EPS)
+        near = materialize(near, "near")
+        links.append(materialize(near.where((F.col("share") >= theta - 1e-12) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")), "links"))
+        cell = near.groupBy("key", "rid").agg(F.min(F.when(F.col("share") >= theta - 1e-12, F.col("pivot"))).alias("cell"), F.collect_set("pivot").alias("window"))  # a window has as many as there are pivots
+
+        def placed(rows: DataFrame) -> DataFrame:
+            return materialize(rows.join(many.select("key"), "key", "left_semi").join(cell, ["key", "rid"], "left"), "placed")
+
+        large, small = placed(large), placed(small)
+
+        def sent(rows: DataFrame) -> DataFrame:
+            others = F.array_except(F.coalesce("window", F.array().cast("array<long>")), F.array("cell"))
+            outside = F.col("cell").isNull()
+            to = F.when(outside, F.coalesce("window", F.array().cast("array<long>"))).otherwise(F.concat(others, F.array(F.lit(None).cast("long"))))
+            spread = rows.withColumn("other", F.explode(to))
+            # a cell is named by its pivot, the outside by null, which stands first
+            lo = F.when(F.col("cell").isNull() | F.col("other").isNull(), F.lit(None)).otherwise(F.least("cell", "other"))
+            return spread.select("key", "rid", "n", "left", "cell", lo.alias("lo"), F.greatest("cell", "other").alias("hi"))
+
+        a, b = sent(large).alias("a"), sent(small).alias("b")
+        across = a.join(b, F.expr(f"a.key = b.key and a.hi = b.hi and a.lo <=> b.lo and not (a.cell <=> b.cell) and {_meeting(theta)}"))
+        pairs.append(materialize(across.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")), "candidates"))
+        large, small = (x.where("cell is null").drop("cell", "window") for x in (large, small))
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.union(p)
+    star = links[0] if links else out.limit(0)
+    for x in links[1:]:
+        star = star.union(x)
+    return star, out
+
+
+def connecting_texts(texts: DataFrame, theta: float, cap: int = REGION_TEXTS, frequent: int = FREQUENT_WORDS, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): pairs of texts of word share >= theta, enough of them to connect all that the pairs of `similar_texts` connect."""
+    if not 0 < theta <= 1:
+        raise ValueError("theta must be in (0, 1]")
+    keys, counts = frequent_words(texts, frequent)
+    total = texts.count()
+    larger, smaller = (region_rows(texts, theta, short, keys, counts, total, cap) for short in (False, True))
+    busy = materialize(smaller.where("multi").groupBy("key").count().where(F.col("count") > crowded).select("key"), "busy")
+    if busy.isEmpty():
+        pairs = materialize(join_regions(larger, smaller, theta), "candidates")
+        release_shuffles(texts.sparkSession)
+        return verify(pairs, texts, theta).select("a", "b")
+    pairs = join_regions(larger.join(busy, "key", "left_anti"), smaller.join(busy, "key", "left_anti"), theta)
+    star, more = crowded_pairs(*(materialize(x.where("multi").join(busy, "key", "left_semi"), "regions") for x in (larger, smaller)), texts, theta, crowded)
+    pairs = materialize(pairs.union(more).distinct(), "candidates")
+    return verify(pairs, texts, theta).select("a", "b").union(star)

@@ -77,13 +77,38 @@ def test_groups(spark, seed):
     rows = [(k, t, 1, "x") for k, t in texts.items()] + [("nul", None, None, None), (None, "w1", 0, "")]
     # columns with names that the operator itself uses
     df = spark.createDataFrame(rows, "id string, t string, rid int, words string")
-    got = {r.doc: (r.group_id, r.links) for r in near_duplicate_groups(df, "id", F.col("t"), 0.7).collect()}
+    got = {r.doc: (r.group_id, r.links) for r in near_duplicate_groups(df, "id", F.col("t"), 0.7, count_links=True).collect()}
     sets = {k: words(t) for k, t in texts.items()} | {"nul": words(None)}
     want = groups_of(sets, 0.7)
     assert {k: v[0] for k, v in got.items()} == want
     assert {k: v[1] for k, v in got.items()} == {k: sum(share(sets[k], sets[j]) >= 0.7 - 1e-12 for j in sets if j != k) for k in sets}
 
 
+@pytest.mark.parametrize(("seed", "theta", "crowded"), [(11, 0.7, 3), (12, 0.6, 5), (13, 0.8, 2)])
+def test_crowded_regions_are_divided_among_pivots(spark, seed, theta, crowded):
+    r = random.Random(seed)
+    base = [[f"b{k}x{i}" for i in range(20)] for k in range(3)]
+    rows = []
+    for i in range(120):  # many variants of a few texts, some of them far from each other
+        ws = list(base[i % 3])
+        for _ in range(r.randrange(0, 9)):
+            ws[r.randrange(len(ws))] = r.choice(base[i % 3] + [f"z{r.randrange(40)}"])
+        rows.append((f"d{i:03}", " ".join(ws)))
+    df = spark.createDataFrame(rows, "id string, t string")
+    _, reps = setjoin.collapse(setjoin.word_sets(df, "id", F.col("t")))
+    full = {(min(x.a, x.b), max(x.a, x.b)) for x in setjoin.similar_texts(reps, theta, cap=2).collect()}
+    some = {(min(x.a, x.b), max(x.a, x.b)) for x in setjoin.connecting_texts(reps, theta, cap=2, crowded=crowded).collect()}
+    assert some < full  # true links only, and fewer
+
+    def joined(pairs):
+        of = {x: x for p in full for x in p}
+        for a, b in sorted(pairs) * len(of):
+            of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    assert joined(some) == joined(full)
+
+
 def test_group_pairs_and_empty(spark):
     df = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "q")], "id string, t string")
     g = near_duplicate_groups(df, "id", F.col("t"))
@@ -94,7 +119,7 @@ def test_group_pairs_and_empty(spark):
 
 def test_a_third_are_copies_and_long_text(spark):
     rows = [(i, "same text for all of these rows") for i in range(300)] + [(1000 + i, f"a{i} b{i} c{i} same text") for i in range(100)] + [(5000, " ".join(f"v{i}" for i in range(20_000))), (5001, " ".join(f"v{i}" for i in range(19_000)))]
-    got = {r.doc: (r.group_id, r.links) for r in near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()}
+    got = {r.doc: (r.group_id, r.links) for r in near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"), count_links=True).collect()}
     assert all(got[i] == (0, 299) for i in range(300)) and got[1005] == (1005, 0) and got[5001] == (5000, 1)
 
 

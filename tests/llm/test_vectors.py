@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.neighbours import graph_search, neighbour_graph, unit_vectors
@@ -26,10 +27,12 @@ def exact(x, k):
     return s, np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
-def test_recall_of_the_graph(spark, monkeypatch):
+@pytest.mark.parametrize(("cell", "most"), [(128, 4096), (96, 16)])
+def test_recall_of_the_graph(spark, monkeypatch, cell, most):
     from lodestone.llm import neighbours
 
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 128)  # as many cells as a large table has
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)  # as many cells as a large table has, or more than there may be centres
+    monkeypatch.setattr(neighbours, "MOST_CENTRES", most)
     x = clusters(1)
     got = {}
     for r in neighbour_graph(frame(spark, x, ODD), "id", "v", 5).collect():
