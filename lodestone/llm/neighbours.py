@@ -169,19 +169,61 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _local_join(dim: int, floor: float):
+    """Rows (v, x, q, least), sorted by v, to offers (a, b, s): pairs of the neighbours of one v, the cosine of which raises the least that one of them has."""
+
+    def offers(v: np.ndarray, x: np.ndarray, q: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        n = np.diff(np.r_[start, len(v)])
+        out = []
+        for size in np.unique(n[n > 1]):  # groups of one size at a time, in blocks
+            first = start[n == size]
+            for s in range(0, len(first), 4096):
+                at = first[s : s + 4096, None] + np.arange(size)
+                m = q[at]
+                sims = m @ m.transpose(0, 2, 1)
+                i, j = np.triu_indices(size, 1)
+                value = sims[:, i, j]
+                good = (value >= floor) & ((value > least[at[:, i]]) | (value > least[at[:, j]]))
+                g, p = np.nonzero(good)
+                out.append((x[at[g, i[p]]], x[at[g, j[p]]], value[g, p]))
+        one, two, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s.astype(np.float32))], ["a", "b", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = (b.column("v").to_numpy(), b.column("x").to_numpy(), _matrix(b.column("q"), dim), b.column("least").to_numpy())
+            if held is not None:
+                part = tuple(np.concatenate(z) for z in zip(held, part))
+            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last group may go on in the next batch
+            if cut:
+                yield offers(*(z[:cut] for z in part))
+            held = tuple(z[cut:] for z in part)
+        if held is not None:
+            yield offers(*held)
+
+    return run
+
+
 def _descend(edges: DataFrame, vectors: DataFrame, dim: int, k: int, floor: float) -> tuple[DataFrame, int]:
-    """One round of NN-descent: each row's neighbours, and the nearest that have it as one, offer it their own neighbours."""
+    """One round of NN-descent: the neighbours of each row, and the nearest of those that have it as one, are offered to each other.
+
+    The vectors of a row's at most 2k neighbours meet at the row, by a join of the edges with the vectors and a sort; only
+    offers that a neighbour can use leave it.
+    """
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
-    local = materialize(_top(edges.union(back), 2 * k).select("a", "b"), "local")
-    via = local.select(F.col("a").alias("x"), F.col("b").alias("v")).join(local.select(F.col("a").alias("v"), F.col("b").alias("y")), "v")
-    known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    new = via.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    q = vectors.select("rid", "q")
-    got = new.join(q.toDF("a", "qa"), "a").join(q.toDF("b", "qb"), "b").mapInArrow(_cosines(dim), "a long, b long, s float").where(F.col("s") >= floor)
+    local = _top(edges, k).union(_top(back, k)).select(F.col("a").alias("v"), F.col("b").alias("x")).distinct()
+    least = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("m"))
+    state = vectors.select(F.col("rid").alias("a"), "q").join(least, "a", "left").select(F.col("a").alias("x"), "q", F.when(F.col("n") >= k, F.col("m")).otherwise(-2.0).cast("float").alias("least"))
+    sent = local.join(state, "x").select("v", "x", "q", "least").repartition("v").sortWithinPartitions("v")
+    got = sent.mapInArrow(_local_join(dim, floor), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
     got = materialize(got, "offered")
     out = materialize(_top(edges.union(got).union(got.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), k), "edges")
     changed = out.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
-    discard(local, got)
+    discard(got)
     return out, changed
 
 

@@ -197,9 +197,9 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "n", one.alias("s1"), two.alias("s2"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, theta: float) -> DataFrame:
-    """(a, b, share) of the candidate pairs whose true word share is at least theta. First the sketches, then the words decide."""
-    marks = sketches(texts)
+def verify(pairs: DataFrame, texts: DataFrame, theta: float, marks: DataFrame | None = None) -> DataFrame:
+    """(a, b, share) of the candidate pairs whose true word share is at least theta. First the sketches (`marks`, if there are any stored), then the words decide."""
+    marks = sketches(texts) if marks is None else marks
     apart = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {(1 - theta) / (1 + theta)!r} * (a.n + b.n) + {EPS!r}"
     near = pairs.join(marks.withColumnRenamed("rid", "a").alias("a"), "a").join(marks.withColumnRenamed("rid", "b").alias("b"), "b").where(apart).select("a", "b")
     near = materialize(near, "near")
