@@ -75,7 +75,8 @@ def hierarchy(rows: DataFrame, id_col: str, parent_col: str, with_path: bool = F
     links = good.select("v", "p", F.lit(1).cast("int").alias("w"), F.col("v").alias("low"), empty.alias("via"))
     records = _contract(links, with_path, max_rounds)
     path_of = (lambda v: F.array(v)) if with_path else (lambda v: empty)
-    ends = base.where("p is null").select("v").union(broken)
+    # of the rows that end a chain only those that others point at are looked up
+    ends = base.where("p is null").select("v").join(good.select(F.col("p").alias("v")).distinct(), "v", "left_semi").union(broken)
     solved = ends.select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(False).alias("on"), path_of("v").alias("path"))
     for record in records:
         solved = solved.union(record.where(F.col("kind") == LOOPED).select("v", F.col("low").alias("root"), F.lit(-1).alias("d"), F.lit(True).alias("on"), empty.alias("path")))
