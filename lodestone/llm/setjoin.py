@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialize, release_shuffles
 
 #: Bound on the frequent words whose counts every task gets: 16 bytes each, whatever the size of the input.
-FREQUENT_WORDS = 20_000
+FREQUENT_WORDS = 200_000
 #: Texts that a region may be expected to hold before it is split by a further word.
 REGION_TEXTS = 500
 EPS = 1e-9
@@ -65,8 +65,10 @@ def collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def frequent_words(texts: DataFrame, limit: int = FREQUENT_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, counted over all texts; at most `limit` of them leave the cluster."""
-    top = texts.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 2").orderBy(F.desc("count"), "w").limit(limit).collect()
+    """Hashes and counts, over all texts, of the words that make up at least 1 / limit of all: there can't be more than `limit` of them."""
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    least = max(3, -(-total // limit))
+    top = texts.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= least).collect()
     top.sort(key=lambda r: r["w"])
     return np.array([r["w"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
