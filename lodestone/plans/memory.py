@@ -97,7 +97,7 @@ def pending_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select doc_id, substr(text, 1, 6000) as content, length(text) > 6000 as truncated, case when length(text) > 6000 then length(text) end as total_chars from documents")
 def budget_body_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", budget_body(F.col("text"), 6000).alias("b")).select("doc_id", "b.*")
+    return load(spark, sf_dir, "documents").select("doc_id", budget_body(F.col("text"), 6000).alias("b")).select("doc_id", "b.content", "b.truncated", F.col("b.total_chars").cast("long").alias("total_chars"))
 
 
 @register("select id, substr(concat_ws(chr(10), title, nullif(summary, ''), content), 1, 1200) as doc, substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 180) as snippet from memories")
