@@ -55,14 +55,10 @@ def _contract(links: DataFrame, with_path: bool, max_rounds: int) -> list[DataFr
     return records
 
 
-def hierarchy(rows: DataFrame, id_col: str, parent_col: str, with_path: bool = False, max_rounds: int = 400) -> DataFrame:
-    """(id, root_id, depth, in_loop[, path]) of every row with a parent pointer.
+def _walks(rows: DataFrame, id_col: str, parent_col: str, with_path: bool, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, walks): (v, p) of every id, and (v, root, d, on, cut, path) of those that have a pointer or are pointed at.
 
-    root_id is the last node reached by following the pointers, depth the steps to it, path the nodes from the row to
-    it, both included. A pointer to an id that is not in the table ends the chain at the row that holds it: depth 0, and
-    the row is its own root. If the chain never ends, depth is -1, root_id is the smallest id on the loop it runs into
-    and path is null; in_loop tells the rows on the loop from those that lead to it. Rows with a null id are ignored; if
-    an id occurs more than once, the row with the smallest pointer counts. An empty table gives an empty result.
+    cut tells chains that end at a pointer to nowhere. The path of a node whose chain never ends goes once around the loop.
     """
     base = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("v")).agg(F.min(parent_col).alias("p"))
     kind = base.schema["v"].dataType
@@ -70,39 +66,75 @@ def hierarchy(rows: DataFrame, id_col: str, parent_col: str, with_path: bool = F
     known = base.select(F.col("v").alias("p"))
     held = base.where("p is not null")
     good = held.join(known, "p", "left_semi")
-    broken = held.join(known, "p", "left_anti").select("v")
+    broken = held.join(known, "p", "left_anti").select("v", F.lit(True).alias("cut"))
     empty = F.array().cast(f"array<{kind.simpleString()}>")
     links = good.select("v", "p", F.lit(1).cast("int").alias("w"), F.col("v").alias("low"), empty.alias("via"))
     records = _contract(links, with_path, max_rounds)
     path_of = (lambda v: F.array(v)) if with_path else (lambda v: empty)
     # of the rows that end a chain only those that others point at are looked up
-    ends = base.where("p is null").select("v").join(good.select(F.col("p").alias("v")).distinct(), "v", "left_semi").union(broken)
-    solved = ends.select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(False).alias("on"), path_of("v").alias("path"))
+    ends = base.where("p is null").select("v").join(good.select(F.col("p").alias("v")).distinct(), "v", "left_semi").select("v", F.lit(False).alias("cut")).union(broken)
+    solved = ends.select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(False).alias("on"), "cut", path_of("v").alias("path"))
+    around = F.concat(F.array("v"), "via") if with_path else empty
     for record in records:
-        solved = solved.union(record.where(F.col("kind") == LOOPED).select("v", F.col("low").alias("root"), F.lit(-1).alias("d"), F.lit(True).alias("on"), empty.alias("path")))
+        solved = solved.union(record.where(F.col("kind") == LOOPED).select("v", F.col("low").alias("root"), F.lit(-1).alias("d"), F.lit(True).alias("on"), F.lit(False).alias("cut"), around.alias("path")))
     solved = materialize(solved, "solved")
     parts = [solved]
     for record in reversed(records):
         lookup = parts[0]
         for more in parts[1:]:
             lookup = lookup.union(more)
-        up = lookup.select(F.col("v").alias("p"), "root", "d", F.col("path").alias("up_path"))
+        up = lookup.select(F.col("v").alias("p"), "root", "d", "cut", F.col("path").alias("up_path"))
         kid = lookup.select(F.col("v").alias("kid"), "on")
         # a node spliced out of a chain lies on a loop if its only child does
         got = record.where(F.col("kind") != LOOPED).join(up, "p", "left").join(kid, "kid", "left")
-        path = F.concat(F.array("v"), "via", "up_path") if with_path else F.col("up_path")
+        on = F.coalesce("on", F.lit(False))
+        # the way around the loop from p ends with v and the nodes between them
+        rest = F.when(on, F.slice("up_path", F.lit(1), F.size("up_path") - 1 - F.size("via"))).otherwise(F.col("up_path"))
+        path = F.concat(F.array("v"), "via", rest) if with_path else F.col("up_path")
         depth = F.when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + F.col("w"))
-        parts.append(materialize(got.select("v", "root", depth.cast("int").alias("d"), F.coalesce("on", F.lit(False)).alias("on"), path.alias("path")), "solved"))
+        parts.append(materialize(got.select("v", "root", depth.cast("int").alias("d"), on.alias("on"), "cut", path.alias("path")), "solved"))
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
     discard(*records)
-    out = out.join(held.select("v"), "v", "left_semi")
+    return base, out
+
+
+def hierarchy(rows: DataFrame, id_col: str, parent_col: str, with_path: bool = False, max_rounds: int = 400) -> DataFrame:
+    """(id, root_id, depth, in_loop[, path]) of every row with a parent pointer.
+
+    root_id is the last node reached by following the pointers, depth the steps to it, path the nodes from the row to
+    it, both included. A pointer to an id that is not in the table ends the chain at the row that holds it: depth 0, and
+    the row is its own root. If the chain never ends, depth is -1, root_id is the smallest id on the loop it runs into
+    and path is null; in_loop tells the rows on the loop from those that lead to it. Rows with a null id are ignored; if
+    an id occurs more than once, the row with the smallest pointer counts. An empty table gives an empty result.
+    `chains` gives every row, and paths through loops.
+    """
+    base, out = _walks(rows, id_col, parent_col, with_path, max_rounds)
+    out = out.join(base.where("p is not null").select("v"), "v", "left_semi")
     cols = [F.col("v").alias(id_col), F.col("root").alias("root_id"), F.col("d").alias("depth"), F.col("on").alias("in_loop")]
     return out.select(*cols, *([F.when(F.col("d") >= 0, F.col("path")).alias("path")] if with_path else []))
 
 
+SOUND, DANGLING, TO_DANGLING, ON_LOOP, TO_LOOP = "sound", "dangling", "leads to dangling", "on loop", "leads to loop"
+
+
+def chains(rows: DataFrame, id_col: str, parent_col: str, max_rounds: int = 400) -> DataFrame:
+    """(id, root_id, depth, status, path) of every row, with a pointer or without.
+
+    As `hierarchy`, but a row without a pointer is its own root at depth 0, and the path of a row whose chain never ends
+    holds each node that its pointers reach once, in their order. status is 'sound'; 'dangling' for a row whose pointer
+    names no row and 'leads to dangling' for those whose chain ends there; 'on loop' and 'leads to loop'.
+    """
+    base, out = _walks(rows, id_col, parent_col, True, max_rounds)
+    out = out.join(base.where("p is not null").select("v"), "v", "left_semi")
+    status = F.when(F.col("on"), ON_LOOP).when(F.col("d") < 0, TO_LOOP).when(F.col("cut") & (F.col("d") == 0), DANGLING).when(F.col("cut"), TO_DANGLING).otherwise(SOUND)
+    top = base.where("p is null").select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(SOUND).alias("status"), F.array("v").alias("path"))
+    every = out.select("v", "root", "d", status.alias("status"), "path").union(top)
+    return every.select(F.col("v").alias(id_col), F.col("root").alias("root_id"), F.col("d").alias("depth"), "status", "path")
+
+
 def descendants(paths: DataFrame, id_col: str) -> DataFrame:
-    """(ancestor_id, id, distance): each node below each node, from the paths of `hierarchy`; one row per pair, so nothing is gathered."""
+    """(ancestor_id, id, distance): each node below each node, from the paths of `hierarchy`, or of `chains`, which has those through loops too; one row per pair, so nothing is gathered."""
     steps = paths.where("path is not null").select(id_col, F.posexplode("path").alias("distance", "ancestor_id"))
     return steps.where("distance > 0").select("ancestor_id", id_col, "distance")

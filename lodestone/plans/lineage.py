@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import descendants, hierarchy
+from ..operators.hierarchy import chains, descendants, hierarchy
 from ..session import load, materialize
 from .registry import register
 
@@ -18,6 +18,16 @@ _WALK = """with recursive walk as (
 ended as (select id, coalesce(loop_id, here) as root_id, case when loop_id is null then d else -1 end as depth, seen from (
   select *, row_number() over (partition by id order by d desc) as r from walk) where r = 1)"""
 
+#: Every memory, with what its pointers reach, each once.
+_CHAINS = """with recursive walk as (
+  select id, id as here, superseded_by as nxt, [id] as seen, cast(null as varchar) as back from memories where id is not null
+  union all
+  select w.id, m.id, m.superseded_by, case when list_contains(w.seen, m.id) then w.seen else list_append(w.seen, m.id) end, case when list_contains(w.seen, m.id) then m.id end
+  from walk w join memories m on m.id = w.nxt where w.back is null),
+chains as (select id, case when back is null then here else list_min(seen[list_position(seen, back):]) end as root_id, case when back is null then len(seen) - 1 else -1 end::int as depth, seen,
+  case when back = id then 'on loop' when back is not null then 'leads to loop' when nxt is null then 'sound' when here = id then 'dangling' else 'leads to dangling' end as status
+  from walk w where back is not null or nxt is null or nxt not in (select id from memories where id is not null))"""
+
 
 @register(_WALK + " select id, root_id, depth::int as depth from ended")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +48,20 @@ def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(materialize(got, "paths"), "id")
 
 
+@register(_CHAINS + " select id, root_id, depth, status, array_to_string(seen, '>') as path from chains")
+def p6_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every memory with its path, depth and root, and whether its chain is sound, ends at a pointer to nowhere, or is or leads to a loop, around which the path goes once."""
+    got = chains(load(spark, sf_dir, "memories").select("id", "superseded_by"), "id", "superseded_by")
+    return got.select("id", "root_id", "depth", "status", F.array_join("path", ">").alias("path"))
+
+
+@register(_CHAINS + ", steps as (select id, unnest(seen) as ancestor_id, unnest(range(len(seen))) as distance from chains) select ancestor_id, id, distance::int as distance from steps where distance > 0")
+def p6_all_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All memories that a memory replaced, directly or not, also where the chain runs into a loop; distance is the least number of steps."""
+    got = chains(load(spark, sf_dir, "memories").select("id", "superseded_by"), "id", "superseded_by")
+    return descendants(materialize(got, "paths"), "id")
+
+
 @register(
     _WALK
     + """, gold as (select id, unnest(relevant_ids) as relevant_id from recall_eval where id is not null)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodestone.operators.components import components
-from lodestone.operators.hierarchy import descendants, hierarchy
+from lodestone.operators.hierarchy import chains, descendants, hierarchy
 
 
 def walk(parents):
@@ -52,6 +52,27 @@ def test_paths_nulls_and_repeats(spark):
     assert {(r.ancestor_id, r.id, r.distance) for r in descendants(got, "id").collect()} == {("b", "a", 1), ("c", "a", 2), ("c", "b", 1)}
 
 
+def test_chains_of_every_row(spark):
+    r = random.Random(3)
+    parents = {f"n{i:03}": r.choice([None, "missing", *[f"n{j:03}" for j in range(max(0, i - 3), min(200, i + 3))]]) for i in range(200)}
+    parents |= {f"b{i}": f"b{(i + 1) % 9}" for i in range(9)} | {f"t{i:02}": f"t{i + 1:02}" if i < 19 else "b4" for i in range(20)} | {"s": "s", "u": "s", "alone": None}
+    want = {}
+    for v in parents:
+        path = [v]
+        while (p := parents[path[-1]]) in parents and p not in path:
+            path.append(p)
+        if p in path:
+            loop = path[path.index(p) :]
+            want[v] = (min(loop), -1, "on loop" if v in loop else "leads to loop", path)
+        else:
+            want[v] = (path[-1], len(path) - 1, "sound" if p is None else "dangling" if len(path) == 1 else "leads to dangling", path)
+    df = chains(spark.createDataFrame(list(parents.items()), "id string, p string"), "id", "p").cache()
+    assert {x.id: (x.root_id, x.depth, x.status, x.path) for x in df.collect()} == want and df.count() == len(parents)
+    assert {w[2] for w in want.values()} == {"sound", "dangling", "leads to dangling", "on loop", "leads to loop"}
+    links = {(x.ancestor_id, x.id, x.distance) for x in descendants(df, "id").collect()}
+    assert links == {(a, v, i) for v, w in want.items() for i, a in enumerate(w[3]) if i} and ("t19", "t00", 19) in links
+
+
 def test_empty_and_long_ids(spark):
     assert hierarchy(spark.createDataFrame([], "id string, p string"), "id", "p").count() == 0
     df = spark.createDataFrame([(1, 2), (2, 3), (3, None)], "id long, p long")
