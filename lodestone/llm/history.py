@@ -47,9 +47,9 @@ def held_intake(history: DataFrame, history_text: Column, intake: DataFrame, ord
 class HistoryTable:
     """A stored pivot-distance table to probe batches against and append accepted rows to.
 
-    Four Parquet folders below `path`: texts (rid, words), marks (rid, n, s1, s2), larger and smaller (region rows). A
-    probe reads the regions and marks of the history, and scans its words for those of candidates, which alone are
-    shuffled; no text of the history is cut into words again.
+    Five Parquet folders below `path`: texts (rid, words), copies (k1, k2), the hashes of the whole word sets, marks (rid,
+    n, s1, s2), larger and smaller (region rows). A probe reads the hashes, regions and marks of the history, and scans
+    its words for those of candidates, which alone are shuffled; no text of the history is cut into words again.
     """
 
     def __init__(self, spark: SparkSession, path: str, theta: float, keys, counts, total: int):
@@ -68,7 +68,7 @@ class HistoryTable:
     def _append(self, texts: DataFrame) -> None:
         # the top bits number the part, so rids of different parts never clash
         texts = texts.withColumn("rid", F.col("rid").bitwiseOR(F.lit(self.parts << 48)))
-        for name, df in (("texts", texts.select("rid", "words")), ("marks", sketches(texts)), ("larger", region_rows(texts, self.theta, False, *self.order)), ("smaller", region_rows(texts, self.theta, True, *self.order))):
+        for name, df in (("texts", texts.select("rid", "words")), ("copies", texts.select("k1", "k2")), ("marks", sketches(texts)), ("larger", region_rows(texts, self.theta, False, *self.order)), ("smaller", region_rows(texts, self.theta, True, *self.order))):
             df.write.mode("append").parquet(f"{self.path}/{name}")
         self.parts += 1
 
@@ -81,10 +81,11 @@ class HistoryTable:
         texts = materialize(texts.withColumn("rid", -1 - F.col("rid")), "batch")
         mine = "a.tag <> b.tag"
         pairs = join_regions(region_rows(texts, self.theta, False, *self.order), self._read("smaller"), self.theta, mine).union(join_regions(self._read("larger"), region_rows(texts, self.theta, True, *self.order), self.theta, mine))
-        # a text whose equal is held: sizes are equal and the batch has the smaller rid, so the second join finds it
         every = texts.select("rid", "words").unionByName(self._read("texts"))
         near = verify(materialize(pairs, "candidates"), every, self.theta, sketches(texts).unionByName(self._read("marks")))
-        hit = near.select(F.least("a", "b").alias("rid")).distinct().select((-1 - F.col("rid")).alias("rid"), F.lit(True).alias("held"))
+        # regions are sure to join different texts only: one of few and frequent words has none, so equal ones join by their hashes
+        equal = texts.join(self._read("copies"), ["k1", "k2"], "left_semi").select("rid")
+        hit = near.select(F.least("a", "b").alias("rid")).union(equal).distinct().select((-1 - F.col("rid")).alias("rid"), F.lit(True).alias("held"))
         got = members.join(hit, "rid", "left").select(F.col("doc").alias(id_col), F.coalesce("held", F.lit(False)).alias("held"))
         return batch.select(id_col).join(got, id_col, "left").select(id_col, F.coalesce("held", F.lit(False)).alias("held"))
 

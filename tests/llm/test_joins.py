@@ -158,6 +158,15 @@ def test_history_table_batches(spark):
         accepted += [words(t) for _, t in fresh]
 
 
+def test_history_table_copies_of_frequent_words(spark):
+    # more texts than REGION_TEXTS hold the words, so that their regions ask for words that short texts don't have
+    hist = [f"done now w{i} v{i} u{i} t{i}" for i in range(setjoin.REGION_TEXTS + 100)] + ["done", "now done"]
+    table = HistoryTable.build(spark.createDataFrame([(t,) for t in hist], "t string"), F.col("t"), 0.7)
+    rows = [("one", "Done."), ("two", "done, now"), ("other", "now"), ("new", "done w1"), ("long", hist[5] + "!")]
+    got = {r.k: r.held for r in table.probe(spark.createDataFrame(rows, "k string, t string"), "k", F.col("t")).collect()}
+    assert got == {"one": True, "two": True, "other": False, "new": False, "long": True}
+
+
 def test_chunks():
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     assert cut(text, 0) == text.split() and cut("", 3) == []
