@@ -24,6 +24,8 @@ LEAST_WORDS, LEAST_COMMON, COMMON_SHARE = 4, 2, 0.18
 #: A document is prose if at least this share of its characters is in such lines, repetitions not counted.
 PROSE_SHARE = 0.5
 NGRAM = 3
+#: Words of a run that counts as filler where it stood before in the sentences of the document.
+RUN = 6
 
 FIELDS = [("n_chars", "long"), ("n_words", "long"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("terminal_line_share", "double"), ("common_word_share", "double"), ("list_line_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("ngram_coverage", "double"), ("prose_share", "double"), ("language", "string"), ("is_prose", "boolean")]
 
@@ -34,6 +36,22 @@ def _repeated(units: list[str]) -> float:
     return 1 - sum(map(len, set(units))) / total if total else 0.0
 
 
+def _fresh(ws: list[str], before: list[str], runs: set[tuple[str, ...]]) -> float:
+    """Share of the characters of the words ws, which follow those of `before`, outside runs of RUN words that are in `runs`; adds the runs that end in ws."""
+    all_ws = before + ws
+    at, old, until = len(before), [False] * len(all_ws), 0
+    for end in range(max(RUN, at + 1), len(all_ws) + 1):
+        run = tuple(all_ws[end - RUN : end])
+        if run in runs:
+            until = max(until, end - RUN)
+            old[until:end] = [True] * (end - until)
+            until = end
+        else:
+            runs.add(run)
+    total = sum(map(len, ws))
+    return 1 - sum(len(w) for w, o in zip(ws, old[at:]) if o) / total if total else 1.0
+
+
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = [x for x in text.split("\n") if x and not x.isspace()]
@@ -46,6 +64,8 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     n = len(bare)
     chars = prose = listed = ended = 0
     seen: set[str] = set()
+    runs: set[tuple[str, ...]] = set()
+    last: list[str] = []
     before = False
     for line in lines:
         body = line.strip()
@@ -76,11 +96,14 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
         else:
             before = good and not body.endswith((".", "?", "!"))
         if good:
-            # sentences of a line that stood before in the document are filler
+            # sentences of a line that stood before in the document are filler, and so are runs of words, across lines and without end marks
+            low = [w.lower() for w in ws]
+            fresh = _fresh(low, last, runs)
+            last = (last + low)[1 - RUN :]
             for part in re.split(r"(?<=[.!?;])\s+", core):
                 if part[-1:] != ";" and part not in seen:
                     seen.add(part)
-                    prose += len(part) + 1
+                    prose += (len(part) + 1) * fresh
             if m:
                 prose += m.end()
     grams = Counter(zip(*(bare[i:] for i in range(NGRAM))))
@@ -100,7 +123,7 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFr
 
     common_words (lang, word) is a fixed list of some hundred words; a document's language is the one with the most
     hits. A line is sentence text by its share of common words, whatever stands before it or how it is wrapped; sentences
-    that occurred before in the document, list entries, table rows, records, code, log lines and random words are not.
+    and runs of RUN words that occurred before in the document, list entries, table rows, records, code, log lines and random words are not.
     is_prose is null where there is no text (null, empty, white space), whose statistics are 0.
     """
     by_lang: dict[str, set[str]] = {}

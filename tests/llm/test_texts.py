@@ -159,6 +159,31 @@ def test_not_prose(text):
     assert quality.statistics(text, COMMON)[-1] is False
 
 
+FILLER = "the team of the plan will be in a review and " * 60
+
+
+def wrapped(text, seed=5):
+    r, ws, lines = random.Random(seed), text.split(), []
+    while ws:
+        n = r.randrange(8, 30)
+        lines.append(" ".join(ws[:n]))
+        ws = ws[n:]
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("text", [FILLER, wrapped(FILLER), "".join(f"the team of the plan {i} will be in a review and the " for i in range(60)), "\n\n".join(wrapped(FILLER[:600], i) for i in range(6))])
+def test_filler_without_end_marks(text):
+    common = {"en": frozenset("the of will be in a and".split())}
+    assert quality.statistics(text, common)[-1] is False
+    assert quality.statistics(FILLER[:45], common)[-1] is True
+
+
+def test_prose_with_a_recurring_phrase():
+    common = {"en": frozenset("the of will be in a and".split())}
+    text = "\n".join(f"In the review of the plan the {w}1 and the {w}2 of {w}3 will be in {w}4 and a {w}5 of the {w}6." for w in "abcdefgh")
+    assert quality.statistics(text, common)[-1] is True
+
+
 def test_quality_frame(spark):
     words = spark.createDataFrame([("en", w) for w in COMMON["en"]] + [("en", None), (None, "x")], "lang string, word string")
     rows = [(1, PROSE), (2, None), (3, ""), (4, " \n "), (5, "a a a a a a"), (6, "x" * 1_000_000), (7, "same line\nsame line\n\nsame line\nsame line")]
