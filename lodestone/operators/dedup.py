@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine
-from ..session import materialize
+from ..session import discard, materialize
+from .components import components
 
 #: Cosine above which rows are candidates, neighbours looked at per row, pairs of a judge's batch, characters per side.
 DUP_COSINE, TOP_S, JUDGE_BATCH, JUDGE_CHARS = 0.9, 3, 8, 700
@@ -181,32 +182,61 @@ def judge_pairs(pairs: DataFrame, judge: Callable[[list[tuple[str, str]]], str],
     return pairs.mapInPandas(run, schema)
 
 
+#: Verdicts that one task settles in order; more are first brought down in rounds.
+SETTLE_ROWS = 200_000
+
+
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    """The verdicts (seq, winner, loser) of `part` that take effect, one after another."""
+    gone: set = set()
+    hit = []
+    for t in part.sort_values(["seq", "winner", "loser"]).itertuples(index=False):
+        if t.winner not in gone and t.loser not in gone:
+            gone.add(t.loser)
+            hit.append((t.loser, t.winner))
+    return pd.DataFrame(hit, columns=["loser", "winner"])
+
+
 def apply_judged(rows: DataFrame, judged: DataFrame, max_rounds: int = 50) -> DataFrame:
     """rows (id, status, superseded_by, pinned, source_kind, archived_at, ...) after the verdicts of judged (seq, a, b, verdict, keep).
 
-    Verdicts take effect in the order of seq: a loser flips only while it is active, not pinned and no decision, and its
-    winner live. A verdict whose rows no earlier undecided verdict touches can be settled at once; rounds settle all such
-    until none is left, so nothing is gathered on the driver.
+    Verdicts take effect in the order of seq, then winner and loser: a loser flips only while it is active, not pinned
+    and no decision, and its winner live. Those that the rows alone rule out are dropped at once. In each round every
+    verdict takes effect whose ends no earlier one left can flip, and all later ones that name its loser are dropped with
+    it; so in an order unrelated to the ids the rounds needed grow as the logarithm of the verdicts. What is at most
+    SETTLE_ROWS, or left after max_rounds, is settled in order, one task for each connected part; nothing is gathered on
+    the driver.
     """
-    todo = judged.where("verdict = 1 and keep in ('a', 'b')").select("seq", F.expr("if(keep = 'a', a, b)").alias("winner"), F.expr("if(keep = 'a', b, a)").alias("loser"))
-    todo = materialize(todo, "todo")
-    state = rows.select("id", (F.col("archived_at").isNull() & (F.coalesce("status", F.lit("active")) == "active")).alias("up"), ((F.coalesce("status", F.lit("active")) == "active") & (F.coalesce("pinned", F.lit(False)) == F.lit(False)) & ~F.col("source_kind").eqNullSafe("decision")).alias("may"))
-    flipped = None
-    for _ in range(max_rounds):
-        if todo.isEmpty():
-            break
-        ends = todo.select("seq", F.explode(F.array("winner", "loser")).alias("id"))
-        first = ends.groupBy("id").agg(F.min("seq").alias("first"))
-        ready = todo.join(first.toDF("winner", "fw"), "winner").join(first.toDF("loser", "fl"), "loser").where("seq = fw and seq = fl").select("seq", "winner", "loser")
-        ready = materialize(ready, "ready")
-        now = state if flipped is None else state.join(flipped.select(F.col("loser").alias("id"), F.lit(True).alias("gone")), "id", "left").select("id", (F.col("up") & F.col("gone").isNull()).alias("up"), (F.col("may") & F.col("gone").isNull()).alias("may"))
-        hit = ready.join(now.select(F.col("id").alias("winner"), "up"), "winner").join(now.select(F.col("id").alias("loser"), "may"), "loser").where("up and may and winner <> loser").select("loser", "winner")
-        flipped = materialize(hit if flipped is None else flipped.union(hit), "flipped")
-        todo = materialize(todo.join(ready.select("seq"), "seq", "left_anti"), "todo")
-    else:
-        raise RuntimeError("verdicts did not settle")
-    if flipped is None:
+    todo = judged.where("verdict = 1 and keep in ('a', 'b')").select("seq", F.expr("if(keep = 'a', a, b)").alias("winner"), F.expr("if(keep = 'a', b, a)").alias("loser")).where("winner <> loser")
+    active = F.coalesce("status", F.lit("active")) == "active"
+    up = rows.where(F.col("archived_at").isNull() & active).select(F.col("id").alias("winner"))
+    may = rows.where(active & (F.coalesce("pinned", F.lit(False)) == F.lit(False)) & ~F.col("source_kind").eqNullSafe("decision")).select(F.col("id").alias("loser"))
+    todo = materialize(todo.join(up, "winner", "left_semi").join(may, "loser", "left_semi").select("seq", "winner", "loser").distinct(), "todo")
+    flipped, left, rounds = None, todo.count(), 0
+    if not left:
         return rows
-    won = rows.join(flipped.withColumnRenamed("loser", "id"), "id", "left")
+    while left > SETTLE_ROWS and rounds < max_rounds:
+        o = F.struct("seq", "winner", "loser")
+        first = materialize(todo.groupBy("loser").agg(F.min(o).alias("first")), "first")
+        mine = todo.join(first, "loser").where(o == F.col("first")).drop("first")
+        over = first.toDF("winner", "first")
+        ready = materialize(mine.join(over, "winner", "left").where(F.col("first").isNull() | (F.col("first") > o)).select("seq", "winner", "loser"), "ready")
+        out = ready.select(F.col("loser").alias("id"), o.alias("at"))
+        # a flipped row loses no more, and wins nothing after its flip
+        rest = todo.join(out.toDF("loser", "at"), "loser", "left_anti").join(out.toDF("winner", "at"), "winner", "left").where(F.col("at").isNull() | (o < F.col("at"))).select("seq", "winner", "loser")
+        nxt = materialize(rest, "todo")
+        hit = ready.select("loser", "winner")
+        flipped = hit if flipped is None else flipped.union(hit)
+        discard(todo, first)
+        todo, left, rounds = nxt, nxt.count(), rounds + 1
+    kind = todo.schema["loser"].dataType.simpleString()
+    if left:
+        part = todo.withColumn("part", F.lit(0))
+        if left > SETTLE_ROWS:
+            named = components(todo.select(F.col("winner").alias("u"), F.col("loser").alias("v")))
+            part = todo.join(named.toDF("loser", "part"), "loser")
+        hit = part.groupBy("part").applyInPandas(lambda x: _settle(x), f"loser {kind}, winner {kind}")
+        flipped = hit if flipped is None else flipped.union(hit)
+    won = rows.join(materialize(flipped, "flipped").withColumnRenamed("loser", "id"), "id", "left")
     new = {"status": F.when(F.col("winner").isNotNull(), F.lit("superseded")).otherwise(F.col("status")), "superseded_by": F.coalesce("winner", "superseded_by")}
     return won.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])

@@ -1,5 +1,7 @@
 import json
 import math
+import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -72,6 +74,28 @@ def test_apply_judged_in_order(spark):
     assert dedup.apply_judged(rows, judged.where("verdict = 0")).columns == rows.columns
 
 
+@pytest.mark.parametrize(("limit", "rounds"), [(dedup.SETTLE_ROWS, 50), (20, 50), (0, 1)])
+def test_apply_judged_of_many_copies(spark, monkeypatch, limit, rounds):
+    # in one task, in rounds, and by components after them: the same as one verdict after another
+    monkeypatch.setattr(dedup, "SETTLE_ROWS", limit)
+    r = random.Random(4)
+    ids = [f"m{i:02}" for i in range(75)]
+    groups = [ids[:60], ids[60:]]
+    pairs = [(a, b) for g in groups for i, a in enumerate(g) for b in g[i + 1 :]]
+    verdicts = [(s, a, b, 1, r.choice("ab") if a > "m50" else "b") for s, (a, b) in zip(r.sample(range(10_000), len(pairs)), pairs)]
+    held = {x: r.choice(["pinned", "archived", "decision", "superseded"]) for x in r.sample(ids, 12)}
+    rows = [(x, "superseded" if held.get(x) == "superseded" else None, None, held.get(x) == "pinned", held.get(x) if held.get(x) == "decision" else None, datetime(2026, 1, 1) if held.get(x) == "archived" else None) for x in ids]
+    gone = {}
+    for _, a, b, _, keep in sorted(verdicts):
+        w, lo = (a, b) if keep == "a" else (b, a)
+        if w not in gone and lo not in gone and held.get(w) not in ("archived", "superseded") and held.get(lo) not in ("pinned", "decision", "superseded"):
+            gone[lo] = w
+    df = spark.createDataFrame(rows, "id string, status string, superseded_by string, pinned boolean, source_kind string, archived_at timestamp")
+    judged = spark.createDataFrame(verdicts, "seq long, a string, b string, verdict int, keep string")
+    got = {x.id: x.superseded_by for x in dedup.apply_judged(df, judged, rounds).collect()}
+    assert got == {x: gone.get(x) for x in ids} and len(gone) > 50
+
+
 def test_judge_failure_leaves_batch(spark):
     pairs = spark.createDataFrame([(str(i), "x" if i == 9 else "y", "y", False, None) for i in range(10)], "k string, side_a string, side_b string, pinned_a boolean, pinned_b boolean")
 
