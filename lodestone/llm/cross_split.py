@@ -1,9 +1,9 @@
 """Same or near-same records across splits (problem 2).
 
 Records are normalised (lower case, distinct words) and cut where a rolling hash of their bytes meets a mask at the end
-of a word. Records that share chunk digests across splits are candidates; the summed lengths of the shared chunks give
-each record's overlap fraction. With mask_bits=0 each word is a chunk, and the share of common chunks is the word share,
-so a threshold on it is met exactly; more bits make longer chunks, for long records, at the price of missing some pairs.
+of a word. Records that share enough of their chunk digests across splits are candidates, with the summed lengths of the
+shared chunks over those of all as overlap; the true word share decides. Short records may share no chunk though most of
+their words are common: the pairs that the chunks did not bring are found with words as chunks.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize
-from .setjoin import collapse, similar_texts, words
+from .setjoin import SET_COLUMNS, collapse, digest, frequent_words, join_regions, region_rows, set_columns, similar_texts, tag_of, verify, word_sets, words
 
 TRAIN, OTHER = 1, 2
 WINDOW, BASE = 12, 257
@@ -54,41 +53,61 @@ def cut(record: str, mask_bits: int) -> list[str]:
 
 
 def _chunker(mask_bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, lengths = [], []
-            for record in b["record"]:
-                got = {xxhash.xxh64_intdigest(c) - (1 << 63): len(c) for c in cut(record, mask_bits)}
-                keys = sorted(got)
-                digests.append(keys)
-                lengths.append([got[k] for k in keys])
-            yield pd.DataFrame({"doc": b["doc"], "tag": b["tag"], "words": digests, "lengths": lengths})
+            chunks = [list(dict.fromkeys(cut(r or "", mask_bits))) for r in b.column("record").to_pylist()]
+            flat = [c for cs in chunks for c in cs]
+            n = np.array([len(cs) for cs in chunks], np.int64)
+            h = np.array([digest(c) for c in flat] or [0], np.int64)[: len(flat)]
+            row = np.repeat(np.arange(len(n)), n)
+            size = np.array([len(c) for c in flat] or [0], np.int32)[: len(flat)]
+            order = np.lexsort((h, row))  # the order of the digests in `words`
+            lengths = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(size[order]))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), *set_columns(row, h, len(n)), lengths], ["doc", "tag", "words", "n", "k1", "k2", "s", "lengths"])
 
     return run
 
 
-def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", theta: float = 0.8, mask_bits: int = 0) -> DataFrame:
-    """(train_id, other_id, share, train_overlap, other_overlap) of each train row and row of another split that overlap.
+#: Zero bits that end a chunk (of four words on average), and the share of common chunks from which a pair is a candidate.
+MASK_BITS, CHUNK_SHARE = 2, 0.2
 
-    share is the number of common chunks over that of all chunks of the two, at least theta; the overlaps are the summed
-    lengths of the common chunks over those of all chunks of the record, in characters. Rows whose id, split or words
-    are missing take part in nothing. Copies of a text are joined as one; pairs are expanded at the end.
+
+def _across(a: str = "a", b: str = "b") -> str:
+    """SQL: one of the two classes has a train row and the other one of another split."""
+    return f"({tag_of(a)} | {tag_of(b)}) = 3 and ({tag_of(a)} <> {tag_of(b)} or {tag_of(a)} = 3)"
+
+
+def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", theta: float = 0.8, mask_bits: int = MASK_BITS, chunk_share: float = CHUNK_SHARE) -> DataFrame:
+    """(train_id, other_id, share, train_overlap, other_overlap, by_chunks) of each train row and row of another split whose word share is at least theta.
+
+    The overlaps are the summed lengths of the common words over those of all words of the record, in characters.
+    by_chunks tells the pairs that the content-defined chunks brought from those that only words as chunks did. Rows whose
+    id, split or words are missing take part in nothing. Copies of a text are joined as one; pairs are expanded at the end.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull())
-    norm = rows.select(F.col(id_col).alias("doc"), F.when(F.col(split_col) == train, TRAIN).otherwise(OTHER).alias("tag"), F.array_join(words(F.col(text_col)), " ").alias("record"))
-    doc_type = df.schema[id_col].dataType.simpleString()
-    chunked = materialize(norm.mapInPandas(_chunker(mask_bits), f"doc {doc_type}, tag int, words array<long>, lengths array<int>"), "chunks")
-    sets = chunked.select("doc", "tag", "words").withColumns({"k1": F.xxhash64("words"), "k2": F.hash("words"), "n": F.size("words")})
-    members, texts = collapse(sets)
-    links = similar_texts(texts, theta, "((a.tag | b.tag) & 3) = 3 and (a.tag <> b.tag or a.tag = 3)")
-    same = texts.where("tag = 3").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(1.0).alias("share"))
-    links = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "share")).union(same), "links")
-    discard(texts)
-    size = chunked.select("doc", "words", "lengths")
-    left = members.where(f"tag = {TRAIN}").select(F.col("doc").alias("train_id"), F.col("rid").alias("a"))
-    right = members.where(f"tag = {OTHER}").select(F.col("doc").alias("other_id"), F.col("rid").alias("b"))
-    pairs = left.join(links, "a").join(right, "b").select("train_id", "other_id", "share")
+    norm = rows.select(F.col(id_col).alias("doc"), F.when(F.col(split_col) == train, TRAIN).otherwise(OTHER).alias("tag"), F.array_join(words(F.col(text_col)), " ").alias("record")).where("record <> ''")
+    norm = materialize(norm, "records")
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"doc {kind}, {SET_COLUMNS}, lengths array<int>"
+    members, texts = collapse(word_sets(norm, "doc", F.col("record"), F.col("tag")))
+    chunked, cuts = collapse(norm.mapInArrow(_chunker(mask_bits), schema).drop("lengths"))
+    # the classes of equal chunks to those of equal words, which are coarser
+    of = materialize(chunked.select("doc", F.col("rid").alias("c")).join(members.select("doc", "rid"), "doc").select("c", "rid").distinct(), "classes")
+    alike = similar_texts(cuts, chunk_share, _across()).select("a", "b")
+    found = alike.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+    brought = materialize(verify(materialize(found, "candidates"), texts, theta).withColumn("by_chunks", F.lit(True)), "brought")
+    keys, counts = frequent_words(texts)
+    others = join_regions(region_rows(texts, theta, keys, counts, texts.count()), theta, _across()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    left = materialize(others.join(brought.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    links = brought.union(verify(left, texts, theta).withColumn("by_chunks", F.lit(False)))
+    same = texts.where("tag = 3").select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(1.0).alias("share"), F.lit(True).alias("by_chunks"))
+    links = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "share", "by_chunks")).union(same), "links")
+    size = materialize(norm.mapInArrow(_chunker(0), schema).select("doc", "words", "lengths"), "lengths")
+    discard(texts, cuts, of, brought, left)
+    one = members.where(F.col("tag") == TRAIN).select(F.col("doc").alias("train_id"), F.col("rid").alias("a"))
+    two = members.where(F.col("tag") == OTHER).select(F.col("doc").alias("other_id"), F.col("rid").alias("b"))
+    pairs = one.join(links, "a").join(two, "b").select("train_id", "other_id", "share", "by_chunks")
     pairs = pairs.join(size.toDF("train_id", "wa", "la"), "train_id").join(size.toDF("other_id", "wb", "lb"), "other_id")
     shared = F.expr("aggregate(filter(arrays_zip(wa, la), x -> array_contains(wb, x.wa)), 0, (s, x) -> s + x.la)")
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
-    return pairs.select("train_id", "other_id", "share", (shared / total("la")).alias("train_overlap"), (shared / total("lb")).alias("other_overlap"))
+    return pairs.select("train_id", "other_id", "share", (shared / total("la")).alias("train_overlap"), (shared / total("lb")).alias("other_overlap"), "by_chunks")

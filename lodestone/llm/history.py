@@ -1,94 +1,172 @@
 """Deduplicating new batches against all history (problem 5).
 
-The pivot-distance table holds, for each accepted text, its distances to fixed pivots: the empty set (the number of its
-words) and the single-word pivots it can meet a similar text at (with the distance of what it has left from there on).
-The triangle inequality on these prunes the join of a batch with the table, the true distance decides, and accepted rows
-are appended. The order of the pivots is fixed when the table is made.
+The pivot-distance table stores, for each accepted text, its distances to fixed pivots: the empty set (the number of its
+words, and the parities of that on 64 slices of the vocabulary) and the pivots at which it can meet a similar text, rare
+words and pairs and triples of frequent ones (with what it has left from there on). The table is partitioned by ranges of
+the pivots and sorted by them within each. A probe reads the ranges its batch has pivots in, prunes by the triangle
+inequality within the join, verifies the true word share of what is left, and rows are appended as a new part. The order
+of the pivots is fixed when the table is made and stored with it, so that a later session goes on where one ended.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize, release_shuffles, shared_dir
-from .setjoin import collapse, frequent_words, join_regions, region_rows, similar_texts, sketches, verify, word_sets
+from ..session import discard, materialize, shared_dir
+from .setjoin import collapse, frequent_words, may_be_near, region_rows, similar_texts, word_sets
 
-HISTORY, INTAKE = 1, 2
-
-
-def held_intake(history: DataFrame, history_text: Column, intake: DataFrame, order_col: str, intake_text: Column, theta: float = 0.8) -> DataFrame:
-    """(order_col, held, by_history) of every intake row: held if its word share with any history row, or with an intake row of a smaller order_col, is at least theta.
-
-    This is what taking the batches one after another with `HistoryTable` gives if held rows, too, stay comparable, in
-    one pass. order_col must be a unique long; rows where it is null are ignored. Texts without words are never held.
-    Either table may be empty. Copies form one class: their pairs are never made.
-    """
-    a = word_sets(history.select(F.lit(-1).cast("long").alias("doc"), history_text.alias("text")), "doc", F.col("text"), F.lit(HISTORY))
-    b = word_sets(intake.where(F.col(order_col).isNotNull()).select(F.col(order_col).cast("long").alias("doc"), intake_text.alias("text")), "doc", F.col("text"), F.lit(INTAKE))
-    members, texts = collapse(a.union(b))
-    links = materialize(similar_texts(texts, theta, "((a.tag | b.tag) & 2) <> 0"), "links")
-    release_shuffles(texts.sparkSession)
-    arrived = members.where("tag = 2").select("rid", "doc")
-    first = arrived.groupBy("rid").agg(F.min("doc").alias("first"))
-    seen = texts.select("rid", ((F.col("tag").bitwiseAND(HISTORY)) > 0).alias("old")).join(first, "rid", "left")
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.join(seen.withColumnRenamed("rid", "b"), "b").groupBy(F.col("a").alias("rid")).agg(F.bool_or("old").alias("near_old"), F.min("first").alias("near_first"))
-    state = materialize(seen.join(near, "rid", "left"), "state")
-    discard(texts)
-    got = arrived.join(state, "rid").select(F.col("doc").alias("_o"), (F.col("old") | F.coalesce("near_old", F.lit(False))).alias("by_history"), F.coalesce(F.least("first", "near_first") < F.col("doc"), F.lit(False)).alias("by_intake"))
-    out = intake.where(F.col(order_col).isNotNull()).select(F.col(order_col).cast("long").alias("_o")).join(got, "_o", "left")
-    old = F.coalesce("by_history", F.lit(False))
-    return out.select(F.col("_o").alias(order_col), (old | F.coalesce("by_intake", F.lit(False))).alias("held"), old.alias("by_history"))
+#: Rows of distances that a range should hold at first, and the most ranges of a table.
+RANGE_ROWS, MOST_RANGES = 500_000, 4096
+#: Rows of distances of a batch that are broadcast at a time, 32 bytes each; a larger batch takes several turns.
+TURN_ROWS = 500_000
+#: Intake rows that make a load: smaller batches that follow each other are taken together.
+LOAD_ROWS = 10_000
 
 
 class HistoryTable:
-    """A stored pivot-distance table to probe batches against and append accepted rows to.
+    """A stored pivot-distance table to probe batches against and append rows to.
 
-    Five Parquet folders below `path`: texts (rid, words), copies (k1, k2), the hashes of the whole word sets, marks (rid,
-    n, s1, s2), larger and smaller (region rows). A probe reads the hashes, regions and marks of the history, and scans
-    its words for those of candidates, which alone are shuffled; no text of the history is cut into words again.
+    Below `path`: order (word, count) and facts (theta, total, ranges), written once; distances and texts, by part and
+    range; log, one row per part. A part counts once it stands in the log, and writing it again replaces it, so a write
+    that was cut short leaves nothing behind.
     """
 
-    def __init__(self, spark: SparkSession, path: str, theta: float, keys, counts, total: int):
-        self.spark, self.path, self.theta, self.order, self.parts = spark, path, theta, (keys, counts, total), 0
+    def __init__(self, spark: SparkSession, path: str):
+        """Open a table that `build` has made."""
+        self.spark, self.path = spark, path
+        facts = spark.read.parquet(f"{path}/facts").first()
+        self.theta, self.ranges = facts["theta"], facts["ranges"]
+        order = spark.read.parquet(f"{path}/order").toPandas().sort_values("word")  # bounded, see frequent_words
+        self.order = (order["word"].to_numpy(np.int64), order["count"].to_numpy(np.int64), facts["total"])
 
     @classmethod
-    def build(cls, history: DataFrame, text: Column, theta: float = 0.8, path: str | None = None) -> HistoryTable:
+    def build(cls, history: DataFrame, text: Column, theta: float = 0.8, path: str | None = None, range_rows: int = RANGE_ROWS) -> HistoryTable:
+        """Make the table of history, which may be empty, and open it. Texts without words are left out: nothing resembles them."""
+        if not 0 < theta <= 1:
+            raise ValueError("theta must be in (0, 1]")
         spark = history.sparkSession
         path = path or f"{shared_dir(spark)}/lodestone/history-{uuid.uuid4().hex}"
-        _, texts = collapse(word_sets(history.select(F.lit(0).alias("doc"), text.alias("text")), "doc", F.col("text"), F.lit(HISTORY)))
+        members, texts = collapse(word_sets(history.select(F.lit(0).alias("doc"), text.alias("text")), "doc", F.col("text")))
         keys, counts = frequent_words(texts)
-        table = cls(spark, path, theta, keys, counts, max(texts.count(), 1))
+        total = texts.count()
+        rows = region_rows(texts, theta, keys, counts, max(total, 1)).count() if total else 0
+        ranges = 1 << min(max(0, math.ceil(math.log2(max(rows, 1) / range_rows))), MOST_RANGES.bit_length() - 1)
+        spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "word long, count long").write.mode("overwrite").parquet(f"{path}/order")
+        spark.createDataFrame([(theta, max(total, 1), ranges)], "theta double, total long, ranges int").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+        spark.createDataFrame([], "part int, texts long").write.mode("overwrite").parquet(f"{path}/log")
+        table = cls(spark, path)
         table._append(texts)
+        discard(members, texts)
         return table
 
-    def _append(self, texts: DataFrame) -> None:
-        # the top bits number the part, so rids of different parts never clash
-        texts = texts.withColumn("rid", F.col("rid").bitwiseOR(F.lit(self.parts << 48)))
-        for name, df in (("texts", texts.select("rid", "words")), ("copies", texts.select("k1", "k2")), ("marks", sketches(texts)), ("larger", region_rows(texts, self.theta, False, *self.order)), ("smaller", region_rows(texts, self.theta, True, *self.order))):
-            df.write.mode("append").parquet(f"{self.path}/{name}")
-        self.parts += 1
+    def parts(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/log").count()
+
+    def _distances(self, texts: DataFrame) -> DataFrame:
+        """(range, key, rid, m, s): the pivots of each text, and the hash of its whole set as one more, where equal texts meet however few words they have."""
+        near = region_rows(texts, self.theta, *self.order)
+        same = texts.select(F.col("k1").bitwiseXOR(F.col("k2")).alias("key"), "rid", F.expr("(cast(n as long) << 34) | (cast(n as long) << 4) | 2").alias("m"), "s")
+        return near.union(same).withColumn("range", F.shiftrightunsigned("key", 64 - self.ranges.bit_length() + 1).cast("int") if self.ranges > 1 else F.lit(0))
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _append(self, texts: DataFrame) -> None:
+        part = self.parts()
+        by_range = self._distances(texts.withColumn("tag", F.lit(0))).repartition(self.ranges, "range").sortWithinPartitions("range", "key")
+        by_range.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/distances/part={part}")
+        held = texts.select(F.pmod("rid", F.lit(self.ranges)).cast("int").alias("range"), "rid", "words").repartition(self.ranges, "range").sortWithinPartitions("range", "rid")
+        held.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/texts/part={part}")
+        self.spark.createDataFrame([(part, texts.count())], "part int, texts long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def _read(self, name: str, parts: int, ranges: list[int]) -> DataFrame:
+        """The rows of the logged parts in these ranges; other ranges are not read."""
+        kinds = {"distances": "key long, rid long, m long, s long", "texts": "rid long, words array<long>"}
+        return self.spark.read.schema(f"{kinds[name]}, part int, range int").parquet(f"{self.path}/{name}").where((F.col("part") < parts) & F.col("range").isin(ranges))
+
+    def _near(self, texts: DataFrame, parts: int) -> DataFrame:
+        """(rid, part) of each text of the batch and part of the table that holds a text of word share >= theta with it."""
+        asked = materialize(self._distances(texts), "asked")
+        per_range = {r["range"]: r["count"] for r in asked.groupBy("range").count().collect()}  # at most MOST_RANGES
+        rows = sum(per_range.values())
+        turns, found = max(1, math.ceil(rows / TURN_ROWS)), None
+        for t in range(turns):
+            mine = asked.where(F.pmod(F.xxhash64("rid"), F.lit(turns)) == t)
+            cond = f"a.range = b.range and a.key = b.key and {may_be_near(self.theta, False)}"
+            got = self._read("distances", parts, sorted(per_range)).alias("a").join(F.broadcast(mine).alias("b"), F.expr(cond))
+            got = got.select(F.col("b.rid").alias("x"), "part", F.col("a.rid").alias("y")).distinct()
+            found = got if found is None else found.union(got)
+        pairs = materialize(found.withColumn("range", F.pmod("y", F.lit(self.ranges)).cast("int")), "candidates")
+        at = sorted(r["range"] for r in pairs.select("range").distinct().collect())  # at most MOST_RANGES
+        theirs = self._read("texts", parts, at).select("range", "part", F.col("rid").alias("y"), F.col("words").alias("wy"))
+        both = pairs.join(theirs, ["range", "part", "y"]).join(texts.select(F.col("rid").alias("x"), F.col("words").alias("wx")), "x")
+        common = F.size(F.array_intersect("wx", "wy"))
+        share = common / (F.size("wx") + F.size("wy") - common)
+        near = materialize(both.where(share >= self.theta - 1e-12).select(F.col("x").alias("rid"), "part").distinct(), "near")
+        discard(asked, pairs)
+        return near
 
     def probe(self, batch: DataFrame, id_col: str, text: Column) -> DataFrame:
         """(id_col, held): whether a row's word share with any row of the table is at least theta. Rows without words are not held."""
-        members, texts = collapse(word_sets(batch.select(F.col(id_col).alias("doc"), text.alias("text")), "doc", F.col("text"), F.lit(INTAKE)))
-        texts = materialize(texts.withColumn("rid", -1 - F.col("rid")), "batch")
-        mine = "a.tag <> b.tag"
-        pairs = join_regions(region_rows(texts, self.theta, False, *self.order), self._read("smaller"), self.theta, mine).union(join_regions(self._read("larger"), region_rows(texts, self.theta, True, *self.order), self.theta, mine))
-        every = texts.select("rid", "words").unionByName(self._read("texts"))
-        near = verify(materialize(pairs, "candidates"), every, self.theta, sketches(texts).unionByName(self._read("marks")))
-        # regions are sure to join different texts only: one of few and frequent words has none, so equal ones join by their hashes
-        equal = texts.join(self._read("copies"), ["k1", "k2"], "left_semi").select("rid")
-        hit = near.select(F.least("a", "b").alias("rid")).union(equal).distinct().select((-1 - F.col("rid")).alias("rid"), F.lit(True).alias("held"))
+        members, texts = collapse(word_sets(batch.select(F.col(id_col).alias("doc"), text.alias("text")), "doc", F.col("text")))
+        hit = self._near(texts, self.parts()).select("rid").distinct().withColumn("held", F.lit(True))
         got = members.join(hit, "rid", "left").select(F.col("doc").alias(id_col), F.coalesce("held", F.lit(False)).alias("held"))
         return batch.select(id_col).join(got, id_col, "left").select(id_col, F.coalesce("held", F.lit(False)).alias("held"))
 
     def append(self, accepted: DataFrame, text: Column) -> None:
-        _, texts = collapse(word_sets(accepted.select(F.lit(0).alias("doc"), text.alias("text")), "doc", F.col("text"), F.lit(HISTORY)))
+        members, texts = collapse(word_sets(accepted.select(F.lit(0).alias("doc"), text.alias("text")), "doc", F.col("text")))
         self._append(texts)
+        discard(members, texts)
+
+    def take(self, load: DataFrame, order_col: str, text: Column) -> DataFrame:
+        """(order_col, held, by_history) of the rows of a load, which are appended, held or not.
+
+        held: a word share of at least theta with a row of the table or with a row of the load of a smaller order_col, a
+        unique long. by_history: with a row of the part that `build` made. Null order_col: ignored. Copies are one class.
+        """
+        rows = load.where(F.col(order_col).isNotNull()).select(F.col(order_col).cast("long").alias("doc"), text.alias("text"))
+        members, texts = collapse(word_sets(rows, "doc", F.col("text")))
+        near = self._near(texts, self.parts()).groupBy("rid").agg(F.bool_or(F.col("part") == 0).alias("old"))
+        first = members.groupBy("rid").agg(F.min("doc").alias("first"))
+        links = similar_texts(texts, self.theta, order=self.order).select("a", "b")
+        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ahead = ends.join(first.withColumnRenamed("rid", "b"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("first").alias("near_first"))
+        state = first.join(ahead, "rid", "left").join(near, "rid", "left")
+        got = members.join(state, "rid").select("doc", F.col("old").isNotNull().alias("by_table"), F.coalesce("old", F.lit(False)).alias("old"), F.coalesce(F.least("first", "near_first") < F.col("doc"), F.lit(False)).alias("by_load"))
+        out = rows.select("doc").join(got, "doc", "left").select(F.col("doc").alias(order_col), F.coalesce(F.col("by_table") | F.col("by_load"), F.lit(False)).alias("held"), F.coalesce("old", F.lit(False)).alias("by_history"))
+        out = materialize(out, "taken")
+        self._append(texts)
+        discard(members, texts)
+        return out
+
+
+def loads(intake: DataFrame, batch_col: str, least_rows: int = LOAD_ROWS) -> list[Column]:
+    """A condition for each load: batches in order, so many that a load has at least `least_rows` rows; null last. Collects one count per batch."""
+    counts = {r[0]: r[1] for r in intake.groupBy(batch_col).count().collect()}
+    runs, rows = [], 0
+    for k in sorted(k for k in counts if k is not None):
+        if rows:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+        rows = 0 if rows + counts[k] >= least_rows else rows + counts[k]
+    return [F.col(batch_col).between(a, z) for a, z in runs] + ([F.col(batch_col).isNull()] if None in counts else [])
+
+
+def held_intake(history: DataFrame, history_text: Column, intake: DataFrame, order_col: str, batch_col: str, intake_text: Column, theta: float = 0.8, load_rows: int = LOAD_ROWS) -> DataFrame:
+    """(order_col, held, by_history) of every intake row: held if its word share with any history row, or with an intake row that came before, is at least theta.
+
+    The history is made a `HistoryTable` once, and the batches are taken in order, each load being probed against the
+    table and then appended. Batches must not overlap in order_col. Rows where order_col is null are ignored, those where
+    batch_col is null come last. Texts without words are never held. Either table may be empty.
+    """
+    table = HistoryTable.build(history.select(history_text.alias("text")), F.col("text"), theta)
+    out = None
+    for part in loads(intake, batch_col, load_rows):
+        got = table.take(intake.where(part).select(order_col, intake_text.alias("text")), order_col, F.col("text"))
+        out = got if out is None else out.union(got)
+    if out is None:
+        return intake.sparkSession.createDataFrame([], f"{order_col} long, held boolean, by_history boolean")
+    return out

@@ -65,14 +65,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = held_intake(load(spark, sf_dir, "memories"), F.col("content"), load(spark, sf_dir, "memory_intake"), "intake_id", F.col("content"), MEMORY_SHARE)
+    got = held_intake(load(spark, sf_dir, "memories"), F.col("content"), load(spark, sf_dir, "memory_intake"), "intake_id", "batch_no", F.col("content"), MEMORY_SHARE)
     return got.where("held").select("intake_id")
 
 
 def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch: rows, rows held by memories, rows held by earlier intake only, and new rows."""
     intake = load(spark, sf_dir, "memory_intake")
-    got = held_intake(load(spark, sf_dir, "memories"), F.col("content"), intake, "intake_id", F.col("content"), MEMORY_SHARE)
+    got = held_intake(load(spark, sf_dir, "memories"), F.col("content"), intake, "intake_id", "batch_no", F.col("content"), MEMORY_SHARE)
     flag = lambda c: F.count(F.when(c, 1))
     return intake.select("intake_id", "batch_no").join(got, "intake_id").groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("n_rows"), flag(F.col("by_history")).alias("held_by_memories"), flag(F.col("held") & ~F.col("by_history")).alias("held_by_intake"), flag(~F.col("held")).alias("n_new")

@@ -1,31 +1,33 @@
-"""Exact similarity join of word sets under the Jaccard distance.
+"""Exact similarity join of word sets under the Jaccard distance: a prefix filter on rare words, split by further words.
 
-Regions are the Voronoi cells of single-word pivots. A text lies at distance 1 - 1/n from each pivot {w} it contains and
-at distance 1 from every other one, so its nearest pivots tie; ties go to the rarer word. A text is replicated to the
-pivots that a text within the distance 1 - theta could have as its nearest common one: if two texts share at least t
-words, their first common word, rarest first, stands among the first n - t + 1 of either. The distance to the empty set
-(the size) bounds t from both sides: the larger text of a pair is replicated by t = theta * n, the smaller one by
-t = 2 * theta / (1 + theta) * n. A pivot that too many texts contain is split again by the second and third common word
-until the expected region is small. All of it is exact: no text, region or pair is dropped.
+Words are ordered from the rarest. If two texts share at least t words, their first common word stands among the first
+n - t + 1 of either; the sizes bound t from both sides, so the larger text of a pair takes part in the regions of
+n - theta * n + 1 of its words, the smaller one in those of n - 2 * theta / (1 + theta) * n + 1. Seen as a metric join,
+single words are pivots at distance 1 - 1/n from the texts that contain them, ties going to the rarer word, and a text is
+replicated to the pivots that may be the nearest common one. A word that too many texts contain is split again by the
+second and third common word until the expected region is small. All of it is exact: no text, region or pair is dropped.
+
+Region rows carry a sketch of the text, 64 parities of its distance to the empty set on slices of the vocabulary. Each
+slice obeys the triangle inequality, so pairs too far apart leave within the join of the regions, before any words move.
 
 Where only the groups that links make are asked for, regions that stay crowded, as those of thousands of variants of one
-text do, are divided among texts as pivots (`crowded_pairs`): each text within 1 - theta of a pivot is linked to it and
-needs no link to others of its cell; by the triangle inequality a text of another cell can only be linked to it if it
-lies within 2 * (1 - theta) of the pivot, so only such boundary texts are replicated to the cell; and the texts that no
-pivot covers are divided again.
+text do, are divided (`crowded_pairs`): each text is first tied to a leader, a text within 1 - theta of it that shares a
+least hash with it, and pairs of texts tied to the same leader are passed over, since the ties connect them already.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize, release_shuffles
+from ..session import discard, materialize
 
 #: Bound on the frequent words whose counts every task gets: 16 bytes each, whatever the size of the input.
 FREQUENT_WORDS = 200_000
@@ -39,11 +41,67 @@ def words(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), "")
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
+def digest(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _offsets(n: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(n)].astype(np.int32)
+
+
+def set_columns(row: np.ndarray, h: np.ndarray, rows: int) -> list[pa.Array]:
+    """words, n, k1, k2 and s of `rows` sets, from the row and hash of each element: the sorted distinct hashes, their number, two hashes of the whole set, and the sketch."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+    row, h = row[new], h[new]
+    n = np.bincount(row, minlength=rows)
+    k1, k2, s = (np.zeros(rows, np.int64) for _ in range(3))
+    if len(h):
+        full = np.flatnonzero(n)
+        at = (np.cumsum(n) - n)[full]
+        with np.errstate(over="ignore"):
+            k1[full] = np.add.reduceat(_mix(h, np.full(len(h), 11, np.int64)), at)
+            k2[full] = np.add.reduceat(_mix(h, np.full(len(h), 13, np.int64)), at)
+        s[full] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h.view(np.uint64) & np.uint64(63)), at).view(np.int64)
+    return [pa.ListArray.from_arrays(pa.array(_offsets(n)), pa.array(h)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(s)]
+
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            text = pc.utf8_lower(pc.replace_substring(pc.fill_null(part.column("text"), ""), "\u0130", "i\u0307"))
+            lists = pc.split_pattern_regex(text, "[^a-z0-9]+")
+            n = np.diff(np.asarray(lists.offsets))
+            coded = lists.flatten().dictionary_encode()
+            table = np.array([digest(w) for w in coded.dictionary.to_pylist()] or [0], np.int64)
+            empty = np.array([w == "" for w in coded.dictionary.to_pylist()] or [True])
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            keep = ~empty[code]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), *set_columns(row[keep], table[code[keep]], len(n))], ["doc", "tag", "words", "n", "k1", "k2", "s"])
+
+
+SET_COLUMNS = "tag int, words array<long>, n int, k1 long, k2 long, s long"
+
+
 def word_sets(docs: DataFrame, id_col: str, text: Column, tag: Column | None = None) -> DataFrame:
-    """(doc, tag, words) with the words as sorted 64-bit hashes; a written table, with a hash of the whole set."""
-    hashed = F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w)))
-    sets = docs.select(F.col(id_col).alias("doc"), (tag if tag is not None else F.lit(0)).cast("int").alias("tag"), hashed.alias("words"))
-    return sets.withColumns({"k1": F.xxhash64("words"), "k2": F.hash("words"), "n": F.size("words")})
+    """(doc, tag, words, n, k1, k2, s): the words of each text as sorted 64-bit hashes, their number, hashes of the whole set, and its sketch.
+
+    Cutting and hashing run on Arrow batches; each distinct word of a batch is hashed once.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), (tag if tag is not None else F.lit(0)).cast("int").alias("tag"), text.cast("string").alias("text"))
+    return rows.mapInArrow(_hash_words, f"doc {docs.schema[id_col].dataType.simpleString()}, {SET_COLUMNS}")
 
 
 def collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,14 +111,12 @@ def collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits of its copies. Documents without words belong to no class and are not members.
     """
     sets = materialize(sets.where("n > 0"), "sets")
-    members = sets.select("doc", "tag", "k1", "k2")
     texts = materialize(
-        sets.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.bit_or("tag").alias("tag"), F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "tag", "copies", F.size("words").alias("n"), "words"),
+        sets.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.bit_or("tag").alias("tag"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("s").alias("s")).select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "tag", "copies", "n", "s", "words"),
         "texts",
     )
-    members = materialize(members.join(texts.select("k1", "k2", "rid"), ["k1", "k2"]).select("doc", "tag", "rid"), "members")
+    members = materialize(sets.select("doc", "tag", "k1", "k2").join(texts.select("k1", "k2", "rid"), ["k1", "k2"]).select("doc", "tag", "rid"), "members")
     discard(sets)
-    release_shuffles(texts.sparkSession)
     return members, texts
 
 
@@ -73,22 +129,14 @@ def frequent_words(texts: DataFrame, limit: int = FREQUENT_WORDS) -> tuple[np.nd
     return np.array([r["w"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-    return x.view(np.int64)
-
-
-def _regions(theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, total: int, cap: int):
-    """A mapInArrow function: (rid, tag, n, words) to the regions (key, rid, tag, n, left) a text takes part in.
+def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int, least_count: int):
+    """A mapInArrow function: texts to the regions (key, rid, m, s) each takes part in as the larger text of a pair.
 
-    `left` is the number of its words from the pivot on, the most that it can share with a text it first meets there;
-    `multi` tells regions of several words, the only ones that can hold more texts than `cap`.
+    m packs the number of words, that of words from the first pivot on (the most that it can share with a text it first
+    meets there), the tag, whether it takes part as the smaller text, too, and whether the region is of several words.
+    With least_count, only regions all words of which are more frequent come out.
     """
-    need = 2 * theta / (1 + theta) if short else theta
+    narrow = 2 * theta / (1 + theta)
     depth = max(1, min(3, math.ceil(theta / (1 - theta) - EPS))) if theta < 1 else 3  # words that different texts share at least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,191 +155,186 @@ def _regions(theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, to
             flat, count = flat[order], count[order]
             start = np.repeat(np.cumsum(n) - n, n)
             pos, size = np.arange(len(flat)) - start, n[row]
-            last = size - np.ceil(need * size - EPS).astype(np.int64)  # the first common word stands here at the latest
-            live = np.flatnonzero(pos <= last)
-            key, first, tip, expect = flat[live], live, live, count[live].astype(float)
-            out_key, out_first, out_multi = [], [], []
+            last = size - np.ceil(theta * size - EPS).astype(np.int64)  # the first common word stands here at the latest
+            last_short = size - np.ceil(narrow * size - EPS).astype(np.int64)
+            live = np.flatnonzero((pos <= last) & (count > least_count) if least_count else pos <= last)
+            key, first, tip, expect, short = flat[live], live, live, count[live].astype(float), pos[live] <= last_short[live]
+            out = []
             for level in range(1, depth + 1):
                 done = (expect <= cap) | (level == depth)
-                out_key.append(key[done])
-                out_first.append(first[done])
-                out_multi.append(np.full(int(done.sum()), level > 1))
-                key, first, tip, expect = key[~done], first[~done], tip[~done], expect[~done]
+                out.append((key[done], first[done], short[done], np.full(int(done.sum()), level > 1)))
+                key, first, tip, expect, short = (z[~done] for z in (key, first, tip, expect, short))
                 if not len(key):
                     break
                 room = last[first] + level - pos[tip]  # the next common word stands at most this much further on
-                room = np.minimum(room, size[first] - 1 - pos[tip])
-                rep = np.repeat(np.arange(len(key)), np.maximum(room, 0))
-                step = np.arange(len(rep)) - np.repeat(np.cumsum(np.maximum(room, 0)) - np.maximum(room, 0), np.maximum(room, 0)) + 1
-                tip = tip[rep] + step
+                room = np.maximum(np.minimum(room, size[first] - 1 - pos[tip]), 0)
+                rep = np.repeat(np.arange(len(key)), room)
+                tip = tip[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(room) - room, room) + 1
                 key, first = _mix(key[rep], flat[tip]), first[rep]
+                short = short[rep] & (pos[tip] <= last_short[first] + level)
                 expect = expect[rep] * count[tip] / max(total, 1)
-            key, first = np.concatenate(out_key), np.concatenate(out_first)
+            key, first, short, multi = (np.concatenate(z) for z in zip(*out))
             r = row[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(batch.column("rid").to_numpy(zero_copy_only=False)[r]), pa.array(batch.column("tag").to_numpy(zero_copy_only=False)[r]), pa.array(n[r].astype(np.int32)), pa.array((size[first] - pos[first]).astype(np.int32)), pa.array(np.concatenate(out_multi))],
-                ["key", "rid", "tag", "n", "left", "multi"],
-            )
+            tag = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)[r]
+            m = (n[r].astype(np.int64) << 34) | ((size[first] - pos[first]).astype(np.int64) << 4) | (tag << 2) | (short.astype(np.int64) << 1) | multi
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column("rid").to_numpy(zero_copy_only=False)[r]), pa.array(m), pa.array(batch.column("s").to_numpy(zero_copy_only=False)[r])], ["key", "rid", "m", "s"])
 
     return run
 
 
-REGION_SCHEMA = "key long, rid long, tag int, n int, left int, multi boolean"
+def region_rows(texts: DataFrame, theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int = REGION_TEXTS, least_count: int = 0) -> DataFrame:
+    """(key, rid, m, s): the regions each text takes part in. Texts of up to 2**29 distinct words.
 
+    All rows that are to meet must be made with the same keys, counts and total: they fix the order of the words.
+    """
+    return texts.select("rid", "tag", "n", "s", "words").mapInArrow(_regions(theta, keys, counts, total, cap, least_count), "key long, rid long, m long, s long")
 
-def region_rows(texts: DataFrame, theta: float, short: bool, keys: np.ndarray, counts: np.ndarray, total: int, cap: int = REGION_TEXTS) -> DataFrame:
-    """The regions each text takes part in as the smaller (`short`) or the larger text of a pair.
 
-    All rows that are to meet must be made with the same keys, counts and total: they fix the order of the pivots.
-    """
-    return texts.select("rid", "tag", "n", "words").mapInArrow(_regions(theta, short, keys, counts, total, cap), REGION_SCHEMA)
+def size_of(x: str) -> str:
+    return f"({x}.m >> 34)"
 
 
-def join_regions(larger: DataFrame, smaller: DataFrame, theta: float, allow: str = "true") -> DataFrame:
-    """Candidate pairs (a, b): texts that share a region and that neither size nor position keeps apart. Each comes once."""
-    ratio = theta / (1 + theta)
-    t = f"({ratio!r} * (a.n + b.n) - {EPS!r})"
-    cond = f"a.key = b.key and b.n <= a.n and b.n >= {theta!r} * a.n - {EPS!r} and a.left >= {t} and b.left >= {t} and (b.n < a.n or b.rid < a.rid) and ({allow})"
-    return larger.alias("a").join(smaller.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+def _left(x: str) -> str:
+    return f"(({x}.m >> 4) & 536870911)"
 
 
-#: Bits of the filter that spares texts without candidates a shuffle: 1 MB, whatever the size of the input.
-FILTER_BITS = 1 << 23
+def tag_of(x: str) -> str:
+    return f"(({x}.m >> 2) & 3)"
 
 
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = _mix(ids, np.full(len(ids), 7, np.int64)).view(np.uint64)
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def is_short(x: str) -> str:
+    return f"({x}.m & 2) <> 0"
 
 
-def thin(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """df (rid, words) without most rows whose rid is not in ids (rid): a filter of fixed size, which never drops one that is."""
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+def may_be_near(theta: float, ordered: bool = True) -> str:
+    """SQL: neither size, position nor sketch keeps apart a, the larger text (with `ordered`), and b."""
+    both = f"({size_of('a')} + {size_of('b')})"
+    t = f"({theta / (1 + theta)!r} * {both} - {EPS!r})"
+    sketch = f"bit_count(a.s ^ b.s) <= {(1 - theta) / (1 + theta)!r} * {both} + {EPS!r}"
+    if ordered:  # written so that no part concerns b alone: both sides then read the same shuffle
+        sizes = f"if({is_short('b')}, {size_of('b')}, 1L << 40) <= {size_of('a')} and {size_of('b')} >= {theta!r} * {size_of('a')} - {EPS!r}"
+    else:
+        lo, hi = f"least({size_of('a')}, {size_of('b')})", f"greatest({size_of('a')}, {size_of('b')})"
+        short = f"if({size_of('a')} < {size_of('b')}, {is_short('a')}, {is_short('b')})"
+        sizes = f"{lo} >= {theta!r} * {hi} - {EPS!r} and {short}"
+    return f"{sizes} and {_left('a')} >= {t} and {_left('b')} >= {t} and {sketch}"
 
-    all_bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select("rid").coalesce(8).mapInArrow(collect, "bits binary").collect():  # at most 8 of 1 MB
-        all_bits |= np.frombuffer(row["bits"], np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(all_bits)
+
+def join_regions(regions: DataFrame, theta: float, allow: str = "true") -> DataFrame:
+    """Candidate pairs (a, b), a being the larger text: they share a region, and nothing in its rows keeps them apart. Each comes once."""
+    cond = f"a.key = b.key and {may_be_near(theta)} and ({size_of('b')} < {size_of('a')} or b.rid < a.rid) and ({allow})"
+    return regions.alias("a").join(regions.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+
+
+#: Bits of the filter that spares texts without candidates a shuffle: so many per candidate, and at most; beyond it lets more through.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 27
+
+
+def thin(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """df (rid, words) without most rows whose rid is not in ids (rid), of which there are `count`: a bitmap, made from partial sums, which never drops one that is."""
+    bits = 1 << min(max(16, math.ceil(math.log2(max(count, 1) * FILTER_SHARE))), FILTER_BITS.bit_length() - 1)
+    place = F.pmod(F.xxhash64("rid"), F.lit(bits))
+    held = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[held["w"].to_numpy()] = held["x"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        held = shared.value
         for batch in batches:
-            one, two = _bits(batch.column("rid").to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(bits[one] & bits[two]))
-
-    return df.select("rid", "words").mapInArrow(keep, "rid long, words array<long>")
+            p = batch.column("p").to_numpy(zero_copy_only=False)
+            yield batch.select(["rid", "words"]).filter(pa.array((held[p >> 6] >> (p & 63)) & 1 == 1))
 
+    return df.select("rid", "words", place.alias("p")).mapInArrow(keep, "rid long, words array<long>")
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(rid, n, s1, s2): per text the parity of its distance to the empty set on each of 128 slices of the vocabulary.
 
-    Each slice obeys the triangle inequality, so the number of slices on which two texts differ is at most the size of
-    their symmetric difference.
-    """
-    bit = "shiftleft(1L, cast(x & 63 as int))"
-    one = F.expr(f"aggregate(words, 0L, (s, x) -> s ^ if(x & 64 = 0, {bit}, 0L))")
-    two = F.expr(f"aggregate(words, 0L, (s, x) -> s ^ if(x & 64 = 0, 0L, {bit}))")
-    return texts.select("rid", "n", one.alias("s1"), two.alias("s2"))
-
-
-def verify(pairs: DataFrame, texts: DataFrame, theta: float, marks: DataFrame | None = None) -> DataFrame:
-    """(a, b, share) of the candidate pairs whose true word share is at least theta. First the sketches (`marks`, if there are any stored), then the words decide."""
-    marks = sketches(texts) if marks is None else marks
-    apart = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {(1 - theta) / (1 + theta)!r} * (a.n + b.n) + {EPS!r}"
-    near = pairs.join(marks.withColumnRenamed("rid", "a").alias("a"), "a").join(marks.withColumnRenamed("rid", "b").alias("b"), "b").where(apart).select("a", "b")
-    near = materialize(near, "near")
-    ids = near.select(F.col("a").alias("rid")).union(near.select(F.col("b").alias("rid"))).distinct()
-    used = thin(texts, ids)
-    both = near.join(used.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(used.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, theta: float) -> DataFrame:
+    """(a, b, share) of the candidate pairs (a written table) whose true word share is at least theta."""
+    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid")))
+    used = thin(texts, ids, 2 * pairs.count())
+    both = pairs.join(used.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(used.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("share")).where(F.col("share") >= theta - 1e-12)
 
 
-def similar_texts(texts: DataFrame, theta: float, allow: str = "true", cap: int = REGION_TEXTS, frequent: int = FREQUENT_WORDS) -> DataFrame:
+def similar_texts(texts: DataFrame, theta: float, allow: str = "true", cap: int = REGION_TEXTS, frequent: int = FREQUENT_WORDS, order: tuple[np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
     """All pairs (a, b, share) of distinct texts (as made by `collapse`) whose word share is at least theta.
 
-    `allow` is a SQL condition over a.tag and b.tag that a pair must meet; a is the larger text, or that of the higher
-    rid. Works for 0 < theta <= 1; no texts give no pairs.
+    `allow` is a SQL condition over the tags of a and b (see `tag_of`) that a pair must meet; a is the larger text, or that
+    of the higher rid. Works for 0 < theta <= 1; no texts give no pairs. `order`: keys, counts and total of a fixed order
+    of words, by default that of these texts.
     """
     if not 0 < theta <= 1:
         raise ValueError("theta must be in (0, 1]")
-    keys, counts = frequent_words(texts, frequent)
-    total = texts.count()
-    pairs = join_regions(region_rows(texts, theta, False, keys, counts, total, cap), region_rows(texts, theta, True, keys, counts, total, cap), theta, allow)
-    pairs = materialize(pairs, "candidates")
-    release_shuffles(texts.sparkSession)
+    keys, counts, total = order or (*frequent_words(texts, frequent), texts.count())
+    pairs = materialize(join_regions(region_rows(texts, theta, keys, counts, total, cap), theta, allow), "candidates")
     return verify(pairs, texts, theta)
 
 
-#: Texts that a region may hold before it is divided among pivots, and pivots drawn each time.
-CROWDED, PIVOTS, PIVOT_ROUNDS = 2000, 16, 12
+#: Texts that a region may hold before it is divided, rows of a block of one, and least hashes that leaders are drawn by.
+CROWDED, BLOCK_ROWS, LEADER_HASHES = 2000, 4096, 4
 
 
-def _meeting(theta: float) -> str:
-    t = f"({theta / (1 + theta)!r} * (a.n + b.n) - {EPS!r})"
-    return f"b.n <= a.n and b.n >= {theta!r} * a.n - {EPS!r} and a.left >= {t} and b.left >= {t} and (b.n < a.n or b.rid < a.rid)"
+def leaders(texts: DataFrame, theta: float, hashes: int = LEADER_HASHES) -> DataFrame:
+    """(a, b): texts a and their leaders b, of word share >= theta: of the texts that have one of `hashes` least hashes in common with a, the one of the least rid."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+            if not len(flat):
+                continue
+            got = np.stack([np.minimum.reduceat(_mix(flat, np.full(len(flat), 101 + i, np.int64)), off[:-1] - off[0]) ^ i for i in range(hashes)], 1)
+            rep = pa.array(np.repeat(np.arange(batch.num_rows), hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), *(batch.column(c).take(rep) for c in ("rid", "n", "s"))], ["key", "rid", "n", "s"])
+
+    rows = texts.select("rid", "n", "s", "words").mapInArrow(least, "key long, rid long, n int, s long")
+    first = rows.groupBy("key").agg(F.min(F.struct("rid", "n", "s")).alias("l"))
+    near = f"l.rid <> rid and least(l.n, n) >= {theta!r} * greatest(l.n, n) - {EPS!r} and bit_count(s ^ l.s) <= {(1 - theta) / (1 + theta)!r} * (n + l.n) + {EPS!r}"
+    pairs = rows.join(first, "key").where(near).select(F.col("rid").alias("a"), F.col("l.rid").alias("b")).distinct()
+    return verify(materialize(pairs, "leaders"), texts, theta).select("a", "b")
+
+
+def _block_pairs(theta: float):
+    """Candidate pairs of two blocks of one region, but for those of texts with the same leader."""
+    ratio = (1 - theta) / (1 + theta)
+
+    def run(group: pa.Table) -> pa.Table:
+        rid, m, s, label, block, one, two = (group.column(c).to_numpy() for c in ("rid", "m", "s", "label", "block", "one", "two"))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        inside = one[0] == two[0]
+        if len(left) and len(right) and len(np.unique(label)) > 1:
+            n, room, short = m >> 34, (m >> 4) & ((1 << 29) - 1), (m & 2) != 0
+            for at in range(0, len(left), 256):
+                i = left[at : at + 256, None]
+                j = right[None, :]
+                both = n[i] + n[j]
+                ok = np.bitwise_count(s[i].view(np.uint64) ^ s[j].view(np.uint64)) <= ratio * both + EPS
+                ok &= label[i] != label[j]
+                if inside:
+                    ok &= rid[i] < rid[j]
+                need = theta / (1 + theta) * both - EPS
+                ok &= (room[i] >= need) & (room[j] >= need) & (np.minimum(n[i], n[j]) >= theta * np.maximum(n[i], n[j]) - EPS) & np.where(n[i] < n[j], short[i], np.where(n[i] > n[j], short[j], short[i] & short[j]))
+                x, y = np.nonzero(ok)
+                out_a.append(rid[i[x, 0]])
+                out_b.append(rid[right[y]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return run
 
 
-def crowded_pairs(larger: DataFrame, smaller: DataFrame, texts: DataFrame, theta: float, crowded: int = CROWDED, pivots: int = PIVOTS, rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(links, candidates), both (a, b), that connect the same texts as all pairs of these regions would.
+def crowded_pairs(regions: DataFrame, sizes: DataFrame, ties: DataFrame, theta: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): candidates of the regions, that together with the ties (text a, leader b) connect what all pairs of the regions would.
 
-    Each round draws some pivots per region by hash, measures every text's distance to them, and gives
-    * a link for each text within 1 - theta of a pivot, whose cell it joins (that of its least such pivot);
-    * candidates between different cells, and between a cell and the texts outside all cells, each text being sent only
-      to cells whose pivot it is within 2 * (1 - theta) of;
-    and goes on with the texts outside all cells where these are still many; in the end they are all candidates.
+    sizes: (key, count) of the regions. Their rows are dealt to blocks by hash, and each pair of blocks is one group.
     """
-    large, small, links, pairs = larger, smaller, [], []
-    for r in range(rounds + 1):
-        both = materialize(large.select("key", "rid").union(small.select("key", "rid")).distinct(), "crowd")
-        sizes = both.groupBy("key").count()
-        many = materialize(sizes.where(F.col("count") > crowded), "many")
-        few = sizes.where(F.col("count") <= crowded).select("key")
-        last = r == rounds or many.isEmpty()
-        rest = many.select("key").union(few) if last else few
-        a, b = large.join(rest, "key", "left_semi").alias("a"), small.join(rest, "key", "left_semi").alias("b")
-        pairs.append(materialize(a.join(b, F.expr(f"a.key = b.key and {_meeting(theta)}")).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")), "candidates"))
-        if last:
-            break
-        held = materialize(both.join(many, "key").join(texts.select("rid", "words"), "rid").select("key", "rid", "words", (F.pmod(F.xxhash64("rid", F.lit(r)), F.ceil(F.col("count") / pivots)) == 0).alias("is_pivot")), "held")
-        drawn = held.where("is_pivot").select("key", F.col("rid").alias("pivot"), F.col("words").alias("pivot_words"))
-        common = F.size(F.array_intersect("words", "pivot_words"))
-        share = common / (F.size("words") + F.size("pivot_words") - common)
-        near = held.join(drawn, "key").select("key", "rid", "pivot", share.alias("share")).where(F.col("share") >= 2 * theta - 1 - EPS)
-        near = materialize(near, "near")
-        links.append(materialize(near.where((F.col("share") >= theta - 1e-12) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")), "links"))
-        cell = near.groupBy("key", "rid").agg(F.min(F.when(F.col("share") >= theta - 1e-12, F.col("pivot"))).alias("cell"), F.collect_set("pivot").alias("window"))  # a window has as many as there are pivots
-
-        def placed(rows: DataFrame) -> DataFrame:
-            return materialize(rows.join(many.select("key"), "key", "left_semi").join(cell, ["key", "rid"], "left"), "placed")
-
-        large, small = placed(large), placed(small)
-
-        def sent(rows: DataFrame) -> DataFrame:
-            others = F.array_except(F.coalesce("window", F.array().cast("array<long>")), F.array("cell"))
-            outside = F.col("cell").isNull()
-            to = F.when(outside, F.coalesce("window", F.array().cast("array<long>"))).otherwise(F.concat(others, F.array(F.lit(None).cast("long"))))
-            spread = rows.withColumn("other", F.explode(to))
-            # a cell is named by its pivot, the outside by null, which stands first
-            lo = F.when(F.col("cell").isNull() | F.col("other").isNull(), F.lit(None)).otherwise(F.least("cell", "other"))
-            return spread.select("key", "rid", "n", "left", "cell", lo.alias("lo"), F.greatest("cell", "other").alias("hi"))
-
-        a, b = sent(large).alias("a"), sent(small).alias("b")
-        across = a.join(b, F.expr(f"a.key = b.key and a.hi = b.hi and a.lo <=> b.lo and not (a.cell <=> b.cell) and {_meeting(theta)}"))
-        pairs.append(materialize(across.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")), "candidates"))
-        large, small = (x.where("cell is null").drop("cell", "window") for x in (large, small))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.union(p)
-    star = links[0] if links else out.limit(0)
-    for x in links[1:]:
-        star = star.union(x)
-    return star, out
+    label = ties.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "rid")
+    own = regions.join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    dealt = own.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "rid", "m", "s", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    return spread.groupBy("key", "one", "two").applyInArrow(_block_pairs(theta), "a long, b long").distinct()
 
 
 def connecting_texts(texts: DataFrame, theta: float, cap: int = REGION_TEXTS, frequent: int = FREQUENT_WORDS, crowded: int = CROWDED) -> DataFrame:
@@ -300,13 +343,14 @@ def connecting_texts(texts: DataFrame, theta: float, cap: int = REGION_TEXTS, fr
         raise ValueError("theta must be in (0, 1]")
     keys, counts = frequent_words(texts, frequent)
     total = texts.count()
-    larger, smaller = (region_rows(texts, theta, short, keys, counts, total, cap) for short in (False, True))
-    busy = materialize(smaller.where("multi").groupBy("key").count().where(F.col("count") > crowded).select("key"), "busy")
+    regions = region_rows(texts, theta, keys, counts, total, cap)
+    # a region can only be crowded if all its words are frequent
+    frequent_only = region_rows(texts, theta, keys, counts, total, cap, crowded)
+    busy = materialize(frequent_only.where("m & 1 = 1").groupBy("key").count().where(F.col("count") > crowded), "busy")
     if busy.isEmpty():
-        pairs = materialize(join_regions(larger, smaller, theta), "candidates")
-        release_shuffles(texts.sparkSession)
-        return verify(pairs, texts, theta).select("a", "b")
-    pairs = join_regions(larger.join(busy, "key", "left_anti"), smaller.join(busy, "key", "left_anti"), theta)
-    star, more = crowded_pairs(*(materialize(x.where("multi").join(busy, "key", "left_semi"), "regions") for x in (larger, smaller)), texts, theta, crowded)
-    pairs = materialize(pairs.union(more).distinct(), "candidates")
-    return verify(pairs, texts, theta).select("a", "b").union(star)
+        return verify(materialize(join_regions(regions, theta), "candidates"), texts, theta).select("a", "b")
+    plain = join_regions(regions.join(busy.select("key"), "key", "left_anti"), theta)
+    ties = materialize(leaders(texts, theta), "ties")
+    dense = frequent_only.where("m & 1 = 1").join(busy.select("key"), "key", "left_semi")
+    pairs = materialize(plain.union(crowded_pairs(dense, busy, ties, theta)).distinct(), "candidates")
+    return verify(pairs, texts, theta).select("a", "b").union(ties)

@@ -58,5 +58,17 @@ select id from f join best using (g, p, i, c, t)""",
 }
 
 
+_VOTED = ["type", "title", "content", "source_kind", "status", "source_uri", "summary"]
+_WEIGHT = "(case source_kind when 'decision' then 2.0 when 'agent-memory' then 1.5 else 1.0 end) * coalesce(pow(0.5::double, greatest((epoch_us(timestamptz '2026-07-01 00:00:00+00') - epoch_us(created_at)) / 86400e6, 0) / 180.0), 1e-6)"
+_WON = ", ".join(
+    f"w_{f} as (select g, v as {f} from (select g, v, row_number() over (partition by g order by votes desc, key) as r from (select g, regexp_replace(lower(trim({f})), '\\s+', ' ', 'g') as key, min({f}) as v, round(sum(w), 9) as votes from f where {f} is not null group by 1, 2)) where r = 1)"
+    for f in _VOTED
+)
+SQL["p7_survivors"] = f"""with recursive {_MEMORY_LINKS},
+f as (select m.*, g.g, {_WEIGHT} as w from memories m join groups g on g.k = m.id), {_WON},
+top as (select g, count(*) as n_rows, max(pinned::int)::boolean as pinned, max(importance) as importance, max(access_count) as access_count, max(created_at) as created_at from f group by g)
+select top.g as group_id, n_rows, pinned, importance, access_count, created_at, {", ".join(_VOTED)} from top {" ".join(f"left join w_{f} on w_{f}.g = top.g" for f in _VOTED)}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -32,33 +32,43 @@ def _vote_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
 
 
+def _is_time(rows: DataFrame, f: str) -> bool:
+    return rows.schema[f].dataType.simpleString().startswith("timestamp")
+
+
+def _spelled(rows: DataFrame, f: str) -> Column:
+    """A value as a string that names it whatever the session's time zone: times by their microseconds."""
+    return (F.unix_micros(f) if _is_time(rows, f) else F.col(f)).cast("string")
+
+
 def field_votes(rows: DataFrame, group: str, voted: list[str], best: list[str], trust: Trust) -> DataFrame:
     """(group, field, key, value, votes): the candidates of each field, one row per group, field and normalised value.
 
     Fields in `voted` gather weighted votes per value, normalised by case and white space; the value shown is the least
-    spelling. Fields in `best` are ordered by the value itself: votes hold it as a number. Null values don't vote.
+    spelling. Fields in `best` are ordered by the value itself: votes hold it as a number. Null values don't vote. Sums
+    of votes are kept to nine places, so that they don't depend on the order of the rows.
     """
     weight = trust.weight()
-    parts = [F.struct(F.lit(f).alias("field"), _vote_key(F.col(f).cast("string")).alias("key"), F.col(f).cast("string").alias("value"), weight.alias("w"), F.lit(False).alias("top")) for f in voted]
+    parts = [F.struct(F.lit(f).alias("field"), _vote_key(_spelled(rows, f)).alias("key"), _spelled(rows, f).alias("value"), weight.alias("w"), F.lit(False).alias("top")) for f in voted]
     for f in best:
-        kind = rows.schema[f].dataType.simpleString()
-        number = F.unix_micros(f).cast("double") if kind.startswith("timestamp") else F.col(f).cast("double")
-        parts.append(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key"), F.col(f).cast("string").alias("value"), number.alias("w"), F.lit(True).alias("top")))
+        number = (F.unix_micros(f) if _is_time(rows, f) else F.col(f)).cast("double")
+        parts.append(F.struct(F.lit(f).alias("field"), _spelled(rows, f).alias("key"), _spelled(rows, f).alias("value"), number.alias("w"), F.lit(True).alias("top")))
     long = rows.select(group, F.explode(F.array(*parts)).alias("x")).select(group, "x.*").where("value is not null")
-    return long.groupBy(group, "field", "key").agg(F.min("value").alias("value"), F.when(F.first("top"), F.max("w")).otherwise(F.sum("w")).alias("votes"))
+    return long.groupBy(group, "field", "key").agg(F.min("value").alias("value"), F.when(F.first("top"), F.max("w")).otherwise(F.round(F.sum("w"), 9)).alias("votes"))
 
 
 def survivors(rows: DataFrame, group: str, voted: list[str], best: list[str], trust: Trust) -> DataFrame:
-    """One built record per group: each field's winner by `field_votes` as a string, ties by the least value, and the number of rows.
+    """One built record per group: each field's winner by `field_votes`, of its own type, ties by the least value, and the number of rows.
 
     A field that is null in all rows of a group stays null. Rows whose group is null are ignored. All steps aggregate
     with partial sums, so a group may hold any share of the rows. Columns not named are left out.
     """
     rows = rows.where(F.col(group).isNotNull())
-    won = field_votes(rows, group, voted, best, trust).groupBy(group, "field").agg(F.max_by("value", F.struct("votes", F.expr("struct(-length(key) as l, transform(split(key, ''), c -> -ascii(c)) as k)"))).alias("value"))
+    won = field_votes(rows, group, voted, best, trust).groupBy(group, "field").agg(F.min_by("value", F.struct(-F.col("votes"), "key")).alias("value"))
     names = [*best, *voted]
     wide = won.groupBy(group).pivot("field", names).agg(F.first("value"))
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")).join(wide, group, "left")
+    back = [(F.timestamp_micros(F.col(f).cast("long")) if _is_time(rows, f) else F.col(f)).cast(rows.schema[f].dataType).alias(f) for f in names]
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")).join(wide.select(group, *back), group, "left")
 
 
 def undisputed(rows: DataFrame, group: str, id_col: str, best: list[str], trust: Trust, least_rows: int = 2) -> DataFrame:
@@ -67,10 +77,9 @@ def undisputed(rows: DataFrame, group: str, id_col: str, best: list[str], trust:
     Null is worse than any value and equal to null: a field that is null in all rows is held by all. Where several rows
     of a group are equal in all these fields, each comes out.
     """
-    keep = rows.select(group, id_col, *best)
+    keep = rows.select(group, id_col, *dict.fromkeys([*best, trust.recency, *([trust.source] if trust.source else [])]))
     won = survivors(keep, group, [], best, trust).where(F.col("n_rows") >= least_rows).select(group, *[F.col(f).alias(f"_won_{f}") for f in best])
-    same = [F.col(f).cast("string").eqNullSafe(F.col(f"_won_{f}")) for f in best]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.lit(True)
+    for f in best:
+        cond = cond & F.col(f).eqNullSafe(F.col(f"_won_{f}"))
     return keep.join(won, group).where(cond).select(id_col)

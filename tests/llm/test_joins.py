@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import setjoin
 from lodestone.llm.cross_split import cross_split_overlaps, cut, rolling
-from lodestone.llm.history import HistoryTable, held_intake
+from lodestone.llm.history import HistoryTable, held_intake, loads
 from lodestone.llm.near_dups import group_pairs, near_duplicate_groups
 
 
@@ -136,28 +136,64 @@ def intake_truth(hist, intake, theta):
 
 def test_held_intake(spark):
     hist, new = corpus(5), corpus(6) + corpus(5)[:30]
-    rows = [(10 * i, t) for i, t in enumerate(new)]
-    h, n = spark.createDataFrame([(t,) for t in [*hist, None]], "t string"), spark.createDataFrame([*rows, (99_999, None), (None, "w1")], "id long, t string")
-    got = {r.id: (r.held, r.by_history) for r in held_intake(h, F.col("t"), n, "id", F.col("t"), 0.7).collect()}
-    assert got == intake_truth(hist, [*rows, (99_999, None)], 0.7)
-    assert {r.held for r in held_intake(h.limit(0), F.col("t"), n.where("id = 0"), "id", F.col("t"), 0.7).collect()} == {False}
-    assert held_intake(h, F.col("t"), n.limit(0), "id", F.col("t")).count() == 0
+    rows = [(10 * i, t, i // 40, "x") for i, t in enumerate(new)] + [(99_999, None, 9, None)]
+    h, n = spark.createDataFrame([(t,) for t in [*hist, None]], "t string"), spark.createDataFrame([*rows, (None, "w1", 1, None), (100_000, "w1", None, None)], "id long, t string, b long, rid string")
+    want = intake_truth(hist, [(k, t) for k, t, *_ in rows] + [(100_000, "w1")], 0.7)
+    for load_rows in (1, 60, 10_000):
+        got = {r.id: (r.held, r.by_history) for r in held_intake(h, F.col("t"), n, "id", "b", F.col("t"), 0.7, load_rows).collect()}
+        assert got == want
+    assert {r.held for r in held_intake(h.limit(0), F.col("t"), n.where("id = 0"), "id", "b", F.col("t"), 0.7).collect()} == {False}
+    assert held_intake(h, F.col("t"), n.limit(0), "id", "b", F.col("t")).count() == 0
 
 
-def test_history_table_batches(spark):
+def test_loads(spark):
+    df = spark.createDataFrame([(b,) for b, n in ((1, 3), (2, 9), (4, 1), (5, 2), (6, 20), (7, 1), (None, 2)) for _ in range(n)], "b long")
+    sizes = [df.where(c).count() for c in loads(df, "b", 10)]
+    assert sizes == [12, 23, 1, 2] and [df.where(c).count() for c in loads(df, "b", 1)] == [3, 9, 1, 2, 20, 1, 2] and loads(df.limit(0), "b", 10) == []
+
+
+def test_history_table_batches_and_sessions(spark, tmp_path):
     hist, new = corpus(7, 80), corpus(8, 60) + corpus(7, 80)[:20]
-    table = HistoryTable.build(spark.createDataFrame([(t,) for t in hist], "t string"), F.col("t"), 0.7)
+    path = f"file://{tmp_path}/table"
+    HistoryTable.build(spark.createDataFrame([(t,) for t in hist], "t string"), F.col("t"), 0.7, path, range_rows=50)
     accepted = [words(t) for t in hist]
-    for at in range(0, len(new), 30):
+    for k, at in enumerate(range(0, len(new), 30)):
+        table = HistoryTable(spark.newSession() if k % 2 else spark, path)  # opened again from what is stored
+        assert table.parts() == k + 1 and table.ranges > 4
         rows = [(f"k{at + i}", t) for i, t in enumerate(new[at : at + 30])] + [(f"n{at}", None)]
-        batch = spark.createDataFrame(rows, "k string, t string")
+        batch = table.spark.createDataFrame(rows, "k string, t string")
         got = {r.k: r.held for r in table.probe(batch, "k", F.col("t")).collect()}
         assert got == {k: any(share(words(t), x) >= 0.7 - 1e-12 for x in accepted) for k, t in rows}
         fresh = [(k, t) for k, t in rows if not got[k]]
-        table.append(spark.createDataFrame(fresh, "k string, t string"), F.col("t"))
+        table.append(table.spark.createDataFrame(fresh, "k string, t string"), F.col("t"))
         accepted += [words(t) for _, t in fresh]
 
 
+def test_a_part_cut_short_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    table = HistoryTable.build(spark.createDataFrame([("a b c",)], "t string"), F.col("t"), 0.7, path)
+    real = HistoryTable.parts
+    lost = spark.createDataFrame([("x y z",)], "t string")
+    table.append(lost, F.col("t"))
+    monkeypatch.setattr(HistoryTable, "parts", lambda self: real(self) - 1)  # as if the log had not been reached
+    held = lambda t: table.probe(spark.createDataFrame([(1, t)], "k int, t string"), "k", F.col("t")).first().held
+    assert not held("x y z") and held("a b c")
+    table.append(spark.createDataFrame([("p q r",)], "t string"), F.col("t"))
+    monkeypatch.setattr(HistoryTable, "parts", lambda self: 2)
+    assert held("p q r") and not held("x y z")
+
+
+def test_a_batch_reads_a_bounded_share_of_history(spark, tmp_path):
+    r = random.Random(4)
+    hist = [" ".join(f"v{r.randrange(50_000)}" for _ in range(12)) for _ in range(3000)]
+    table = HistoryTable.build(spark.createDataFrame([(t,) for t in hist], "t string"), F.col("t"), 0.7, f"file://{tmp_path}/t", range_rows=100)
+    assert table.ranges >= 64
+    _, texts = setjoin.collapse(setjoin.word_sets(spark.createDataFrame([(1, hist[7])], "k int, t string"), "k", F.col("t")))
+    ranges = [x["range"] for x in table._distances(texts).select("range").distinct().collect()]
+    read, whole = (table._read("distances", 1, x).select(F.input_file_name().alias("f")) for x in (ranges, list(range(table.ranges))))
+    assert 0 < read.distinct().count() <= len(ranges) <= 13 and read.distinct().count() < whole.distinct().count() / 4 and read.count() < whole.count() / 4
+
+
 def test_history_table_copies_of_frequent_words(spark):
     # more texts than REGION_TEXTS hold the words, so that their regions ask for words that short texts don't have
     hist = [f"done now w{i} v{i} u{i} t{i}" for i in range(setjoin.REGION_TEXTS + 100)] + ["done", "now done"]
@@ -199,4 +235,15 @@ def test_longer_chunks_find_long_overlaps(spark):
     base = " ".join(f"q{i * 31 % 977}" for i in range(300))
     df = spark.createDataFrame([("a", base, "train"), ("b", "some other start " + base, "dev"), ("c", " ".join(f"u{i}" for i in range(300)), "test")], "id string, q string, s string")
     got = cross_split_overlaps(df, "id", "q", "s", theta=0.5, mask_bits=2).collect()
-    assert [(x.train_id, x.other_id) for x in got] == [("a", "b")] and got[0].train_overlap > 0.9
+    assert [(x.train_id, x.other_id) for x in got] == [("a", "b")] and got[0].train_overlap > 0.9 and got[0].by_chunks
+
+
+def test_variants_of_one_text_meet_their_leaders(spark):
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(24)]
+    rows = [(i, " ".join(base[:22] + [f"y{i}", r.choice(base)])) for i in range(300)]
+    _, reps = setjoin.collapse(setjoin.word_sets(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")))
+    ties = setjoin.leaders(reps, 0.7).collect()
+    assert len({t.a for t in ties}) > 250 and all(t.a > t.b for t in ties)
+    got = near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"), 0.7, crowded=20)
+    assert {x.group_id for x in got.collect()} == {0}

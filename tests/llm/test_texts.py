@@ -213,7 +213,7 @@ def test_survivors(spark):
     trust = Trust("kind", {"decision": 3.0}, 1.0, "created_at", "2026-07-01", 3650.0)
     got = {r.g: r for r in survivors(df, "g", ["title", "content"], best, trust).collect()}
     assert set(got) == {"g", "h", "k", "s"} and got["g"].n_rows == 3 and got["k"].title is None and got["k"].pinned is None
-    assert (got["g"].title, got["g"].content, got["g"].pinned, got["g"].access_count) == ("Title", "x", "true", "5")
+    assert (got["g"].title, got["g"].content, got["g"].pinned, got["g"].access_count) == ("Title", "x", True, 5)
     trusting = Trust(None, {}, 1.0, "created_at", "2026-07-01", 3650.0)
     assert {r.g: r.content for r in survivors(df, "g", ["content"], best, trusting).collect()}["g"] == "y"
     assert sorted(r.id for r in undisputed(df, "g", "id", best, Trust(None, {}, 1.0, "created_at", "2026-07-01")).collect()) == ["2", "6", "7"]
