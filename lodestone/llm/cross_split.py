@@ -63,7 +63,7 @@ def _chunker(mask_bits: int):
             size = np.array([len(c) for c in flat] or [0], np.int32)[: len(flat)]
             order = np.lexsort((h, row))  # the order of the digests in `words`
             lengths = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(size[order]))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), *set_columns(row, h, len(n)), lengths], ["doc", "tag", "words", "n", "k1", "k2", "s", "lengths"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), *set_columns(row, h, len(n)), lengths], ["doc", "tag", "words", "n", "k1", "k2", "s1", "s2", "lengths"])
 
     return run
 

@@ -1,7 +1,7 @@
 """Deduplicating new batches against all history (problem 5).
 
 The pivot-distance table stores, for each accepted text, its distances to fixed pivots: the empty set (the number of its
-words, and the parities of that on 64 slices of the vocabulary) and the pivots at which it can meet a similar text, rare
+words, and the parities of that on 128 slices of the vocabulary) and the pivots at which it can meet a similar text, rare
 words and pairs and triples of frequent ones (with what it has left from there on). The table is partitioned by ranges of
 the pivots and sorted by them within each. A probe reads the ranges its batch has pivots in, prunes by the triangle
 inequality within the join, verifies the true word share of what is left, and rows are appended as a new part. The order
@@ -68,9 +68,9 @@ class HistoryTable:
         return self.spark.read.parquet(f"{self.path}/log").count()
 
     def _distances(self, texts: DataFrame) -> DataFrame:
-        """(range, key, rid, m, s): the pivots of each text, and the hash of its whole set as one more, where equal texts meet however few words they have."""
-        near = region_rows(texts, self.theta, *self.order)
-        same = texts.select(F.col("k1").bitwiseXOR(F.col("k2")).alias("key"), "rid", F.expr("(cast(n as long) << 34) | (cast(n as long) << 4) | 2").alias("m"), "s")
+        """(range, key, rid, m, s1, s2): the pivots of each text, and the hash of its whole set as one more, where equal texts meet however few words they have."""
+        near = region_rows(texts, self.theta, *self.order).drop("label")
+        same = texts.select(F.col("k1").bitwiseXOR(F.col("k2")).alias("key"), "rid", F.expr("(cast(n as long) << 34) | (cast(n as long) << 4) | 2").alias("m"), "s1", "s2")
         return near.union(same).withColumn("range", F.shiftrightunsigned("key", 64 - self.ranges.bit_length() + 1).cast("int") if self.ranges > 1 else F.lit(0))
 
     def _append(self, texts: DataFrame) -> None:
@@ -83,7 +83,7 @@ class HistoryTable:
 
     def _read(self, name: str, parts: int, ranges: list[int]) -> DataFrame:
         """The rows of the logged parts in these ranges; other ranges are not read."""
-        kinds = {"distances": "key long, rid long, m long, s long", "texts": "rid long, words array<long>"}
+        kinds = {"distances": "key long, rid long, m long, s1 long, s2 long", "texts": "rid long, words array<long>"}
         return self.spark.read.schema(f"{kinds[name]}, part int, range int").parquet(f"{self.path}/{name}").where((F.col("part") < parts) & F.col("range").isin(ranges))
 
     def _near(self, texts: DataFrame, parts: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Most similar vectors for every vector (problem 4).
 
-A first graph comes from cells: each row joins the cells of its nearest centres, drawn from a bounded sample, and finds
-its nearest rows there by matrix products. NN-descent then improves it in rounds: Spark joins propose the neighbours of
-neighbours that are not linked yet, and each row keeps its best. Searches walk the graph greedily. Vectors travel as 16
-bits a component, which changes a cosine by less than 0.00005.
+Equal vectors form one class from the start. A first graph comes from cells: each class joins the cells of its nearest
+centres, drawn from a bounded sample, and finds its nearest ones there by matrix products. NN-descent then improves it in
+rounds: the neighbours of a row, and the rows that have it as one, are offered to each other by Spark joins, as long as
+one of the two links is new, and each row keeps its best. Within the graph vectors travel as 8 bits a component, which
+changes a cosine by about 0.001; those of the links that are reported are computed anew. Searches walk the graph greedily.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from ..session import discard, materialize
 SCALE = 32767.0
 #: Rows of the sample that centres are drawn from, at most, and the number of centres: what the driver and all tasks hold.
 SAMPLE_ROWS, MOST_CENTRES = 16_384, 4096
-#: Rows a cell should have; one that is expected to have over twice as many is dealt out by hash.
-CELL_ROWS = 2048
-#: Second centres that a row is sent to within each of its cells, where cells are divided.
+#: Rows a cell should have; one that is expected to have over twice as many is divided by centres of its own.
+CELL_ROWS = 8192
+#: Centres that a row is sent to within each of its cells, where cells are divided.
 SECOND_SPREAD = 2
+#: Links kept beyond those asked for while the graph is built.
+SPARE = 3
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
-    """(rid, id, q) of the rows with a usable vector, as a written table, and the dimension (by default that of most rows).
+    """(rid, id, q, h1, h2) of the rows with a usable vector, as a written table, and the dimension (by default that of most rows).
 
-    Null ids, null, all-zero or non-finite vectors, null components and other dimensions do not take part.
+    q is the vector at unit length as 16-bit integers, h1 and h2 are hashes of it. Null ids, null, all-zero or non-finite
+    vectors, null components and other dimensions do not take part.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     if dim is None:
@@ -49,223 +53,302 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = Non
             ok = np.isfinite(norm) & (norm > 0)
             q = np.rint(x[ok] / norm[ok, None] * SCALE).astype(np.int16)
             keep = b.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([keep.column("rid"), keep.column("id"), pa.array([r.tobytes() for r in q], pa.binary())], ["rid", "id", "q"])
+            yield pa.RecordBatch.from_arrays([keep.column("rid"), keep.column("id"), _binary(q)], ["rid", "id", "q"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"rid long, id {kind}, q binary"), "vectors"), dim
-
-
-def _unpack(values: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(values), np.int16).reshape(-1, dim).astype(np.float32)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return _unpack(column.to_pylist(), dim)
-
+    return materialize(rows.mapInArrow(run, f"rid long, id {kind}, q binary").withColumns({"h1": F.xxhash64("q"), "h2": F.hash("q")}), "vectors"), dim
+
+
+def _binary(q: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    q = np.ascontiguousarray(q)
+    width = q.shape[1] * q.itemsize
+    offsets = pa.py_buffer((np.arange(len(q) + 1, dtype=np.int32) * width).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, offsets, pa.py_buffer(q.tobytes())])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-30)[:, None]
+
+
+def _matrix(column, dim: int, kind=np.int16) -> np.ndarray:
+    """Unit vectors of a binary column, chunked or not."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    got = []
+    for c in chunks:
+        if len(c):
+            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            got.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return _unit(np.concatenate(got).reshape(-1, dim)) if got else np.zeros((0, dim), np.float32)
+
+
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as 8-bit integers, each by its largest component."""
+    return np.rint(x * (127 / np.maximum(np.abs(x).max(1), 1e-30))[:, None]).astype(np.int8)
+
+
+class Cells:
+    """Which cells a vector belongs to: its nearest centres, each with its nearest second centres where all cells would be too large, and centres of their own for cells that the sample shows to be crowded."""
+
+    def __init__(self, centres: np.ndarray, second: np.ndarray, spread: int):
+        self.centres, self.second, self.spread, self.own = centres, second, spread, {}
+
+    def coarse(self, x: np.ndarray) -> np.ndarray:
+        m = min(self.spread, len(self.centres))
+        first = _nearest(x, self.centres, m)
+        if len(self.second) == 1:
+            return first << 32
+        fine = _nearest(x, self.second, min(SECOND_SPREAD, len(self.second)))
+        return ((first[:, :, None] << 32) | (fine[:, None, :] << 16)).reshape(len(x), -1)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell), the first of each row being the one it is at home in."""
+        cells = self.coarse(x)
+        row = np.repeat(np.arange(len(x)), cells.shape[1])
+        cell, rank = cells.ravel(), np.tile(np.arange(cells.shape[1]), len(x))
+        if self.own:
+            keep, more = np.ones(len(cell), bool), []
+            for name, sub in self.own.items():
+                at = np.flatnonzero(cell == name)
+                if len(at):
+                    keep[at] = False
+                    fine = _nearest(x[row[at]], sub, min(SECOND_SPREAD, len(sub)))
+                    w = fine.shape[1]
+                    more.append((np.repeat(row[at], w), np.repeat(cell[at], w) + 1 + fine.ravel(), np.repeat(rank[at] * SECOND_SPREAD, w) + np.tile(np.arange(w), len(at))))
+            row, cell, rank = (np.concatenate(z) for z in zip((row[keep], cell[keep], rank[keep] * SECOND_SPREAD), *more))
+            order = np.lexsort((rank, row))
+            row, cell = row[order], cell[order]
+        return row, cell
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest centres of each row, the nearest first."""
+    sims = x @ centres.T
+    at = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1).astype(np.int64)
+
+
+def _sample(rows: DataFrame, total: int, seed: int) -> tuple[np.ndarray, list[bytes]]:
+    got = rows.select("rid", "q").sample(False, min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1)), seed).limit(SAMPLE_ROWS).collect()
+    got = got or rows.select("rid", "q").limit(SAMPLE_ROWS).collect()
+    got.sort(key=lambda r: r["rid"])
+    return np.array([r["rid"] for r in got]), [bytes(r["q"]) for r in got]
 
-def _centres(vectors: DataFrame, dim: int, total: int, spread: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-    """(rids, centres, second centres, parts): centres drawn from a sample of at most SAMPLE_ROWS rows.
 
-    Where MOST_CENTRES cells would be too large, each is divided by the nearest of the second centres. parts tells cells
-    that the sample shows to be crowded still, and into how many parts their rows are dealt.
-    """
-    share = min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1))
-    got = vectors.select("rid", "q").sample(False, share, seed).limit(SAMPLE_ROWS).collect()
-    if not got:
-        got = vectors.select("rid", "q").limit(SAMPLE_ROWS).collect()
-    got.sort(key=lambda r: r["rid"])
-    x = _unpack([bytes(r["q"]) for r in got], dim)
+def _plan_cells(rows: DataFrame, dim: int, total: int, spread: int, seed: int, cell_rows: int) -> tuple[np.ndarray, Cells]:
+    """(rids of the centres, cells), from a sample of at most SAMPLE_ROWS rows; crowded cells get centres from their own sampled rows."""
+    rids, data = _sample(rows, total, seed)
+    x = _unit(np.frombuffer(b"".join(data), np.int16).reshape(-1, dim))
     rng = np.random.default_rng(seed)
-    cells = max(1, math.ceil(total * spread / CELL_ROWS))
-    n = min(cells, MOST_CENTRES, len(x))
+    wanted = max(1, math.ceil(total * spread / cell_rows))
+    n = min(wanted, MOST_CENTRES, len(x))
     pick = np.sort(rng.choice(len(x), n, replace=False))
-    m = min(math.ceil(SECOND_SPREAD * cells / n), MOST_CENTRES, len(x)) if cells > MOST_CENTRES else 1
-    second = x[rng.choice(len(x), m, replace=False)]
-    near = _cells(x, x[pick], second, spread)
-    names, rows = np.unique(near, return_counts=True)
-    expected = rows * (total / len(x))
-    crowded = (expected > 2 * CELL_ROWS) & ((rows >= 8) | (m == 1))
-    parts = {int(c): math.ceil(e / CELL_ROWS) for c, e in zip(names[crowded], expected[crowded])}
-    return np.array([got[i]["rid"] for i in pick]), x[pick], second, parts
-
-
-def _cells(x: np.ndarray, c: np.ndarray, second: np.ndarray, spread: int) -> np.ndarray:
-    """The cells of each row: its `spread` nearest centres, each with its SECOND_SPREAD nearest second ones if there are any."""
-    m = min(spread, len(c))
-    first = np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m].astype(np.int64)
-    if len(second) == 1:
-        return first << 32
-    k = min(SECOND_SPREAD, len(second))
-    fine = np.argpartition(-(x @ second.T), k - 1, axis=1)[:, :k].astype(np.int64)
-    return ((first[:, :, None] << 32) | (fine[:, None, :] << 20)).reshape(len(x), -1)
-
-
-def _assigner(c: np.ndarray, second: np.ndarray, parts: dict[int, int], dim: int, spread: int):
-    crowded = np.array(sorted(parts), np.int64)
-    dealt = np.array([parts[k] for k in crowded.tolist()], np.int64)
+    m = min(math.ceil(SECOND_SPREAD * wanted / n), MOST_CENTRES, len(x)) if wanted > MOST_CENTRES else 1
+    cells = Cells(x[pick], x[rng.choice(len(x), m, replace=False)], spread)
+    coarse = cells.coarse(x)
+    row = np.repeat(np.arange(len(x)), coarse.shape[1])
+    names, at, rows_in = np.unique(coarse.ravel(), return_inverse=True, return_counts=True)
+    for k in np.flatnonzero(rows_in * (total / len(x)) > 2 * cell_rows):
+        mine = row[at == k]
+        parts = min(math.ceil(SECOND_SPREAD * rows_in[k] * (total / len(x)) / cell_rows), len(mine), 65_000)
+        if parts > 1:
+            cells.own[int(names[k])] = x[rng.choice(mine, parts, replace=False)]
+    return rids[pick], cells
+
+
+def _assigner(cells: Cells, dim: int):
+    """Vectors (rid, q) to their cells: (cell, rid, home, code)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                cells = _cells(_matrix(part.column("q"), dim), c, second, spread)
-                rid = part.column("rid").to_numpy()
-                if len(crowded):
-                    at = np.minimum(np.searchsorted(crowded, cells), len(crowded) - 1)
-                    n = np.where(crowded[at] == cells, dealt[at], 1)
-                    cells = cells + (rid[:, None] * 2654435761 >> 7) % n
-                t = part.take(pa.array(np.repeat(np.arange(len(rid)), cells.shape[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), t.column("rid"), t.column("q")], ["cell", "rid", "q"])
+                x = _matrix(part.column("q"), dim)
+                row, cell = cells.of(x)
+                first = np.searchsorted(row, np.arange(len(x)))
+                codes = _binary(_codes(x)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("rid").take(pa.array(row)), pa.array(cell[first][row]), codes], ["cell", "rid", "home", "code"])
 
     return run
 
 
-def _best_in_cell(dim: int, k: int, floor: float):
-    """Edges to the k nearest rows of each row of a cell, by blocks of the matrix of cosines."""
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row: they stand in the k groups of 32 with the largest maxima."""
+    rows, width = sims.shape
+    if width <= 64 * max(k, 1):
+        return np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < width else np.tile(np.arange(width), (rows, 1))
+    groups = -(-width // 32)
+    if width % 32:
+        sims = np.concatenate([sims, np.full((rows, groups * 32 - width), -9, np.float32)], 1)
+    cubes = sims.reshape(rows, groups, 32)
+    g = np.argpartition(-cubes.max(2), k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(cubes, g[:, :, None], 1).reshape(rows, -1)
+    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(g, at // 32, 1) * 32 + at % 32
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        rid = group.column("rid").to_numpy()
-        x = _matrix(group.column("q"), dim)
-        out = []
-        for s in range(0, len(x), 1024):
-            sims = x[s : s + 1024] @ x.T
-            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
-            if floor > -1:
-                i, j = np.nonzero(sims >= floor)
-                v = sims[i, j]
-                order = np.lexsort((rid[j], -v, i))
-                i, j, v = i[order], j[order], v[order]
-                first = np.searchsorted(i, i)
-                top = np.arange(len(i)) - first < k
-                i, j, v = i[top], j[top], v[top]
-            else:
-                w = min(k, len(x) - 1)
-                if not w:
-                    continue
-                j = np.argpartition(-sims, w - 1, axis=1)[:, :w]
-                i = np.repeat(np.arange(len(sims)), w)
-                j = j.ravel()
-                v = sims[i, j]
-            out.append((rid[s + i], rid[j], v))
-        a, b, v = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "s": v.astype(np.float32)})
 
-    return run
+LINKS = "a long, ha long, b long, hb long, s float"
 
 
-def _cosines(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = np.einsum("ij,ij->i", _matrix(b.column("qa"), dim), _matrix(b.column("qb"), dim)) if b.num_rows else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s.astype(np.float32))], ["a", "b", "s"])
+def _links(a, ha, b, hb, s) -> pa.Table:
+    return pa.table({"a": a.astype(np.int64), "ha": ha.astype(np.int64), "b": b.astype(np.int64), "hb": hb.astype(np.int64), "s": s.astype(np.float32)})
+
+
+def _best_in_cell(dim: int, k: int):
+    """Links to the k nearest rows of each row of a cell, by blocks of the matrix of cosines."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rid, home = group.column("rid").to_numpy(), group.column("home").to_numpy()
+        x = _matrix(group.column("code"), dim, np.int8)
+        w, out = min(k, len(x) - 1), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)]
+        for s in range(0, len(x) if w else 0, 512):
+            sims = x[s : s + 512] @ x.T
+            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+            j = _best(sims, w)
+            out.append((np.repeat(np.arange(s, s + len(sims)), w), j.ravel(), np.take_along_axis(sims, j, 1).ravel()))
+        i, j, v = (np.concatenate(z) for z in zip(*out))
+        return _links(rid[i], home[i], rid[j], home[j], v)
 
     return run
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
+def _top(links: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-
-def _local_join(dim: int, floor: float):
-    """Rows (v, x, q, least), sorted by v, to offers (a, b, s): pairs of the neighbours of one v, the cosine of which raises the least that one of them has."""
-
-    def offers(v: np.ndarray, x: np.ndarray, q: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        n = np.diff(np.r_[start, len(v)])
-        out = []
-        for size in np.unique(n[n > 1]):  # groups of one size at a time, in blocks
-            first = start[n == size]
-            for s in range(0, len(first), 4096):
-                at = first[s : s + 4096, None] + np.arange(size)
-                m = q[at]
-                sims = m @ m.transpose(0, 2, 1)
+    once = links.groupBy("a", "ha", "b", "hb").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("b").alias("a"), F.col("hb").alias("ha"), F.col("a").alias("b"), F.col("ha").alias("hb"), *[c for c in links.columns if c not in ("a", "ha", "b", "hb")])
+
+
+def _offers(dim: int):
+    """Of the links of one home and the vectors these need: pairs of neighbours of a row, one of them newly so, whose cosine raises the least that one of them has."""
+
+    def run(links: pa.Table, held: pa.Table) -> pa.Table:
+        x = _matrix(held.column("code"), dim, np.int8)
+        ids, home, least = (held.column(c).to_numpy() for c in ("x", "hx", "least"))
+        order = np.argsort(ids)
+        v, name, new = (links.column(c).to_numpy(zero_copy_only=False) for c in ("v", "x", "new"))
+        at = order[np.searchsorted(ids, name, sorter=order)]
+        by = np.argsort(v, kind="stable")
+        v, at, new = v[by], at[by], new[by].astype(bool)
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)]
+        if len(v):
+            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            n = np.diff(np.r_[start, len(v)])
+            for size in np.unique(n[n > 1]):  # rows with as many neighbours at a time, in blocks
+                first = start[n == size]
                 i, j = np.triu_indices(size, 1)
-                value = sims[:, i, j]
-                good = (value >= floor) & ((value > least[at[:, i]]) | (value > least[at[:, j]]))
-                g, p = np.nonzero(good)
-                out.append((x[at[g, i[p]]], x[at[g, j[p]]], value[g, p]))
-        one, two, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(s.astype(np.float32))], ["a", "b", "s"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            part = (b.column("v").to_numpy(), b.column("x").to_numpy(), _matrix(b.column("q"), dim), b.column("least").to_numpy())
-            if held is not None:
-                part = tuple(np.concatenate(z) for z in zip(held, part))
-            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last group may go on in the next batch
-            if cut:
-                yield offers(*(z[:cut] for z in part))
-            held = tuple(z[cut:] for z in part)
-        if held is not None:
-            yield offers(*held)
+                for s in range(0, len(first), 2048):
+                    m = first[s : s + 2048, None] + np.arange(size)
+                    q = x[at[m]]
+                    sims = (q @ q.transpose(0, 2, 1))[:, i, j]
+                    lo, fresh = least[at[m]], new[m]
+                    g, p = np.nonzero((fresh[:, i] | fresh[:, j]) & ((sims > lo[:, i]) | (sims > lo[:, j])))
+                    out.append((at[m[g, i[p]]], at[m[g, j[p]]], sims[g, p]))
+        a, b, s = (np.concatenate(z) for z in zip(*out))
+        swap = ids[a] > ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        _, where = np.unique(a * len(ids) + b, return_index=True)
+        a, b, s = a[where], b[where], s[where]
+        return _links(ids[a], home[a], ids[b], home[b], s)
 
     return run
 
 
-def _descend(edges: DataFrame, vectors: DataFrame, dim: int, k: int, floor: float) -> tuple[DataFrame, int]:
-    """One round of NN-descent: the neighbours of each row, and the nearest of those that have it as one, are offered to each other.
+def _descend(links: DataFrame, codes: DataFrame, dim: int, k: int) -> DataFrame:
+    """One round of NN-descent: the k neighbours of each row, and the k nearest of those that have it as one, are offered to each other.
 
-    The vectors of a row's at most 2k neighbours meet at the row, by a join of the edges with the vectors and a sort; only
-    offers that a neighbour can use leave it.
+    The links of all rows of one home meet the vectors they need there, each of which comes once, however many of these
+    rows have it as a neighbour. Only offers that one of the two can use leave. Rows none of whose links is new have none.
     """
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
-    local = _top(edges, k).union(_top(back, k)).select(F.col("a").alias("v"), F.col("b").alias("x")).distinct()
-    least = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("m"))
-    state = vectors.select(F.col("rid").alias("a"), "q").join(least, "a", "left").select(F.col("a").alias("x"), "q", F.when(F.col("n") >= k, F.col("m")).otherwise(-2.0).cast("float").alias("least"))
-    sent = local.join(state, "x").select("v", "x", "q", "least").repartition("v").sortWithinPartitions("v")
-    got = sent.mapInArrow(_local_join(dim, floor), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
-    got = materialize(got, "offered")
-    out = materialize(_top(edges.union(got).union(got.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), k), "edges")
-    changed = out.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
-    discard(got)
-    return out, changed
-
-
-def _graph(vectors: DataFrame, dim: int, k: int, floor: float, passes: int, spread: int, rounds: int, seed: int, least_change: float) -> DataFrame:
-    total = vectors.count()
-    edges = None
-    for p in range(passes if dim and total else 0):
-        _, c, second, parts = _centres(vectors, dim, total, spread, seed + p)
-        cells = vectors.select("rid", "q").mapInArrow(_assigner(c, second, parts, dim, spread), "cell long, rid long, q binary")
-        found = cells.groupBy("cell").applyInArrow(_best_in_cell(dim, k, floor), "a long, b long, s float")
-        found = materialize(_top(found, k), "found")
-        edges = found if edges is None else edges.union(found)
-    if edges is None:
+    local = links.union(_turned(links).withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("_r") <= k).drop("_r"))
+    local = local.groupBy(F.col("a").alias("v"), F.col("ha").alias("home"), F.col("b").alias("x")).agg(F.max("new").alias("new"))
+    fresh = links.where("new").select(F.col("a").alias("v")).union(links.where("new").select(F.col("b").alias("v"))).distinct()
+    local = materialize(local.join(fresh, "v", "left_semi").select("home", "v", "x", "new"), "local")
+    least = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("m"))
+    state = codes.select(F.col("rid").alias("x"), F.col("home").alias("hx"), "code").join(least.withColumnRenamed("a", "x"), "x", "left").select("x", "hx", "code", F.when(F.col("n") >= k, F.col("m")).otherwise(-2.0).cast("float").alias("least"))
+    held = local.select("home", "x").distinct().join(state, "x").select("home", "x", "hx", "code", "least").toDF("at", "x", "hx", "code", "least")
+    got = local.groupBy("home").cogroup(held.groupBy("at")).applyInArrow(_offers(dim), LINKS)
+    got = materialize(got.withColumn("new", F.lit(True)), "offered")
+    kept = links.withColumn("new", F.lit(False))
+    out = materialize(_top(kept.union(got).union(_turned(got)), k), "links")
+    discard(local, got)
+    return out
+
+
+def _graph(vectors: DataFrame, dim: int, k: int, spare: int, spread: int, rounds: int, seed: int, least_change: float, cell_rows: int | None = None) -> DataFrame:
+    """Links (a, b, s), by 8-bit vectors, of the k + spare nearest rows of each of vectors (rid, q)."""
+    total = vectors.count() if dim else 0
+    if not total:
         return vectors.sparkSession.createDataFrame([], "a long, b long, s float")
-    edges = materialize(_top(edges, k), "edges")
+    _, cells = _plan_cells(vectors, dim, total, spread, seed, cell_rows or CELL_ROWS)
+    placed = materialize(vectors.select("rid", "q").mapInArrow(_assigner(cells, dim), "cell long, rid long, home long, code binary"), "placed")
+    codes = placed.where("cell = home").select("rid", "home", "code")
+    found = placed.groupBy("cell").applyInArrow(_best_in_cell(dim, k + min(spare, SPARE)), LINKS).withColumn("new", F.lit(True))
+    k += spare
+    links = materialize(_top(found, k), "links")
     for _ in range(rounds):
-        edges, changed = _descend(edges, vectors, dim, k, floor)
-        if changed <= least_change * total:
+        better = _descend(links, codes, dim, k)
+        discard(links)
+        links = better
+        if links.where("new").count() <= least_change * total * k:
             break
-    return edges
+    return links.select("a", "b", "s")
+
+
+def _cosines(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.einsum("ij,ij->i", _matrix(b.column("qa"), dim), _matrix(b.column("qb"), dim)) if b.num_rows else np.zeros(0, np.float32)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s.astype(np.float32))], ["a", "b", "s"])
 
+    return run
 
-def neighbour_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 5, floor: float = -1.0, passes: int = 2, spread: int = 3, rounds: int = 3, seed: int = 42, least_change: float = 0.001) -> DataFrame:
+
+def _exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(a, b, s) of links (a, b) with their cosines by the 16-bit vectors, each unordered pair being computed once."""
+    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    q = vectors.select("rid", "q")
+    both = one.join(q.toDF("a", "qa"), "a").join(q.toDF("b", "qb"), "b")
+    return both.select("a", "b", "qa", "qb").mapInArrow(_cosines(dim), "a long, b long, s float")
+
+
+def neighbour_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 5, spread: int = 4, rounds: int = 3, seed: int = 42, least_change: float = 0.01, least: float = -1.0, spare: int = SPARE, cell_rows: int | None = None) -> DataFrame:
     """(id, neighbour_id, rank, cosine): the k rows most similar to each row by cosine, found approximately.
 
-    `floor` leaves out edges of a smaller cosine from the start: for callers that ask only for close pairs. More passes
-    over cells, a wider spread of each row over cells, or more rounds of NN-descent raise the recall. Ties in cosine are
-    broken by the order in which rows are stored. Rows without a usable vector (see unit_vectors) do not come out.
+    While the graph is built each row keeps k + `spare` links; more of them let NN-descent find far neighbours, and so do
+    cells of more rows (`cell_rows`), each of which a row is compared with. A wider spread of each row over cells, or more rounds of NN-descent, which end once a round changes fewer than
+    `least_change` of the links, raise the recall. Equal vectors are one row of the graph, and are nearest to each other.
+    Ties in cosine are broken by id. `least`: only neighbours of at least this cosine are reported; the graph itself
+    leaves none out. Rows without a usable vector (see unit_vectors) do not come out.
     """
     vectors, dim = unit_vectors(df, id_col, vec_col)
-    edges = _graph(vectors, dim, 2 * k, floor, passes, spread, rounds, seed, least_change)
-    w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    best = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    names = vectors.select("rid", "id")
-    out = best.join(names.toDF("a", "id"), "a").join(names.toDF("b", "neighbour_id"), "b")
-    return out.select("id", "neighbour_id", "rank", F.col("s").cast("double").alias("cosine"))
+    w = Window.partitionBy("h1", "h2").orderBy("id", "rid")
+    firsts = vectors.groupBy("h1", "h2").agg(F.min("rid").alias("class"), F.count(F.lit(1)).alias("copies"))
+    many = materialize(firsts.where("copies > 1"), "many")
+    named = materialize(vectors.select("rid", "id", "h1", "h2").join(many, ["h1", "h2"], "left").select("rid", "id", F.coalesce("class", "rid").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"), "h1", "h2"), "named")
+    single = vectors.join(named.where("class <> rid").select("rid"), "rid", "left_anti").select("rid", "q")
+    single = materialize(single, "classes")
+    links = _graph(single, dim, k, spare, spread, rounds, seed, least_change, cell_rows)
+    near = materialize(_exact(links.where(F.col("s") >= least - 0.01), single, dim).where(F.col("s") >= least), "near")
+    near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    # each class meets the k + 1 least ids of another or of itself: no more can be among the k nearest
+    few = named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).select(F.col("class").alias("b"), F.col("id").alias("neighbour_id"))
+    own = many.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).cast("float").alias("s"))
+    order = Window.partitionBy("a").orderBy(F.desc("s"), "neighbour_id")
+    best = materialize(near.union(own).join(few, "b").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("a", "neighbour_id", "s"), "best")
+    all_ = named.select(F.col("class").alias("a"), "id").join(best, "a").where("id <> neighbour_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "neighbour_id"))
+    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour_id", "rank", F.col("s").cast("double").alias("cosine"))
 
 
 def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int = 5, beam: int = 32, hops: int = 12, seed: int = 42) -> DataFrame:
     """(query_id, id, rank, cosine): for each row of `queries` (same columns) the k rows of df nearest to it, by greedy walks.
 
-    Each walk starts at its `beam` / 2 nearest centres; in every hop the unvisited neighbours of its best rows join the
+    Each walk starts at the `beam` / 2 nearest of at most MOST_CENTRES sampled rows; in every hop the unvisited neighbours of its best rows join the
     beam. A query finds its own row if df has it. Queries without a usable vector do not come out.
     """
     vectors, dim = unit_vectors(df, id_col, vec_col)
@@ -274,15 +357,17 @@ def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
     kind = df.schema[id_col].dataType.simpleString()
     if not dim:
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, rank int, cosine double")
-    edges = _graph(vectors, dim, 2 * k, -1.0, 2, 3, 3, seed, 0.001)
+    edges = _graph(vectors, dim, k, k, 4, 3, seed, 0.01)
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "walks")
-    rids, c, _, _ = _centres(vectors, dim, vectors.count(), 3, seed)
+    rids, data = _sample(vectors, vectors.count(), seed)
+    some = np.random.default_rng(seed).choice(len(rids), min(len(rids), MOST_CENTRES), replace=False)
+    rids, c = rids[some], _unit(np.frombuffer(b"".join(data), np.int16).reshape(-1, dim)[some])
     m = min(max(beam // 2, 1), len(c))
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                sims = _unpack(list(b["q"]), dim) @ c.T
+                sims = _unit(np.frombuffer(b"".join(b["q"]), np.int16).reshape(-1, dim)) @ c.T
                 near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                 yield pd.DataFrame({"query": np.repeat(b["rid"].to_numpy(), m), "node": rids[near.ravel()], "s": np.take_along_axis(sims, near, 1).ravel()})
 

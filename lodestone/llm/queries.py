@@ -134,24 +134,24 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where("not is_prose").select("doc_id")
 
 
-#: Nearest rows asked for, the least cosine of a pair, and the one below which an edge can't lead to such a pair.
-NEAREST, COSINE, FLOOR = 5, 0.85, 0.7
+#: Nearest rows asked for, and the least cosine of a pair.
+NEAREST, COSINE = 5, 0.85
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind, table in (("memory", "memories"), ("chunk", "code_chunks")):
-        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST, floor=FLOOR, spread=4).where(F.col("cosine") >= COSINE)
+        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST, least=COSINE)
         pairs = near.select(F.lit(kind).alias("record_kind"), F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
         out = pairs if out is None else out.union(pairs)
     return out
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar rows of every memory and chunk, whatever their cosine; far neighbours need more passes than near ones."""
+    """The five most similar rows of every memory and chunk, whatever their cosine: far neighbours need larger cells than near ones."""
     out = None
     for kind, table in (("memory", "memories"), ("chunk", "code_chunks")):
-        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST, passes=4, spread=5).select(F.lit(kind).alias("record_kind"), "id", "neighbour_id", "rank", "cosine")
+        near = neighbour_graph(load(spark, sf_dir, table), "id", "embedding", NEAREST, spread=5, cell_rows=32_768).select(F.lit(kind).alias("record_kind"), "id", "neighbour_id", "rank", "cosine")
         out = near if out is None else out.union(near)
     return out
 

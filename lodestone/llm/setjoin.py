@@ -7,12 +7,13 @@ single words are pivots at distance 1 - 1/n from the texts that contain them, ti
 replicated to the pivots that may be the nearest common one. A word that too many texts contain is split again by the
 second and third common word until the expected region is small. All of it is exact: no text, region or pair is dropped.
 
-Region rows carry a sketch of the text, 64 parities of its distance to the empty set on slices of the vocabulary. Each
+Region rows carry a sketch of the text, 128 parities of its distance to the empty set on slices of the vocabulary. Each
 slice obeys the triangle inequality, so pairs too far apart leave within the join of the regions, before any words move.
 
-Where only the groups that links make are asked for, regions that stay crowded, as those of thousands of variants of one
-text do, are divided (`crowded_pairs`): each text is first tied to a leader, a text within 1 - theta of it that shares a
-least hash with it, and pairs of texts tied to the same leader are passed over, since the ties connect them already.
+Where only the groups that links make are asked for, each text is first tied to a leader, a text within 1 - theta of it
+that shares a least hash with it. Pairs of texts tied to the same leader are passed over, since the ties connect them
+already, and words are counted in texts without a leader, so thousands of variants of one text neither make pairs nor
+make their words frequent. Regions that hold many texts all the same are compared in blocks (`crowded_pairs`).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ..session import discard, materialize
 #: Bound on the frequent words whose counts every task gets: 16 bytes each, whatever the size of the input.
 FREQUENT_WORDS = 200_000
 #: Texts that a region may be expected to hold before it is split by a further word.
-REGION_TEXTS = 500
+REGION_TEXTS = 10_000
 EPS = 1e-9
 
 
@@ -59,27 +60,30 @@ def _offsets(n: np.ndarray) -> np.ndarray:
 
 
 def set_columns(row: np.ndarray, h: np.ndarray, rows: int) -> list[pa.Array]:
-    """words, n, k1, k2 and s of `rows` sets, from the row and hash of each element: the sorted distinct hashes, their number, two hashes of the whole set, and the sketch."""
+    """words, n, k1, k2, s1 and s2 of `rows` sets, from the row and hash of each element: the sorted distinct hashes, their number, two hashes of the whole set, and the sketch."""
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
     row, h = row[new], h[new]
     n = np.bincount(row, minlength=rows)
-    k1, k2, s = (np.zeros(rows, np.int64) for _ in range(3))
+    k1, k2, s1, s2 = (np.zeros(rows, np.int64) for _ in range(4))
     if len(h):
         full = np.flatnonzero(n)
         at = (np.cumsum(n) - n)[full]
         with np.errstate(over="ignore"):
             k1[full] = np.add.reduceat(_mix(h, np.full(len(h), 11, np.int64)), at)
             k2[full] = np.add.reduceat(_mix(h, np.full(len(h), 13, np.int64)), at)
-        s[full] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h.view(np.uint64) & np.uint64(63)), at).view(np.int64)
-    return [pa.ListArray.from_arrays(pa.array(_offsets(n)), pa.array(h)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(s)]
+        bit = np.left_shift(np.uint64(1), h.view(np.uint64) & np.uint64(63))
+        upper = (h & 64) != 0
+        s1[full] = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), at).view(np.int64)
+        s2[full] = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), at).view(np.int64)
+    return [pa.ListArray.from_arrays(pa.array(_offsets(n)), pa.array(h)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(s1), pa.array(s2)]
 
 
 def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            part = b.slice(at, 2048)
+        for at in range(0, b.num_rows, 8192):
+            part = b.slice(at, 8192)
             text = pc.utf8_lower(pc.replace_substring(pc.fill_null(part.column("text"), ""), "\u0130", "i\u0307"))
             lists = pc.split_pattern_regex(text, "[^a-z0-9]+")
             n = np.diff(np.asarray(lists.offsets))
@@ -89,14 +93,14 @@ def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code = coded.indices.to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(n)), n)
             keep = ~empty[code]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), *set_columns(row[keep], table[code[keep]], len(n))], ["doc", "tag", "words", "n", "k1", "k2", "s"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), *set_columns(row[keep], table[code[keep]], len(n))], ["doc", "tag", "words", "n", "k1", "k2", "s1", "s2"])
 
 
-SET_COLUMNS = "tag int, words array<long>, n int, k1 long, k2 long, s long"
+SET_COLUMNS = "tag int, words array<long>, n int, k1 long, k2 long, s1 long, s2 long"
 
 
 def word_sets(docs: DataFrame, id_col: str, text: Column, tag: Column | None = None) -> DataFrame:
-    """(doc, tag, words, n, k1, k2, s): the words of each text as sorted 64-bit hashes, their number, hashes of the whole set, and its sketch.
+    """(doc, tag, words, n, k1, k2, s1, s2): the words of each text as sorted 64-bit hashes, their number, hashes of the whole set, and its sketch.
 
     Cutting and hashing run on Arrow batches; each distinct word of a batch is hashed once.
     """
@@ -112,7 +116,7 @@ def collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sets = materialize(sets.where("n > 0"), "sets")
     texts = materialize(
-        sets.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.bit_or("tag").alias("tag"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("s").alias("s")).select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "tag", "copies", "n", "s", "words"),
+        sets.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.bit_or("tag").alias("tag"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")).select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "tag", "copies", "n", "s1", "s2", "words"),
         "texts",
     )
     members = materialize(sets.select("doc", "tag", "k1", "k2").join(texts.select("k1", "k2", "rid"), ["k1", "k2"]).select("doc", "tag", "rid"), "members")
@@ -129,12 +133,12 @@ def frequent_words(texts: DataFrame, limit: int = FREQUENT_WORDS) -> tuple[np.nd
     return np.array([r["w"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
 
-def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int, least_count: int):
-    """A mapInArrow function: texts to the regions (key, rid, m, s) each takes part in as the larger text of a pair.
+def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int, hot: np.ndarray | None):
+    """A mapInArrow function: texts to the regions (key, rid, m, s1, s2, label) each takes part in as the larger text of a pair.
 
     m packs the number of words, that of words from the first pivot on (the most that it can share with a text it first
     meets there), the tag, whether it takes part as the smaller text, too, and whether the region is of several words.
-    With least_count, only regions all words of which are more frequent come out.
+    With `hot`, sorted hashes, only regions all words of which are among them come out.
     """
     narrow = 2 * theta / (1 + theta)
     depth = max(1, min(3, math.ceil(theta / (1 - theta) - EPS))) if theta < 1 else 3  # words that different texts share at least
@@ -157,7 +161,8 @@ def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap
             pos, size = np.arange(len(flat)) - start, n[row]
             last = size - np.ceil(theta * size - EPS).astype(np.int64)  # the first common word stands here at the latest
             last_short = size - np.ceil(narrow * size - EPS).astype(np.int64)
-            live = np.flatnonzero((pos <= last) & (count > least_count) if least_count else pos <= last)
+            is_hot = np.isin(flat, hot) if hot is not None else np.ones(len(flat), bool)
+            live = np.flatnonzero((pos <= last) & is_hot)
             key, first, tip, expect, short = flat[live], live, live, count[live].astype(float), pos[live] <= last_short[live]
             out = []
             for level in range(1, depth + 1):
@@ -170,6 +175,7 @@ def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap
                 room = np.maximum(np.minimum(room, size[first] - 1 - pos[tip]), 0)
                 rep = np.repeat(np.arange(len(key)), room)
                 tip = tip[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(room) - room, room) + 1
+                rep, tip = rep[is_hot[tip]], tip[is_hot[tip]]
                 key, first = _mix(key[rep], flat[tip]), first[rep]
                 short = short[rep] & (pos[tip] <= last_short[first] + level)
                 expect = expect[rep] * count[tip] / max(total, 1)
@@ -177,17 +183,19 @@ def _regions(theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap
             r = row[first]
             tag = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)[r]
             m = (n[r].astype(np.int64) << 34) | ((size[first] - pos[first]).astype(np.int64) << 4) | (tag << 2) | (short.astype(np.int64) << 1) | multi
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column("rid").to_numpy(zero_copy_only=False)[r]), pa.array(m), pa.array(batch.column("s").to_numpy(zero_copy_only=False)[r])], ["key", "rid", "m", "s"])
+            kept = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[r]) for c in ("rid", "s1", "s2", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(key), kept[0], pa.array(m), *kept[1:]], ["key", "rid", "m", "s1", "s2", "label"])
 
     return run
 
 
-def region_rows(texts: DataFrame, theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int = REGION_TEXTS, least_count: int = 0) -> DataFrame:
-    """(key, rid, m, s): the regions each text takes part in. Texts of up to 2**29 distinct words.
+def region_rows(texts: DataFrame, theta: float, keys: np.ndarray, counts: np.ndarray, total: int, cap: int | None = None, hot: np.ndarray | None = None) -> DataFrame:
+    """(key, rid, m, s1, s2, label): the regions each text takes part in. Texts of up to 2**29 distinct words; label is the rid where texts have none.
 
     All rows that are to meet must be made with the same keys, counts and total: they fix the order of the words.
     """
-    return texts.select("rid", "tag", "n", "s", "words").mapInArrow(_regions(theta, keys, counts, total, cap, least_count), "key long, rid long, m long, s long")
+    label = F.col("label") if "label" in texts.columns else F.col("rid").alias("label")
+    return texts.select("rid", "tag", "n", "s1", "s2", label, "words").mapInArrow(_regions(theta, keys, counts, total, cap or REGION_TEXTS, hot), "key long, rid long, m long, s1 long, s2 long, label long")
 
 
 def size_of(x: str) -> str:
@@ -210,7 +218,7 @@ def may_be_near(theta: float, ordered: bool = True) -> str:
     """SQL: neither size, position nor sketch keeps apart a, the larger text (with `ordered`), and b."""
     both = f"({size_of('a')} + {size_of('b')})"
     t = f"({theta / (1 + theta)!r} * {both} - {EPS!r})"
-    sketch = f"bit_count(a.s ^ b.s) <= {(1 - theta) / (1 + theta)!r} * {both} + {EPS!r}"
+    sketch = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {(1 - theta) / (1 + theta)!r} * {both} + {EPS!r}"
     if ordered:  # written so that no part concerns b alone: both sides then read the same shuffle
         sizes = f"if({is_short('b')}, {size_of('b')}, 1L << 40) <= {size_of('a')} and {size_of('b')} >= {theta!r} * {size_of('a')} - {EPS!r}"
     else:
@@ -220,9 +228,9 @@ def may_be_near(theta: float, ordered: bool = True) -> str:
     return f"{sizes} and {_left('a')} >= {t} and {_left('b')} >= {t} and {sketch}"
 
 
-def join_regions(regions: DataFrame, theta: float, allow: str = "true") -> DataFrame:
+def join_regions(regions: DataFrame, theta: float, allow: str = "a.label <> b.label") -> DataFrame:
     """Candidate pairs (a, b), a being the larger text: they share a region, and nothing in its rows keeps them apart. Each comes once."""
-    cond = f"a.key = b.key and {may_be_near(theta)} and ({size_of('b')} < {size_of('a')} or b.rid < a.rid) and ({allow})"
+    cond = f"a.key = b.key and ({allow}) and {may_be_near(theta)} and ({size_of('b')} < {size_of('a')} or b.rid < a.rid)"
     return regions.alias("a").join(regions.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
 
@@ -271,8 +279,8 @@ def similar_texts(texts: DataFrame, theta: float, allow: str = "true", cap: int
     return verify(pairs, texts, theta)
 
 
-#: Texts that a region may hold before it is divided, rows of a block of one, and least hashes that leaders are drawn by.
-CROWDED, BLOCK_ROWS, LEADER_HASHES = 2000, 4096, 4
+#: Texts that a region may hold before it is compared in blocks, rows of a block, and least hashes that leaders are drawn by.
+CROWDED, BLOCK_ROWS, LEADER_HASHES = 8192, 4096, 4
 
 
 def leaders(texts: DataFrame, theta: float, hashes: int = LEADER_HASHES) -> DataFrame:
@@ -286,11 +294,11 @@ def leaders(texts: DataFrame, theta: float, hashes: int = LEADER_HASHES) -> Data
                 continue
             got = np.stack([np.minimum.reduceat(_mix(flat, np.full(len(flat), 101 + i, np.int64)), off[:-1] - off[0]) ^ i for i in range(hashes)], 1)
             rep = pa.array(np.repeat(np.arange(batch.num_rows), hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), *(batch.column(c).take(rep) for c in ("rid", "n", "s"))], ["key", "rid", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), *(batch.column(c).take(rep) for c in ("rid", "n", "s1", "s2"))], ["key", "rid", "n", "s1", "s2"])
 
-    rows = texts.select("rid", "n", "s", "words").mapInArrow(least, "key long, rid long, n int, s long")
-    first = rows.groupBy("key").agg(F.min(F.struct("rid", "n", "s")).alias("l"))
-    near = f"l.rid <> rid and least(l.n, n) >= {theta!r} * greatest(l.n, n) - {EPS!r} and bit_count(s ^ l.s) <= {(1 - theta) / (1 + theta)!r} * (n + l.n) + {EPS!r}"
+    rows = texts.select("rid", "n", "s1", "s2", "words").mapInArrow(least, "key long, rid long, n int, s1 long, s2 long")
+    first = rows.groupBy("key").agg(F.min(F.struct("rid", "n", "s1", "s2")).alias("l"))
+    near = f"l.rid <> rid and least(l.n, n) >= {theta!r} * greatest(l.n, n) - {EPS!r} and bit_count(s1 ^ l.s1) + bit_count(s2 ^ l.s2) <= {(1 - theta) / (1 + theta)!r} * (n + l.n) + {EPS!r}"
     pairs = rows.join(first, "key").where(near).select(F.col("rid").alias("a"), F.col("l.rid").alias("b")).distinct()
     return verify(materialize(pairs, "leaders"), texts, theta).select("a", "b")
 
@@ -300,40 +308,38 @@ def _block_pairs(theta: float):
     ratio = (1 - theta) / (1 + theta)
 
     def run(group: pa.Table) -> pa.Table:
-        rid, m, s, label, block, one, two = (group.column(c).to_numpy() for c in ("rid", "m", "s", "label", "block", "one", "two"))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        rid, m, s1, s2, label, block, one, two = (group.column(c).to_numpy() for c in ("rid", "m", "s1", "s2", "label", "block", "one", "two"))
+        s1, s2, n, room, short = s1.view(np.uint64), s2.view(np.uint64), m >> 34, (m >> 4) & ((1 << 29) - 1), (m & 2) != 0
+        names, count = np.unique(label, return_counts=True)
+        big = label == names[np.argmax(count)]  # most have one leader where a region is crowded with variants
         inside = one[0] == two[0]
-        if len(left) and len(right) and len(np.unique(label)) > 1:
-            n, room, short = m >> 34, (m >> 4) & ((1 << 29) - 1), (m & 2) != 0
-            for at in range(0, len(left), 256):
-                i = left[at : at + 256, None]
-                j = right[None, :]
+        left, right = block == one, block == two
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, cols in ((left & ~big, right),) if inside else ((left & ~big, right), (left & big, right & ~big)):
+            rows, cols = np.flatnonzero(rows), np.flatnonzero(cols)
+            for at in range(0, len(rows) if len(cols) else 0, 256):
+                i, j = rows[at : at + 256, None], cols[None, :]
+                both = n[i] + n[j]
+                ok = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int16) + np.bitwise_count(s2[i] ^ s2[j]) <= ratio * both + EPS
+                x, y = np.nonzero(ok & (label[i] != label[j]))
+                i, j = i[x, 0], cols[y]
                 both = n[i] + n[j]
-                ok = np.bitwise_count(s[i].view(np.uint64) ^ s[j].view(np.uint64)) <= ratio * both + EPS
-                ok &= label[i] != label[j]
-                if inside:
-                    ok &= rid[i] < rid[j]
                 need = theta / (1 + theta) * both - EPS
-                ok &= (room[i] >= need) & (room[j] >= need) & (np.minimum(n[i], n[j]) >= theta * np.maximum(n[i], n[j]) - EPS) & np.where(n[i] < n[j], short[i], np.where(n[i] > n[j], short[j], short[i] & short[j]))
-                x, y = np.nonzero(ok)
-                out_a.append(rid[i[x, 0]])
-                out_b.append(rid[right[y]])
+                ok = (room[i] >= need) & (room[j] >= need) & (np.minimum(n[i], n[j]) >= theta * np.maximum(n[i], n[j]) - EPS) & np.where(n[i] < n[j], short[i], np.where(n[i] > n[j], short[j], short[i] & short[j]))
+                if inside:
+                    ok &= big[j] | (rid[i] < rid[j])
+                out_a.append(rid[i[ok]])
+                out_b.append(rid[j[ok]])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return run
 
 
-def crowded_pairs(regions: DataFrame, sizes: DataFrame, ties: DataFrame, theta: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): candidates of the regions, that together with the ties (text a, leader b) connect what all pairs of the regions would.
-
-    sizes: (key, count) of the regions. Their rows are dealt to blocks by hash, and each pair of blocks is one group.
-    """
-    label = ties.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "rid")
-    own = regions.join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    dealt = own.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "rid", "m", "s", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+def crowded_pairs(regions: DataFrame, sizes: DataFrame, theta: float, block_rows: int | None = None) -> DataFrame:
+    """(a, b): candidates of the regions, of different labels. sizes: (key, count). Rows are dealt to blocks by hash, and each pair of blocks is one group."""
+    dealt = regions.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / (block_rows or BLOCK_ROWS)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "rid", "m", "s1", "s2", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     return spread.groupBy("key", "one", "two").applyInArrow(_block_pairs(theta), "a long, b long").distinct()
 
 
@@ -341,16 +347,21 @@ def connecting_texts(texts: DataFrame, theta: float, cap: int = REGION_TEXTS, fr
     """(a, b): pairs of texts of word share >= theta, enough of them to connect all that the pairs of `similar_texts` connect."""
     if not 0 < theta <= 1:
         raise ValueError("theta must be in (0, 1]")
-    keys, counts = frequent_words(texts, frequent)
-    total = texts.count()
-    regions = region_rows(texts, theta, keys, counts, total, cap)
-    # a region can only be crowded if all its words are frequent
-    frequent_only = region_rows(texts, theta, keys, counts, total, cap, crowded)
-    busy = materialize(frequent_only.where("m & 1 = 1").groupBy("key").count().where(F.col("count") > crowded), "busy")
-    if busy.isEmpty():
-        return verify(materialize(join_regions(regions, theta), "candidates"), texts, theta).select("a", "b")
-    plain = join_regions(regions.join(busy.select("key"), "key", "left_anti"), theta)
     ties = materialize(leaders(texts, theta), "ties")
-    dense = frequent_only.where("m & 1 = 1").join(busy.select("key"), "key", "left_semi")
-    pairs = materialize(plain.union(crowded_pairs(dense, busy, ties, theta)).distinct(), "candidates")
-    return verify(pairs, texts, theta).select("a", "b").union(ties)
+    own = texts.join(ties.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "rid"), "rid", "left")
+    own = materialize(own.select("rid", "tag", "n", "s1", "s2", "words", F.coalesce("label", "rid").alias("label")), "labelled")
+    alone = own.where("label = rid")
+    keys, counts = frequent_words(alone, frequent)
+    order = (keys, counts, alone.count())
+    regions = region_rows(own, theta, *order, cap)
+    all_keys, all_counts = frequent_words(own, frequent)
+    hot = all_keys[all_counts > crowded]
+    if not len(hot):  # no region can hold more texts than contain its words
+        pairs = join_regions(regions, theta)
+    else:
+        dense = region_rows(own, theta, *order, cap, hot)
+        busy = materialize(dense.groupBy("key").count().where(F.col("count") > crowded), "busy")
+        names = busy.select("key")
+        pairs = join_regions(regions.join(names, "key", "left_anti"), theta).union(crowded_pairs(dense.join(names, "key", "left_semi"), busy, theta)).distinct()
+    got = verify(materialize(pairs, "candidates"), own, theta).select("a", "b")
+    return got.union(ties)

@@ -56,7 +56,7 @@ def test_descent_improves(spark, monkeypatch):
 
     def recall(rounds):
         got = {}
-        for r in neighbour_graph(frame(spark, x), "id", "v", 5, passes=1, spread=2, rounds=rounds).collect():
+        for r in neighbour_graph(frame(spark, x), "id", "v", 5, spread=2, rounds=rounds, spare=11).collect():
             got.setdefault(r.id, set()).add(r.neighbour_id)
         return np.mean([len(got.get(f"v{i:05}", set()) & {f"v{j:05}" for j in top[i]}) / 5 for i in range(len(x))])
 
@@ -64,10 +64,13 @@ def test_descent_improves(spark, monkeypatch):
     assert after > before + 0.1
 
 
-def test_floor_copies_and_tiny(spark):
+def test_copies_least_and_tiny(spark):
     rows = frame(spark, np.concatenate([np.ones((400, 32)), -np.ones((1, 32))]).astype(np.float32))
-    got = neighbour_graph(rows, "id", "v", 3, floor=0.5)
+    got = neighbour_graph(rows, "id", "v", 3, least=0.5)
     assert got.count() == 1200 and got.agg(F.min("cosine")).first()[0] > 0.9999
+    # equal vectors are nearest to each other, those of the least ids first
+    assert {r.neighbour_id for r in got.where("id = 'v00002'").collect()} == {"v00000", "v00001", "v00003"}
+    assert {r.neighbour_id for r in neighbour_graph(rows, "id", "v", 3).where("id = 'v00400'").collect()} == {"v00000", "v00001", "v00002"}
     assert neighbour_graph(rows.limit(0), "id", "v").count() == 0
     assert neighbour_graph(rows.limit(1), "id", "v").count() == 0
     assert neighbour_graph(spark.createDataFrame(ODD, "id string, v array<float>, rid string"), "id", "v").where("id like 'n1'").count() == 0
@@ -75,6 +78,25 @@ def test_floor_copies_and_tiny(spark):
     assert dim == 32 and table.count() == 2
 
 
+def test_crowded_cells_are_divided(spark, monkeypatch):
+    from lodestone.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 64)
+    rng = np.random.default_rng(5)
+    crowd = np.ones((700, 32)) + 0.15 * rng.standard_normal((700, 32))  # most rows point the same way, and differ
+    x = np.concatenate([crowd, rng.standard_normal((300, 32))]).astype(np.float32)
+    table, dim = unit_vectors(frame(spark, x), "id", "v")
+    _, cells = neighbours._plan_cells(table, dim, 1000, 4, 1, 64)
+    q = neighbours._matrix(table.toArrow().column("q").combine_chunks(), dim)
+    row, cell = cells.of(q)
+    assert cells.own and set(row.tolist()) == set(range(1000)) and np.unique(cell, return_counts=True)[1].max() < 450
+    got = {}
+    for r in neighbour_graph(frame(spark, x), "id", "v", 5).collect():
+        got.setdefault(r.id, set()).add(r.neighbour_id)
+    _, top = exact(x, 5)
+    assert np.mean([len(got[f"v{i:05}"] & {f"v{j:05}" for j in top[i]}) / 5 for i in range(1000)]) >= 0.85
+
+
 def test_search(spark):
     x = clusters(3, 900)
     rows = frame(spark, x)
