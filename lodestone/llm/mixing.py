@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import discard, materialize
+from ..session import materialize
 
-#: Blocks that a source is dealt in per repetition, at most: what the driver plans with, whatever the size of a source.
-BLOCKS = 2048
+#: Bits of a text's hash that one step of the search for the end of a partial repetition looks at: windows have at most 2 ** STEP_BITS rows a source.
+STEP_BITS = 12
+#: Blocks that a shard should be dealt.
+SHARD_BLOCKS = 64
 
 
 def source_key(c: Column) -> Column:
@@ -43,68 +46,125 @@ def shard_quotas(totals: list[int], shards: int, shard: int, seed: int) -> tuple
     return at, have
 
 
+@dataclass(frozen=True)
+class Quota:
+    """What a source gives: its share and repeats as asked for, the texts and tokens it has, its quota, and whole repetitions in it. `limits`: its repeats bound the total."""
+
+    source: str
+    share: float
+    repeats: int
+    rows: int
+    tokens: int
+    quota: float
+    whole: int
+    limits: bool
+
+
+def quotas(sized: DataFrame, size_col: str, source_col: str, targets: DataFrame) -> tuple[list[Quota], DataFrame]:
+    """(quotas of the sources with a target, (source, rows, tokens) of all): see `mixture`. Collects a row for each target."""
+    goal = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats")).where("share > 0")
+    goal = {r["source"]: (r["share"], max(r["repeats"] or 1, 1)) for r in goal.groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats")).collect()}
+    names = sorted(k for k in goal if k is not None)
+    used = F.col(size_col) > 0
+    held = sized.groupBy(source_key(F.col(source_col)).alias("source")).agg(F.count(F.when(used, 1)).alias("rows"), F.coalesce(F.sum(F.when(used, F.col(size_col).cast("long"))), F.lit(0)).alias("tokens"))
+    have = {r["source"]: (r["rows"], r["tokens"]) for r in held.where(F.col("source").isin(names) & (F.col("tokens") > 0)).collect()} if names else {}
+    mass = sum(goal[s][0] for s in names if s in have)
+    most = {s: have[s][1] * goal[s][1] * mass / goal[s][0] for s in names if s in have}
+    total = min(most.values(), default=0)
+    out = []
+    for s in names:
+        n, t = have.get(s, (0, 0))
+        quota = total * goal[s][0] / mass if t else 0.0
+        out.append(Quota(s, goal[s][0], goal[s][1], n, t, float(quota), min(int(quota // t), goal[s][1]) if t else 0, most.get(s) == total))
+    return out, held
+
+
+def _ends(last: DataFrame) -> dict[str, tuple[int, float]]:
+    """Of each source the step of its partial repetition in which its quota ends, and the tokens before it. last: (source, step, rest, tokens)."""
+    w = Window.partitionBy("source").orderBy("step")  # at most 2 ** STEP_BITS rows of a source
+    sums = last.groupBy("source", "step").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest")).withColumn("upto", F.sum("t").over(w))
+    edge = sums.where("upto > rest").groupBy("source").agg(F.min(F.struct("step", (F.col("upto") - F.col("t")).alias("before"))).alias("x"))
+    return {r["source"]: (r["x"]["step"], r["x"]["before"]) for r in edge.collect()}  # one row a source
+
+
+def _by_source(values: dict[str, object], kind: str) -> Column:
+    """The value of each source, null for others."""
+    out = F.lit(None).cast(kind)
+    for s, v in values.items():
+        out = F.when(F.col("source") == s, F.lit(v).cast(kind)).otherwise(out)
+    return out
+
+
 def mixture(docs: DataFrame, id_col: str, size_col: str, source_col: str, targets: DataFrame, shard_size: int = 4_000_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rows, report): the mixture as (id, source, copy, tokens, shard, position) and the shares reached.
 
     The total is the largest at which every source that has any text can fill its share without a text being used more
     than max_repeats times; shares of sources without text are divided among the others in proportion, and the report
-    shows them with 0. A source is used in whole repetitions and a part of one, of blocks drawn by hash; the last block
-    is cut to a text, so a source misses its quota by less than the length of one text. Texts with a null id, no tokens
-    or a source without target are not used. Sources are matched by `source_key`.
+    shows them with 0 and names the source that limits the total. A source is used in whole repetitions and a part of
+    one, the texts of which come in the order of a hash up to its quota, so a source misses its quota by less than the
+    length of one text. Texts with a null id, no tokens or a source without target are not used; the report has a line
+    for each such source. Sources are matched by `source_key`. Blocks follow the tokens: a shard is dealt about
+    SHARD_BLOCKS of them, whatever the size of a source.
     """
-    goal = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats")).where("share > 0")
-    goal = {r["source"]: (r["share"], max(r["repeats"] or 1, 1)) for r in goal.groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats")).collect()}
     spark = docs.sparkSession
-    names = sorted(goal)
-    known = docs.where(F.col(id_col).isNotNull() & (F.col(size_col) > 0)).select(F.col(id_col).alias("doc"), source_key(F.col(source_col)).alias("source"), F.col(size_col).cast("long").alias("tokens"))
-    known = materialize(known.where(F.col("source").isin(names)), "sized") if names else materialize(known.where("false"), "sized")
-    have = {r["source"]: (r["n"], r["t"]) for r in known.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
-    present = [s for s in names if s in have]
-    mass = sum(goal[s][0] for s in present)
-    total = min((have[s][1] * goal[s][1] * mass / goal[s][0] for s in present), default=0)
-    plan = []  # source, quota, whole repetitions, blocks of a repetition
-    for s in present:
-        quota = total * goal[s][0] / mass
-        whole = min(int(quota // have[s][1]), goal[s][1])
-        plan.append((s, float(quota), whole, goal[s][1], int(min(BLOCKS, max(1, have[s][0] // 8)))))
-    p = spark.createDataFrame(plan, "source string, quota double, whole int, repeats int, blocks int")
-    p = F.broadcast(p)  # as many rows as there are targets
-    copies = known.join(p, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("whole") + 1, F.col("repeats")))))
-    block = F.pmod(F.xxhash64("doc", "copy", F.lit(seed)), F.col("blocks")).cast("int")
-    dealt = materialize(copies.select("doc", "source", "tokens", "copy", block.alias("block"), "quota", "blocks"), "dealt")
-    discard(known)
-    # the part of the last repetition: whole blocks in order, then texts of one more block
-    sums = dealt.groupBy("source", "copy", "block").agg(F.sum("tokens").alias("t"))
-    w = Window.partitionBy("source").orderBy("copy", "block")  # at most BLOCKS rows a repetition
-    ahead = sums.withColumn("before", F.sum("t").over(w) - F.col("t"))
-    state = dealt.join(ahead, ["source", "copy", "block"])
-    inner = state.where("before + t <= quota")
-    edge = state.where("before < quota and before + t > quota")
-    we = Window.partitionBy("source").orderBy(F.xxhash64("doc", F.lit(seed + 1)), "doc")  # one block of a source
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(we)).where("upto <= quota")
-    used = materialize(inner.select("doc", "source", "tokens", "copy", "block", "blocks").union(edge.select("doc", "source", "tokens", "copy", "block", "blocks")), "used")
-    discard(dealt)
-    full = {r["source"]: r["b"] for r in used.groupBy("source").agg(F.max((F.col("copy") - 1) * F.col("blocks") + F.col("block")).alias("b")).collect()}
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), source_key(F.col(source_col)).alias("source"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("tokens"))
+    known = materialize(known, "sized")
+    plan, held = quotas(known, "tokens", "source", targets)
+    use = [q for q in plan if q.tokens]
+    total = sum(q.quota for q in use)
+    present = [q.source for q in use]
+    rows = known.where(F.col("source").isin(present) & (F.col("tokens") > 0)) if present else known.where("false")
+    whole, repeats = _by_source({q.source: q.whole for q in use}, "int"), _by_source({q.source: q.repeats for q in use}, "int")
+    per_block = max(shard_size // SHARD_BLOCKS, 1)
+    blocks = {q.source: max(1, math.ceil(q.tokens / per_block)) for q in use}
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(whole + 1, repeats))))
+    hashed = copies.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc", "copy", F.lit(seed)), 1))  # 63 bits
+    rest = _by_source({q.source: q.quota - q.whole * q.tokens for q in use}, "double")
+    last = hashed.where(F.col("copy") > whole).withColumn("rest", rest)
+    # the hash up to which the partial repetition goes, by its first bits, then by the next ones, then text by text
+    coarse = F.shiftrightunsigned("h", 63 - STEP_BITS)
+    fine = F.shiftrightunsigned("h", 63 - 2 * STEP_BITS).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+    one = _ends(last.select("source", coarse.alias("step"), "rest", "tokens"))
+    at = _by_source({s: x for s, (x, _) in one.items()}, "long")
+    ahead = _by_source({s: b for s, (_, b) in one.items()}, "double")
+    two = _ends(last.where(coarse == at).select("source", fine.alias("step"), (F.col("rest") - ahead).alias("rest"), "tokens"))
+    at2 = _by_source({s: x for s, (x, _) in two.items()}, "long")
+    ahead2 = ahead + _by_source({s: b for s, (_, b) in two.items()}, "double")
+    before = at.isNull() | (coarse < at) | ((coarse == at) & (fine < at2))
+    w = Window.partitionBy("source").orderBy("h", "doc")  # 2 ** -24 of a source
+    edge = last.where((coarse == at) & (fine == at2)).withColumn("upto", ahead2 + F.sum("tokens").over(w)).where("upto <= rest")
+    cols = ["doc", "source", "tokens", "copy", "h"]
+    used = hashed.where(F.col("copy") <= whole).select(cols).union(last.where(before).select(cols)).union(edge.select(cols))
+    number = _by_source(blocks, "long")
+    block = F.least(F.floor(F.col("h") / F.lit(2.0**63) * number).cast("long"), number - 1)
+    used = materialize(used.withColumn("no", (F.col("copy") - 1) * number + block).drop("h"), "used")
+    full = {r["source"]: r["b"] for r in used.groupBy("source").agg(F.max("no").alias("b")).collect()}
     totals = [full.get(s, -1) + 1 for s in present]
     shards = max(1, math.ceil(total / shard_size))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for shard in b["id"].tolist():
                 at, n = shard_quotas(totals, shards, shard, seed)
-                rows += [(present[i], int(x), shard) for i in range(len(present)) for x in range(at[i], at[i] + n[i])]
-            yield pd.DataFrame(rows, columns=["source", "no", "shard"])
+                for i, s in enumerate(present):
+                    yield pd.DataFrame({"source": s, "no": np.arange(at[i], at[i] + n[i]), "shard": shard})
 
-    owners = spark.range(shards).mapInPandas(deal, "source string, no int, shard long")
-    # a block's hash decides which of its source's numbers it is: the draw is from permuted blocks
-    placed = used.withColumn("no", ((F.col("copy") - 1) * F.col("blocks") + F.col("block")).cast("int")).join(owners, ["source", "no"])
+    owners = spark.range(shards).mapInPandas(deal, "source string, no long, shard long")
+    # blocks are slices of a hash, so the draw is from permuted blocks
+    placed = used.join(owners, ["source", "no"])
     order = Window.partitionBy("shard").orderBy(F.xxhash64("doc", "copy", F.lit(seed + 2)), "doc", "copy")
-    rows = placed.select(F.col("doc").alias(id_col), "source", "copy", "tokens", "shard", F.row_number().over(order).alias("position"))
+    out = placed.select(F.col("doc").alias(id_col), "source", "copy", "tokens", "shard", F.row_number().over(order).alias("position"))
     got = used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"), F.max("copy").alias("most_repeats"))
-    table = spark.createDataFrame([(s, goal[s][0], goal[s][1]) for s in names], "source string, target_share double, max_repeats int")
+    return out, _report(spark, plan, held, got)
+
+
+REPORT = "source string, target_share double, max_repeats int, quota double, limits_total boolean"
+
+
+def _report(spark: SparkSession, plan: list[Quota], held: DataFrame, got: DataFrame) -> DataFrame:
+    table = F.broadcast(spark.createDataFrame([(q.source, q.share, q.repeats, q.quota, q.limits) for q in plan], REPORT))  # as many rows as targets
+    every = held.toDF("_s", "available_rows", "available_tokens").join(table, F.col("_s").eqNullSafe(F.col("source")), "full_outer")
+    every = every.select(F.coalesce("source", "_s").alias("source"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("available_rows", "available_tokens", "target_share", "max_repeats")], F.coalesce("limits_total", F.lit(False)).alias("limits_total"))
     all_ = got.agg(F.sum("tokens").alias("all_tokens"))
-    report = F.broadcast(table).join(got, "source", "left").join(F.broadcast(all_)).select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share")
-    )
-    return rows, report
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(got, "source", "left").crossJoin(F.broadcast(all_)).select("source", "target_share", "max_repeats", zero("tokens"), zero("n_rows"), zero("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), "available_rows", "available_tokens", "limits_total")

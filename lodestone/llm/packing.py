@@ -6,6 +6,7 @@ import bisect
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..session import discard, materialize
 SHARD_ITEMS = 4000
 #: Containers filled less than this share count as underfull.
 FULL = 0.995
+#: Share of its items that a round must settle for another one to follow.
+LEAST_GAIN = 0.05
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -35,50 +38,80 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, full: float = FULL, patience: int = 20_000) -> list[list[int]]:
-    """Local search: moves items between underfull bins, or exchanges one or two of them for one, while that raises the sum of squared fills.
-
-    Each step takes the bin with the least room that can still gain, and looks in the emptier ones for the exchange that
-    fills it best. Emptied bins go. `patience` bounds the steps; the packing is valid after any number of them.
+class _Bins:
+    """Underfull bins, their distinct sizes and the sums of two of their items: what exchanges are looked up in."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int]):
+        self.bins, self.sizes = bins, sizes
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def offers(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, pairs) of bin b, sorted: each distinct size alone (as (item, -1)) and each distinct sum of two items. A bin has few distinct sizes, as they add up to its fill."""
+        if b not in self.tables:
+            by: dict[int, list[int]] = {}
+            for i in self.bins[b]:
+                by.setdefault(self.sizes[i], []).append(i)
+            names = sorted(by)
+            found: dict[int, tuple[int, int]] = {}
+            for x, s in enumerate(names):
+                for t in names[x:]:
+                    if t != s or len(by[s]) > 1:
+                        found.setdefault(s + t, (by[s][0], by[t][-1]))
+            found |= {s: (by[s][0], -1) for s in names}  # one item goes before two of the same sum
+            sums = np.array(sorted(found), np.int64)
+            self.tables[b] = sums, np.array([found[int(k)] for k in sums], np.int64).reshape(-1, 2)
+        return self.tables[b]
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, full: float = FULL) -> list[list[int]]:
+    """Local search over the underfull bins: moves one or two items of a bin to another one, or exchanges them for one of its items, while that raises the sum of squared fills.
+
+    Bins are taken from the fullest on, each being filled from the others by the exchange that leaves it the least
+    room, until none gains; then all are taken again, as long as a pass changes anything. Every step raises an integer
+    that is bounded, so the search ends at a packing that no such exchange improves. Emptied bins go.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    closed: set[int] = set()
-    for _ in range(patience):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < full * capacity and b not in closed), key=lambda b: (-fill[b], b))
-        if len(under) < 2:
-            break
-        target, donors = under[0], under[1:]
-        gap, best = capacity - fill[target], None
-        own = sorted((sizes[i], i) for i in bins[target])
-        # gain in squared fill for moving d from a donor of fill f to the target: grows with d as f <= target's fill
-        for d in reversed(donors):
-            their = sorted((sizes[i], i) for i in bins[d])
-            at = bisect.bisect_right(their, (gap, math.inf)) - 1
-            options = [(their[at][0], [their[at][1]], [])] if at >= 0 else []
-            names = [s for s, _ in their]
-            for s, i in own:  # one for one
-                at = bisect.bisect_right(names, s + gap) - 1
-                if at >= 0 and names[at] > s:
-                    options.append((names[at] - s, [their[at][1]], [i]))
-            for x in range(min(len(their), 24)):  # two for one, and two for none
-                for s, i in [(0, -1), *own[:24]]:
-                    at = bisect.bisect_right(names, s + gap - names[x]) - 1
-                    if at > x and names[at] + names[x] > s:
-                        options.append((names[at] + names[x] - s, [their[x][1], their[at][1]], [i] if i >= 0 else []))
-            for o in options:
-                if best is None or o[0] > best[0]:
-                    best = (*o, d)
-            if best and best[0] == gap:
-                break
-        if best is None or best[0] <= 0:
-            closed.add(target)
-            continue
-        moved, come, go, d = best
-        bins[target] = [i for i in bins[target] if i not in go] + come
-        bins[d] = [i for i in bins[d] if i not in come] + go
-        fill[target] += moved
-        fill[d] -= moved
-        closed.clear()
+    state = _Bins(bins, sizes)
+    changed = True
+    while changed:
+        changed = False
+        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < full * capacity), key=lambda b: (-fill[b], b))
+        tables = {b: state.offers(b) for b in under}
+        sums = np.concatenate([tables[b][0] for b in under] or [np.zeros(0, np.int64)])
+        owner = np.repeat(np.array(under, np.int64), [len(tables[b][0]) for b in under]) if under else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(tables[b][0])) for b in under]) if under else np.zeros(0, np.int64)
+        order = np.argsort(sums, kind="stable")
+        sums, owner, place = sums[order], owner[order], place[order]
+        stale: set[int] = set()  # bins whose rows in the arrays no longer hold; they come in again with the next pass
+        for target in under:
+            if target in stale:
+                continue
+            while bins[target] and fill[target] < full * capacity:
+                gap = capacity - fill[target]
+                mine: dict[int, int] = {0: -1}
+                for i in bins[target]:
+                    mine.setdefault(sizes[i], i)
+                best = None  # (gain, donor, items that come, item that goes)
+                for s, i in mine.items():
+                    at = int(np.searchsorted(sums, s + gap, "right")) - 1
+                    while at >= 0 and sums[at] > s and (best is None or sums[at] - s > best[0]):
+                        d = int(owner[at])
+                        if d != target and d not in stale and fill[target] + sums[at] - s > fill[d]:  # the sum of squares rises
+                            come = [int(x) for x in tables[d][1][place[at]] if x >= 0]
+                            best = (int(sums[at]) - s, d, come, i)
+                            break
+                        at -= 1
+                if best is None:
+                    break
+                gain, donor, come, go = best
+                bins[target] = [x for x in bins[target] if x != go] + come
+                bins[donor] = [x for x in bins[donor] if x not in come] + ([go] if go >= 0 else [])
+                fill[target] += gain
+                fill[donor] -= gain
+                for b in (target, donor):
+                    state.tables.pop(b, None)
+                    stale.add(b)
+                changed = True
     return [b for b in bins if b]
 
 
@@ -97,12 +130,14 @@ def _packer(capacity: int, full: float):
     return run
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, shard_items: int = SHARD_ITEMS, full: float = FULL, rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, shard_items: int = SHARD_ITEMS, full: float = FULL, least_gain: float = LEAST_GAIN) -> DataFrame:
     """(id, piece, size, pieces, container, fill): the container of every item.
 
     An item over the capacity, and no other, is cut into pieces of exactly the capacity and a rest, numbered from 1; full
     pieces have containers of their own. Items of size 0 or null go into a container like others, with size 0. Ids are
-    expected to be unique; rows with a null id are ignored. Shards are drawn by hash, so no key can make one large.
+    expected to be unique; rows with a null id are ignored. Shards are drawn by hash, so no key can make one large, and
+    each is packed in a task of its own. What all of them leave in underfull containers is drawn anew and packed again,
+    until it fits one shard or a round settles less than the share `least_gain` of its items.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -113,21 +148,22 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, sha
     cut = materialize(cut.select("doc", "piece", "pieces", F.least(F.col("all") - (F.col("piece") - 1) * F.lit(capacity).cast("long"), F.lit(capacity).cast("long")).alias("size")), "items")
     whole = cut.where(F.col("size") == capacity).select("doc", "piece", "size", "pieces", F.concat(F.lit("w-"), F.col("doc").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.col("size").alias("fill"))
     kind = cut.schema["doc"].dataType.simpleString()
-    left, done, before = cut.where(F.col("size") < capacity), [whole], None
-    for r in range(rounds):
-        count = left.count()
-        if not count or count == before:
-            break
-        before, shards = count, math.ceil(count / shard_items)
-        packed = left.withColumn("shard", F.pmod(F.xxhash64("doc", "piece", F.lit(r)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_packer(capacity, full), f"doc {kind}, piece int, pieces int, size long, shard int, slot int, fill long")
+    left, done, before, r = cut.where(F.col("size") < capacity), [whole], None, 0
+    count = left.count()
+    while count:
+        shards = math.ceil(count / shard_items)
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc", "piece", F.lit(r)), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, full), f"doc {kind}, piece int, pieces int, size long, shard int, slot int, fill long")
         packed = materialize(packed, "packed")
         name = F.concat_ws("-", F.lit(f"r{r}"), "shard", "slot")
-        last = shards == 1 or r == rounds - 1
+        under = packed.where(F.col("fill") < full * capacity)
+        before, count = count, under.count() if shards > 1 else 0
+        last = count > (1 - least_gain) * before or not count
         ready = packed if last else packed.where(F.col("fill") >= full * capacity)
         done.append(ready.select("doc", "piece", "size", "pieces", name.alias("container"), "fill"))
         if last:
             break
-        left = packed.where(F.col("fill") < full * capacity).select("doc", "piece", "pieces", "size")
+        left, r = under.select("doc", "piece", "pieces", "size"), r + 1
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

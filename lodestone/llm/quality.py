@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 #: What may stand before a sentence: quotes, bullets, numbers, check boxes, comment signs, times, levels, speakers.
 PREFIX = re.compile(r"^(?:\s+|[>|#*+•·–—/;%-]+(?=\s|$)|\(?\d{1,3}[.)](?=\s)|\(?[a-z][.)](?=\s)|\[[ xX]?\]|\[[\d:. TZ-]+\]|\d{4}-\d\d-\d\d[T ]?[\d:.,]*Z?|\d\d:\d\d(?::\d\d)?[.,\d]*|(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b:?|(?:\w{2,12}):(?=\s)|<[^<>\n]{1,80}>)+")
 LIST_MARK = re.compile(r"^\s*(?:[-*+•·–]\s|\(?\d{1,3}[.)]\s|\(?[a-z][.)]\s|\[[ xX]?\]\s)")
-TOKEN_SPLIT = re.compile(r"[\s'’\"“”()\[\]{}<>|,;:!?]+")
+#: A word: what stands between white space, quotes, brackets and marks, without signs at its ends.
+WORD = re.compile(r"[^\s'’\"“”()\[\]{}<>|,;:!?.\-_*#=/\\`~](?:[^\s'’\"“”()\[\]{}<>|,;:!?]*[^\s'’\"“”()\[\]{}<>|,;:!?.\-_*#=/\\`~])?")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
 TERMINAL = tuple(".!?…:\"')”’")
 #: Signs of code and records; a line with two of them, or with one at its end, is no sentence.
 CODE = re.compile(r"[{};=$|<>\\\t]")
+#: The head of a block of code, and what starts a comment behind code in a line.
+BLOCK_HEAD = re.compile(r"(?:if|elif|else|for|while|with|def|class|try|except|switch|case|func|fn)\b.*(?:[:{]|;\s*(?:do|then))$")
+COMMENTS = (" // ", "; -- ", " # ")
+CAPITALS = re.compile("[A-ZÀ-Þ]{2}")
 PARAGRAPH = re.compile(r"\n\s*\n")
 #: A line reads as sentence text if it has at least this many words, of which so many distinct common ones and this share of them are common words of the document's language.
 LEAST_WORDS, LEAST_COMMON, COMMON_SHARE = 4, 2, 0.18
-#: A document is prose if at least this share of its characters is in such lines, repetitions not counted.
+#: A document is prose if at least this share of its characters is in such lines, repetitions not counted,
 PROSE_SHARE = 0.5
+#: and none of its repetitions dominates it: shares of the characters in lines and in paragraphs that occurred before, and in the most frequent n-gram,
+MOST_REPEATED_LINES, MOST_REPEATED_PARAGRAPHS, MOST_NGRAM = 0.3, 0.3, 0.35
+#: and it is no list with few common words: share of list lines from which, and of common words up to which it is one.
+LIST_LINES, LIST_COMMON = 0.5, 0.2
 NGRAM = 3
 #: Words of a run that counts as filler where it stood before in the sentences of the document.
 RUN = 6
@@ -39,11 +48,16 @@ def _repeated(units: list[str]) -> float:
 def _fresh(ws: list[str], before: list[str], runs: set[tuple[str, ...]]) -> float:
     """Share of the characters of the words ws, which follow those of `before`, outside runs of RUN words that are in `runs`; adds the runs that end in ws."""
     all_ws = before + ws
+    new = list(zip(*(all_ws[i:] for i in range(RUN))))
+    distinct = set(new)
+    if len(distinct) == len(new) and runs.isdisjoint(distinct):
+        runs |= distinct
+        return 1.0
     at, old, until = len(before), [False] * len(all_ws), 0
-    for end in range(max(RUN, at + 1), len(all_ws) + 1):
-        run = tuple(all_ws[end - RUN : end])
+    for start, run in enumerate(new):
         if run in runs:
-            until = max(until, end - RUN)
+            end = start + RUN
+            until = max(until, start)
             old[until:end] = [True] * (end - until)
             until = end
         else:
@@ -52,84 +66,99 @@ def _fresh(ws: list[str], before: list[str], runs: set[tuple[str, ...]]) -> floa
     return 1 - sum(len(w) for w, o in zip(ws, old[at:]) if o) / total if total else 1.0
 
 
+def is_prose(share: float, common: float, listed: float, lines: float, paragraphs: float, ngram: float) -> bool:
+    """The combined rule: mostly sentences, not dominated by repetition of lines, paragraphs or one n-gram, and no bare list."""
+    repeated = lines >= MOST_REPEATED_LINES or paragraphs >= MOST_REPEATED_PARAGRAPHS or ngram >= MOST_NGRAM
+    bare_list = listed >= LIST_LINES and common <= LIST_COMMON
+    return share >= PROSE_SHARE and not repeated and not bare_list
+
+
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    words = [w for w in TOKEN_SPLIT.split(text.lower()) if w]
-    bare = [w.strip(".-_*#=/\\`~") for w in words]
-    bare = [w for w in bare if w]
-    hits = {lang: sum(map(ws.__contains__, bare)) for lang, ws in common.items()}
+    # each line is cut into words once: (line, body, prefix, what follows it, the words of that in lower case)
+    parts, bare = [], []
+    for line in lines:
+        body = line.strip()
+        m = PREFIX.match(body)
+        core = body[m.end() :] if m else body
+        if m:
+            bare += WORD.findall(m.group().lower())
+        low = WORD.findall(core.lower())
+        bare += low
+        parts.append((line, body, m, core, low))
+    every = [w for w in bare if w in common.get(None, ())]
+    hits = {lang: sum(map(ws.__contains__, every)) for lang, ws in common.items() if lang is not None} if every else {}
     lang = max(sorted(hits), key=hits.__getitem__, default=None) if any(hits.values()) else None
-    known = common.get(lang, frozenset())
+    known = common.get(lang, frozenset()) if lang else frozenset()
     n = len(bare)
     chars = prose = listed = ended = 0
-    seen: set[str] = set()
     runs: set[tuple[str, ...]] = set()
     last: list[str] = []
     before = False
-    for line in lines:
-        body = line.strip()
+    for line, body, m, core, low in parts:
         marked = LIST_MARK.match(line) is not None
         listed += marked
         ended += body.endswith(TERMINAL)
-        m = PREFIX.match(body)
-        core = body[m.end() :] if m else body
         if not core:
             chars += len(body)
             before = False
             continue
-        heading = body[0] == "#" and len(body) < 120
-        if heading and not marked:
+        if body[0] == "#" and len(body) < 120 and not marked:  # a heading
             before = False
             continue
         chars += len(body)
-        ws = [w.strip(".-_*#=/\\`~") for w in TOKEN_SPLIT.split(core)]
-        ws = [w for w in ws if w]
-        # words in capitals among others are keywords
-        shout = core.isupper()
-        found = [x for w in ws if (x := w.lower()) in known and (shout or len(w) < 2 or not w.isupper())]
-        good = core[-1] not in ";{}" and len(CODE.findall(core)) < 2 and len(ws) >= LEAST_WORDS and len(found) >= COMMON_SHARE * len(ws) and len(set(found)) >= LEAST_COMMON
+        good = False
+        if core[-1] not in ";{}" and len(low) >= LEAST_WORDS:
+            found = [x for x in low if x in known]
+            if CAPITALS.search(core) and not core.isupper():  # words in capitals among others are keywords
+                found = [x for w in WORD.findall(core) if (x := w.lower()) in known and (len(w) < 2 or not w.isupper())]
+            good = len(found) >= COMMON_SHARE * len(low) and len(set(found)) >= LEAST_COMMON and len(CODE.findall(core)) < 2 and not BLOCK_HEAD.match(core) and not any(c in core for c in COMMENTS)
         # the end of a sentence that was wrapped, or a short one among others, goes with the line before
-        if not good and before and not marked and m is None and 0 < len(ws) < 8 and core[:1].islower() and body.endswith((".", "?", "!")):
+        if not good and before and not marked and m is None and 0 < len(low) < 8 and core[:1].islower() and body.endswith((".", "?", "!")):
             good = True
             before = False
         else:
             before = good and not body.endswith((".", "?", "!"))
         if good:
-            # sentences of a line that stood before in the document are filler, and so are runs of words, across lines and without end marks
-            low = [w.lower() for w in ws]
-            fresh = _fresh(low, last, runs)
+            # runs of words that stood before in the document are filler, across lines and whether or not they end in marks
+            prose += (len(core) + 1) * _fresh(low, last, runs) + (m.end() if m else 0)
             last = (last + low)[1 - RUN :]
-            for part in re.split(r"(?<=[.!?;])\s+", core):
-                if part[-1:] != ";" and part not in seen:
-                    seen.add(part)
-                    prose += (len(part) + 1) * fresh
-            if m:
-                prose += m.end()
-    grams = Counter(zip(*(bare[i:] for i in range(NGRAM))))
+    letters = sum(map(len, bare))
+    three = list(zip(*(bare[i:] for i in range(NGRAM))))
     top = 0.0
-    if grams:
-        g, k = grams.most_common(1)[0]
-        top = k * sum(map(len, g)) / max(1, sum(map(len, bare))) if k > 1 else 0.0
+    if len(set(three)) < len(three):
+        grams = Counter(three)
+        k = max(grams.values())
+        top = k * max(sum(map(len, g)) for g, c in grams.items() if c == k) / max(1, letters)
     share = min(1.0, prose / chars) if chars else 0.0
+    words = hits[lang] / n if n and lang else 0.0
+    list_share = listed / len(lines) if lines else 0.0
+    repeated = _repeated(lines), _repeated([p for p in PARAGRAPH.split(text) if p.strip()]), min(top, 1.0)
     return (
-        len(text), n, sum(map(len, bare)) / n if n else 0.0, len(SYMBOL.findall(text)) / len(text) if text else 0.0, ended / len(lines) if lines else 0.0,
-        hits[lang] / n if n and lang else 0.0, listed / len(lines) if lines else 0.0, _repeated(lines), _repeated([p for p in PARAGRAPH.split(text) if p.strip()]), min(top, 1.0), share, lang, share >= PROSE_SHARE if lines else None,
+        len(text), n, letters / n if n else 0.0, len(SYMBOL.findall(text)) / len(text) if text else 0.0, ended / len(lines) if lines else 0.0,
+        words, list_share, *repeated, share, lang, is_prose(share, words, list_share, *repeated) if lines else None,
     )
 
 
+def word_lists(by_lang: dict[str, set[str]]) -> dict[str | None, frozenset[str]]:
+    """The common words of each language, and under None those of all."""
+    return {k: frozenset(v) for k, v in by_lang.items()} | {None: frozenset().union(*by_lang.values())}
+
+
 def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame) -> DataFrame:
     """(id, the statistics of FIELDS) of every document.
 
     common_words (lang, word) is a fixed list of some hundred words; a document's language is the one with the most
     hits. A line is sentence text by its share of common words, whatever stands before it or how it is wrapped; sentences
     and runs of RUN words that occurred before in the document, list entries, table rows, records, code, log lines and random words are not.
+    The decision combines the share of sentence text with the repetitions and the list lines (`is_prose`).
     is_prose is null where there is no text (null, empty, white space), whose statistics are 0.
     """
     by_lang: dict[str, set[str]] = {}
     for r in common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).collect():  # a fixed list
         by_lang.setdefault(r["lang"], set()).add(r["word"])
-    common = {k: frozenset(v) for k, v in by_lang.items()}
+    common = word_lists(by_lang)
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

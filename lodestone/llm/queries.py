@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import load, materialize, ship
 from .cross_split import cross_split_overlaps
 from .history import held_intake
-from .mixing import mixture
+from .mixing import mixture, quotas
 from .near_dups import group_pairs, near_duplicate_groups
 from .packing import pack
 from .neighbours import graph_search, neighbour_graph
@@ -35,6 +35,13 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(load(spark, sf_dir, "code_chunks"), "id", "content", "start_line", CHUNK_LIMIT, CHUNK_OVERLAP)
 
 
+def p1_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk put together again from its pieces without what they repeat: the hash of that, and whether all are within the limit. Gathers the pieces of one chunk at a time."""
+    part = F.struct("piece", F.expr("substring(content, overlap_chars + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["own"]), "")
+    return p1_pieces(spark, sf_dir).groupBy("id").agg(F.sha2(whole, 256).alias("content_sha256"), (F.max(F.length("content")) <= CHUNK_LIMIT).alias("within"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece = 2").select("id")
 
@@ -110,6 +117,14 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _containers(spark, sf_dir)
 
 
+def p8_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed by its characters into containers of 8,192: its pieces, what they add up to, and whether each container's fill is the sum of its items and within the capacity."""
+    packed = materialize(pack(load(spark, sf_dir, "documents"), "doc_id", "n_chars", 4 * CONTAINER), "packed")
+    sums = packed.groupBy("container").agg(F.sum("size").alias("total"))
+    sound = packed.join(sums, "container").withColumn("sound", (F.col("total") == F.col("fill")) & (F.col("fill") <= 4 * CONTAINER))
+    return sound.groupBy("doc_id").agg(F.max("pieces").cast("long").alias("pieces"), F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("chars"), F.bool_and("sound").alias("sound"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = materialize(with_tokens(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"), "tokens")
     return mixture(sized, "doc_id", "tokens", "source", load(spark, sf_dir, "mix_targets"))
@@ -121,10 +136,17 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of the tokens that each source reached."""
+    """The share of the tokens that each source reached, and what it had."""
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source of the mixture is to give, with characters for tokens: its quota, whole repetitions, and whether it limits the total."""
+    plan, _ = quotas(load(spark, sf_dir, "documents"), "n_chars", "source", load(spark, sf_dir, "mix_targets"))
+    rows = [(q.source, q.share, q.repeats, q.rows, q.tokens, round(q.quota, 3), q.whole, q.limits) for q in plan]
+    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n_rows long, tokens long, quota double, whole int, limits_total boolean")
+
+
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document."""
     return text_quality(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "common_words"))
@@ -162,7 +184,7 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), NEAREST)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_batches, p7_found, p7_survivors, p8_found, p8_containers, p9_mixture, p9_report, p10_found, p10_quality)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_batches, p7_found, p7_survivors, p8_found, p8_containers, p8_sizes, p9_mixture, p9_report, p9_quotas, p10_found, p10_quality)}
 
 
 def queries() -> dict:

@@ -17,6 +17,8 @@ SENTENCE = re.compile(r"[.!?;:,}\])]\s+")
 SPACE = re.compile(r"\s+")
 #: Strength of a place to cut at, from the strongest: before an outermost declaration, before an inner one, after a blank line, at a line end, after punctuation, at white space.
 OUTER, INNER, PARAGRAPH, LINE, MARK, BLANK = 6, 5, 4, 3, 2, 1
+#: Pieces beyond the least number that are tried for places at line ends.
+WEAK_TRIES = 2
 
 
 def boundaries(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -56,11 +58,22 @@ def _safe(text: str, p: int) -> int:
     return q if p - q < 64 else p
 
 
+def _start(text: str, p: int) -> int:
+    """p, moved on so as not to start within a line end of two characters or on marks that combine with the letter before."""
+    import unicodedata
+
+    q = p
+    while 0 < q < len(text) and q - p < 64 and (text[q - 1 : q + 1] == "\r\n" or unicodedata.combining(text[q]) or text[q] in "\u200d\ufe0f" or text[q - 1] == "\u200d"):
+        q += 1
+    return q
+
+
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
     """Where to cut, so that each piece with the `overlap` characters before it has at most `limit` characters.
 
     Starts from the least possible number of pieces at equal lengths; each target moves to the strongest boundary near
-    it, ties to the nearest. If a target finds no line end, more pieces are tried before a weaker place is taken.
+    it, ties to the nearest. Pieces are added while any is over the limit, and up to WEAK_TRIES more while a target finds
+    no line end; of the numbers tried the one with the fewest weak places counts.
     """
     size, room = len(text), limit - overlap
     if size <= limit:
@@ -69,12 +82,15 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
     least = math.ceil((size - overlap) / room)
     best: list[int] | None = None
     best_weak = None
-    for n in (least, least + 1, least + 2):
+    n = least
+    while best is None or best_weak and n <= least + WEAK_TRIES:
+        if n > size:  # no number of pieces fits
+            break
         got, weak, prev = [], 0, 0
         for i in range(1, n):
             target = prev + (size - prev) / (n - i + 1)
             reach = max(0.35 * size / n, 1)
-            lo = max(prev + 1, math.ceil(size - (n - i) * room - (overlap if i == 0 else 0)), math.ceil(target - reach))
+            lo = max(prev + 1, math.ceil(size - (n - i) * room), math.ceil(target - reach))
             hi = min(prev + room + (overlap if prev == 0 else 0), size - 1, math.floor(target + reach))
             lo = min(lo, hi)
             a, b = bisect.bisect_left(places, lo), bisect.bisect_right(places, hi)
@@ -89,13 +105,12 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
                 cut = cut if cut > prev else hi
             got.append(cut)
             prev = cut
-        if size - prev + overlap > limit:  # the last piece is too long at this number
+        n += 1
+        if size - prev + (overlap if prev else 0) > limit:  # the last piece is too long at this number
             continue
         if best is None or weak < best_weak:
             best, best_weak = got, weak
-        if not weak:
-            break
-    if best is None:  # no choice of boundaries fits: cut at the limit
+    if best is None:  # a limit so small that letters and their marks don't fit: cut at the limit
         best, prev = [], 0
         while size - prev + (overlap if prev else 0) > limit:
             cut = _safe(text, prev + (room if prev else limit))
@@ -110,7 +125,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int
     ends = [*cuts(text, limit, overlap), len(text)]
     out, prev = [], 0
     for e in ends:
-        s = max(0, prev - overlap) if prev else 0
+        s = min(_start(text, max(0, prev - overlap)), prev) if prev else 0
         out.append((s, e, prev - s, bisect.bisect_right(starts, s) - 1, bisect.bisect_right(starts, max(e - 1, s)) - 1))
         prev = e
     return out
@@ -132,8 +147,8 @@ def _splitter(id_col: str, limit: int, overlap: int):
 def split_oversized(df: DataFrame, id_col: str, text_col: str, start_line_col: str, limit: int = 4000, overlap: int = 200) -> DataFrame:
     """(id, piece, start_char, overlap_chars, start_line, end_line, content) of every row, in pieces of at most `limit` code points.
 
-    A row within the limit comes out as one piece, untouched. Consecutive pieces share exactly `overlap` characters,
-    which the later one repeats at its start; without them the pieces join to the text again. Lines end at CRLF, LF or
+    A row within the limit comes out as one piece, untouched. Consecutive pieces share `overlap` characters (a few
+    less where these would start within a CRLF or a letter with its marks), which the later one repeats at its start; without them the pieces join to the text again. Lines end at CRLF, LF or
     CR; start_line counts from the row's own (0 where that is null), end_line is the line of the last character. Null
     text gives no piece, empty text one empty piece. Only rows over the limit leave the JVM.
     """

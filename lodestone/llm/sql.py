@@ -70,5 +70,16 @@ top as (select g, count(*) as n_rows, max(pinned::int)::boolean as pinned, max(i
 select top.g as group_id, n_rows, pinned, importance, access_count, created_at, {", ".join(_VOTED)} from top {" ".join(f"left join w_{f} on w_{f}.g = top.g" for f in _VOTED)}"""
 
 
+SQL["p1_rejoined"] = "select id, sha256(content) as content_sha256, true as within from code_chunks where content is not null"
+SQL["p8_sizes"] = "select doc_id, greatest(ceil(n_chars / 8192.0), 1)::bigint as pieces, greatest(ceil(n_chars / 8192.0), 1)::bigint as n_rows, n_chars as chars, true as sound from documents"
+_KEY = "regexp_replace(lower(trim({0})), '[\\s_]+', '-', 'g')"
+SQL["p9_quotas"] = f"""with g as (select {_KEY.format("source")} as source, sum(target_share) as share, greatest(coalesce(max(max_repeats), 1), 1) as r from mix_targets where target_share > 0 group by 1),
+h as (select {_KEY.format("source")} as source, count(*) as n, sum(n_chars) as t from documents where n_chars > 0 group by 1),
+j as (select g.source, share, r, coalesce(n, 0) as n, coalesce(t, 0) as t from g left join h using (source)),
+m as (select sum(share) as mass from j where t > 0), b as (select *, case when t > 0 then t * r * mass / share end as most from j, m), z as (select min(most) as total from b)
+select source, share as target_share, r as max_repeats, n::bigint as n_rows, t::bigint as tokens, case when t > 0 then round(total * share / mass, 3) else 0 end as quota,
+case when t > 0 then least(floor((total * share / mass) / t)::int, r) else 0 end as whole, coalesce(most = total, false) as limits_total from b, z"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
