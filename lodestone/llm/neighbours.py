@@ -29,7 +29,7 @@ CELL_ROWS = 8192
 #: Centres that a row is sent to within each of its cells, where cells are divided.
 SECOND_SPREAD = 2
 #: Links kept beyond those asked for while the graph is built.
-SPARE = 3
+SPARE = 1
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
@@ -158,7 +158,7 @@ def _plan_cells(rows: DataFrame, dim: int, total: int, spread: int, seed: int, c
 
 
 def _assigner(cells: Cells, dim: int):
-    """Vectors (rid, q) to their cells: (cell, rid, home, code)."""
+    """Vectors (rid, q) to their cells: (cell, rid, home, code, at_home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,8 +167,11 @@ def _assigner(cells: Cells, dim: int):
                 x = _matrix(part.column("q"), dim)
                 row, cell = cells.of(x)
                 first = np.searchsorted(row, np.arange(len(x)))
+                at_home = np.zeros(len(row), bool)
+                at_home[first] = True
+                home = ((cell[first] * 0x9E3779B1) >> 16).astype(np.int32)  # cells that fall together only make a larger home
                 codes = _binary(_codes(x)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("rid").take(pa.array(row)), pa.array(cell[first][row]), codes], ["cell", "rid", "home", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("rid").take(pa.array(row)), pa.array(home[row]), codes, pa.array(at_home)], ["cell", "rid", "home", "code", "at_home"])
 
     return run
 
@@ -188,11 +191,11 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(g, at // 32, 1) * 32 + at % 32
 
 
-LINKS = "a long, ha long, b long, hb long, s float"
+LINKS = "a long, ha int, b long, hb int, s float"
 
 
 def _links(a, ha, b, hb, s) -> pa.Table:
-    return pa.table({"a": a.astype(np.int64), "ha": ha.astype(np.int64), "b": b.astype(np.int64), "hb": hb.astype(np.int64), "s": s.astype(np.float32)})
+    return pa.table({"a": a.astype(np.int64), "ha": ha.astype(np.int32), "b": b.astype(np.int64), "hb": hb.astype(np.int32), "s": s.astype(np.float32)})
 
 
 def _best_in_cell(dim: int, k: int):
@@ -214,8 +217,9 @@ def _best_in_cell(dim: int, k: int):
 
 
 def _top(links: DataFrame, k: int) -> DataFrame:
+    """The k best links of each row, each once; of copies an older one makes a link old. One shuffle, by row."""
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    once = links.groupBy("a", "ha", "b", "hb").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    once = links.repartition("a").groupBy("a", "ha", "b", "hb").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
@@ -232,21 +236,24 @@ def _offers(dim: int):
         order = np.argsort(ids)
         v, name, new = (links.column(c).to_numpy(zero_copy_only=False) for c in ("v", "x", "new"))
         at = order[np.searchsorted(ids, name, sorter=order)]
-        by = np.argsort(v, kind="stable")
+        by = np.lexsort((at, v))
         v, at, new = v[by], at[by], new[by].astype(bool)
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)]
         if len(v):
+            once = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (at[1:] != at[:-1])])  # a neighbour either way comes once
+            new, v, at = np.logical_or.reduceat(new, once), v[once], at[once]
             start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
             n = np.diff(np.r_[start, len(v)])
-            for size in np.unique(n[n > 1]):  # rows with as many neighbours at a time, in blocks
-                first = start[n == size]
+            fresh = np.logical_or.reduceat(new, start)
+            for size in np.unique(n[(n > 1) & fresh]):  # rows with as many neighbours at a time, in blocks
+                first = start[(n == size) & fresh]
                 i, j = np.triu_indices(size, 1)
                 for s in range(0, len(first), 2048):
                     m = first[s : s + 2048, None] + np.arange(size)
                     q = x[at[m]]
                     sims = (q @ q.transpose(0, 2, 1))[:, i, j]
-                    lo, fresh = least[at[m]], new[m]
-                    g, p = np.nonzero((fresh[:, i] | fresh[:, j]) & ((sims > lo[:, i]) | (sims > lo[:, j])))
+                    lo, young = least[at[m]], new[m]
+                    g, p = np.nonzero((young[:, i] | young[:, j]) & ((sims > lo[:, i]) | (sims > lo[:, j])))
                     out.append((at[m[g, i[p]]], at[m[g, j[p]]], sims[g, p]))
         a, b, s = (np.concatenate(z) for z in zip(*out))
         swap = ids[a] > ids[b]
@@ -258,23 +265,23 @@ def _offers(dim: int):
     return run
 
 
-def _descend(links: DataFrame, codes: DataFrame, dim: int, k: int) -> DataFrame:
+def _descend(links: DataFrame, codes: DataFrame, dim: int, k: int, first: bool) -> DataFrame:
     """One round of NN-descent: the k neighbours of each row, and the k nearest of those that have it as one, are offered to each other.
 
     The links of all rows of one home meet the vectors they need there, each of which comes once, however many of these
     rows have it as a neighbour. Only offers that one of the two can use leave. Rows none of whose links is new have none.
     """
-    local = links.union(_turned(links).withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("_r") <= k).drop("_r"))
-    local = local.groupBy(F.col("a").alias("v"), F.col("ha").alias("home"), F.col("b").alias("x")).agg(F.max("new").alias("new"))
-    fresh = links.where("new").select(F.col("a").alias("v")).union(links.where("new").select(F.col("b").alias("v"))).distinct()
-    local = materialize(local.join(fresh, "v", "left_semi").select("home", "v", "x", "new"), "local")
+    back = _turned(links).withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("_r") <= k)
+    local = links.select("a", "ha", "b", "new").union(back.select("a", "ha", "b", "new")).toDF("v", "home", "x", "new")
+    if not first:  # in the first round all are new
+        fresh = links.where("new").select(F.col("a").alias("v")).union(links.where("new").select(F.col("b").alias("v"))).distinct()
+        local = local.join(fresh, "v", "left_semi").select("v", "home", "x", "new")
+    local = materialize(local, "local")
     least = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("m"))
     state = codes.select(F.col("rid").alias("x"), F.col("home").alias("hx"), "code").join(least.withColumnRenamed("a", "x"), "x", "left").select("x", "hx", "code", F.when(F.col("n") >= k, F.col("m")).otherwise(-2.0).cast("float").alias("least"))
     held = local.select("home", "x").distinct().join(state, "x").select("home", "x", "hx", "code", "least").toDF("at", "x", "hx", "code", "least")
-    got = local.groupBy("home").cogroup(held.groupBy("at")).applyInArrow(_offers(dim), LINKS)
-    got = materialize(got.withColumn("new", F.lit(True)), "offered")
-    kept = links.withColumn("new", F.lit(False))
-    out = materialize(_top(kept.union(got).union(_turned(got)), k), "links")
+    got = materialize(local.groupBy("home").cogroup(held.groupBy("at")).applyInArrow(_offers(dim), LINKS).withColumn("new", F.lit(True)), "offered")
+    out = materialize(_top(links.withColumn("new", F.lit(False)).union(got).union(_turned(got)), k), "links")
     discard(local, got)
     return out
 
@@ -285,13 +292,13 @@ def _graph(vectors: DataFrame, dim: int, k: int, spare: int, spread: int, rounds
     if not total:
         return vectors.sparkSession.createDataFrame([], "a long, b long, s float")
     _, cells = _plan_cells(vectors, dim, total, spread, seed, cell_rows or CELL_ROWS)
-    placed = materialize(vectors.select("rid", "q").mapInArrow(_assigner(cells, dim), "cell long, rid long, home long, code binary"), "placed")
-    codes = placed.where("cell = home").select("rid", "home", "code")
-    found = placed.groupBy("cell").applyInArrow(_best_in_cell(dim, k + min(spare, SPARE)), LINKS).withColumn("new", F.lit(True))
+    placed = materialize(vectors.select("rid", "q").mapInArrow(_assigner(cells, dim), "cell long, rid long, home int, code binary, at_home boolean"), "placed")
+    codes = placed.where("at_home").select("rid", "home", "code")
+    found = placed.select("cell", "rid", "home", "code").groupBy("cell").applyInArrow(_best_in_cell(dim, k + min(spare, SPARE)), LINKS).withColumn("new", F.lit(True))
     k += spare
     links = materialize(_top(found, k), "links")
-    for _ in range(rounds):
-        better = _descend(links, codes, dim, k)
+    for r in range(rounds):
+        better = _descend(links, codes, dim, k, r == 0)
         discard(links)
         links = better
         if links.where("new").count() <= least_change * total * k:
@@ -316,7 +323,7 @@ def _exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return both.select("a", "b", "qa", "qb").mapInArrow(_cosines(dim), "a long, b long, s float")
 
 
-def neighbour_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 5, spread: int = 4, rounds: int = 3, seed: int = 42, least_change: float = 0.01, least: float = -1.0, spare: int = SPARE, cell_rows: int | None = None) -> DataFrame:
+def neighbour_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 5, spread: int = 4, rounds: int = 3, seed: int = 42, least_change: float = 0.02, least: float = -1.0, spare: int = SPARE, cell_rows: int | None = None) -> DataFrame:
     """(id, neighbour_id, rank, cosine): the k rows most similar to each row by cosine, found approximately.
 
     While the graph is built each row keeps k + `spare` links; more of them let NN-descent find far neighbours, and so do
