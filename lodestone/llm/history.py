@@ -94,7 +94,7 @@ class HistoryTable:
         turns, found = max(1, math.ceil(rows / TURN_ROWS)), None
         for t in range(turns):
             mine = asked.where(F.pmod(F.xxhash64("rid"), F.lit(turns)) == t)
-            cond = f"a.range = b.range and a.key = b.key and {may_be_near(self.theta, False)}"
+            cond = f"a.key = b.key and {may_be_near(self.theta, False)}"  # equal pivots lie in the same range
             got = self._read("distances", parts, sorted(per_range)).alias("a").join(F.broadcast(mine).alias("b"), F.expr(cond))
             got = got.select(F.col("b.rid").alias("x"), "part", F.col("a.rid").alias("y")).distinct()
             found = got if found is None else found.union(got)
