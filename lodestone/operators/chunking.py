@@ -20,8 +20,10 @@ def line_windows(df: DataFrame, key_cols: list[str], text: Column, window: int =
     step = max(1, window - overlap)
     lines = df.where(text.isNotNull()).select(*key_cols, F.split(text, "\n").alias("_l")).withColumn("_n", F.size("_l"))
     last = F.greatest(F.ceil((F.col("_n") - window) / step), F.lit(0)).cast("int")
-    starts = lines.withColumn("_s", F.explode(F.transform(F.sequence(F.lit(0), last), lambda x: x * step)))
-    whole = starts.select(*key_cols, F.col("_s") + 1, F.least(F.col("_s") + window, F.col("_n")), F.array_join(F.slice("_l", F.col("_s") + 1, F.lit(window)), "\n")).toDF(*key_cols, "start_line", "end_line", "_t")
+    # each window is cut before the rows multiply: the array of all lines is never copied into them
+    cut = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct((x * step).alias("s"), F.array_join(F.slice("_l", x * step + 1, F.lit(window)), "\n").alias("t")))
+    starts = lines.select(*key_cols, "_n", F.explode(cut).alias("_w"))
+    whole = starts.select(*key_cols, F.col("_w.s") + 1, F.least(F.col("_w.s") + window, F.col("_n")), "_w.t").toDF(*key_cols, "start_line", "end_line", "_t")
     kept = whole.where(F.col("_t").rlike(r"\S")).withColumn("content", F.substring("_t", 1, most)).withColumn("_y", symbol(F.col("_t")))
     return kept.select(*key_cols, "start_line", "end_line", "content", F.sha2("content", 256).alias("content_sha256"), F.col("_y.name").alias("symbol_name"), F.col("_y.kind").alias("symbol_kind"))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Equality of metrics, fall of recall that a gate allows, bootstrap draws, their seed and level.
@@ -66,7 +66,7 @@ def canonicalize(df: DataFrame, id_col: str, ranked_col: str, chains_col: str) -
 
 
 def mulberry(seed: int) -> Iterator[float]:
-    """The 32-bit generator mulberry32, as numbers in [0, 1)."""
+    """The 32-bit generator mulberry32, as numbers in [0, 1). Its constants are fixed values."""
     mask, a = 0xFFFFFFFF, seed & 0xFFFFFFFF
     while True:
         a = (a + 0x6D2B79F5) & mask
@@ -75,9 +75,11 @@ def mulberry(seed: int) -> Iterator[float]:
         yield ((t ^ t >> 14) & mask) / 4294967296
 
 
-def _mulberry_array(seed: int, n: int) -> np.ndarray:
+def _mulberry_array(seed: int, n: int, first: int = 0) -> np.ndarray:
+    """The draws first + 1 to first + n of `mulberry`: its state is a counter, so a block needs none before it."""
     with np.errstate(over="ignore"):
-        a = (np.uint32(seed & 0xFFFFFFFF) + np.arange(1, n + 1, dtype=np.uint32) * np.uint32(0x6D2B79F5)).astype(np.uint32)
+        count = (np.arange(first + 1, first + n + 1, dtype=np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        a = (np.uint32(seed & 0xFFFFFFFF) + count * np.uint32(0x6D2B79F5)).astype(np.uint32)
         t = (a ^ a >> np.uint32(15)) * (np.uint32(1) | a)
         t = (t + (t ^ t >> np.uint32(7)) * (np.uint32(61) | t)) ^ t
         return (t ^ t >> np.uint32(14)).astype(np.float64) / 4294967296
@@ -90,24 +92,44 @@ def percentile(ordered: np.ndarray, p: float) -> float:
 
 
 def bootstrap(deltas: list[float], draws: int = DRAWS, seed: int = SEED, level: float = LEVEL) -> tuple[float, float, float]:
-    """(mean, low, high) of paired differences by resampling; zeros for none. One value per query of an evaluation set, on the driver."""
+    """(mean, low, high) of paired differences by resampling; zeros for none. One value per query of an evaluation set, on the driver, in blocks of bounded memory."""
     d = np.asarray(deltas, float)
     if not len(d):
         return 0.0, 0.0, 0.0
     means = np.empty(draws)
     block = max(1, 2_000_000 // len(d))
-    values = _mulberry_array(seed, draws * len(d)) if draws * len(d) <= 2**31 else None
-    rng = mulberry(seed) if values is None else None
     for s in range(0, draws, block):
         n = min(block, draws - s)
-        u = values[s * len(d) : (s + n) * len(d)] if values is not None else np.fromiter(rng, float, n * len(d))
+        u = _mulberry_array(seed, n * len(d), s * len(d))
         means[s : s + n] = d[np.floor(u * len(d)).astype(np.int64)].reshape(n, len(d)).mean(1)
     means.sort()
     return float(d.mean()), percentile(means, (1 - level) / 2), percentile(means, 1 - (1 - level) / 2)
 
 
+def bootstrap_counts(spark: SparkSession, counts: list[tuple[float, int]], draws: int = DRAWS, seed: int = SEED, level: float = LEVEL) -> tuple[float, float, float]:
+    """`bootstrap` of values given with their counts, in order: the same draws at any number of values, the resamples being shared out among tasks."""
+    d, c = np.array([x for x, _ in counts], float), np.array([n for _, n in counts], np.int64)
+    total, upto = int(c.sum()), np.cumsum(c)
+    if not total:
+        return 0.0, 0.0, 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            means = []
+            for k in b["id"].tolist():
+                got = np.zeros(len(d), np.int64)
+                for s in range(0, total, 1 << 20):
+                    u = _mulberry_array(seed, min(1 << 20, total - s), k * total + s)
+                    got += np.bincount(np.searchsorted(upto, np.floor(u * total).astype(np.int64), "right"), minlength=len(d))
+                means.append(float(got @ d / total))
+            yield pd.DataFrame({"mean": means})
+
+    means = np.sort(spark.range(draws).mapInPandas(run, "mean double").toPandas()["mean"].to_numpy())  # one number a draw
+    return float(d @ c / total), percentile(means, (1 - level) / 2), percentile(means, 1 - (1 - level) / 2)
+
+
 def normal_cdf(z: Column) -> Column:
-    """Phi by the approximation 7.1.26 of Abramowitz and Stegun."""
+    """Phi by the approximation 7.1.26 of Abramowitz and Stegun, whose coefficients are fixed values."""
     x = F.abs(z) / math.sqrt(2)
     t = 1.0 / (1.0 + 0.3275911 * x)
     poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t

@@ -3,7 +3,7 @@
 Rounds alternate raking (all leaves are removed, each remembering its parent and distance) and compression (of the nodes
 with exactly one child and a parent, those whose hash exceeds that of such neighbours are spliced out of their chain).
 Each round removes a constant share of every tree, however deep. What is left in the end are loops that have shrunk to a
-node pointing at itself. The rounds are then undone in reverse order, and each removed node takes its root, depth and
+node pointing at itself, which goes when nothing hangs from it any more. The rounds are then undone in reverse order, and each removed node takes its root, depth and
 path from the node it was removed to.
 """
 
@@ -16,10 +16,12 @@ from ..session import discard, materialize
 
 
 RAKED, SPLICED, LOOPED = 0, 1, 2
+#: What the parent of a link is: a node with a link of its own, the sound end of a chain, or one with a pointer to nowhere.
+OPEN, END, CUT = 0, 1, 2
 
 
 def _contract(links: DataFrame, with_path: bool, max_rounds: int) -> list[DataFrame]:
-    """The records of each round. links: (v, p, w, low, via), v being w steps below p, over the nodes via, the least of which or v is low."""
+    """The records of each round. links: (v, p, fin, w, low, via), v being w steps below p, over the nodes via, the least of which or v is low; fin tells whether p ends the chain."""
     active, records = materialize(links, "tree"), []
     kind = links.schema["v"].dataType
     for r in range(max_rounds):
@@ -29,20 +31,21 @@ def _contract(links: DataFrame, with_path: bool, max_rounds: int) -> list[DataFr
         # a node on a chain has one child and a parent; its hash, anew each round, decides against its neighbours'
         inner = node.where("v <> p and kids is not null").select("v", F.when(F.col("kids") == 1, F.col("h")).alias("h"))
         chain = node.where("v <> p and kids = 1").join(inner.toDF("p", "hp"), "p", "left").join(inner.toDF("kid", "hk"), "kid")
-        spliced = chain.where("(hp is null or h > hp) and (hk is null or h > hk)").select("v", "p", "w", "low", "via", F.lit(SPLICED).alias("kind"), "kid")
-        gone = node.where("v = p or kids is null").select("v", "p", "w", "low", "via", F.when(F.expr("v = p"), LOOPED).otherwise(RAKED).alias("kind"), F.lit(None).cast(kind).alias("kid"))
+        spliced = chain.where("(hp is null or h > hp) and (hk is null or h > hk)").select("v", "p", "fin", "w", "low", "via", F.lit(SPLICED).alias("kind"), "kid")
+        gone = node.where("kids is null").select("v", "p", "fin", "w", "low", "via", F.when(F.expr("v = p"), LOOPED).otherwise(RAKED).alias("kind"), F.lit(None).cast(kind).alias("kid"))
         record = materialize(gone.union(spliced), "record")
         if record.isEmpty():
             discard(record, node, active)
             break
         records.append(record)
-        rest = node.join(record.select("v"), "v", "left_anti").select("v", "p", "w", "low", "via")
-        over = record.where(F.col("kind") == SPLICED).select(F.col("kid").alias("v"), F.col("v").alias("_m"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("low").alias("_low"), F.col("via").alias("_via"))
+        rest = node.join(record.select("v"), "v", "left_anti").select("v", "p", "fin", "w", "low", "via")
+        over = record.where(F.col("kind") == SPLICED).select(F.col("kid").alias("v"), F.col("v").alias("_m"), F.col("p").alias("_p"), F.col("fin").alias("_fin"), F.col("w").alias("_w"), F.col("low").alias("_low"), F.col("via").alias("_via"))
         hop = F.col("_p").isNotNull()
         joined = F.concat("via", F.array("_m"), "_via") if with_path else F.col("via")
         left = rest.join(over, "v", "left").select(
             "v",
             F.coalesce("_p", "p").alias("p"),
+            F.coalesce("_fin", "fin").alias("fin"),
             (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
             F.when(hop, F.least("low", "_low")).otherwise(F.col("low")).alias("low"),
             F.when(hop, joined).otherwise(F.col("via")).alias("via"),
@@ -68,31 +71,35 @@ def _walks(rows: DataFrame, id_col: str, parent_col: str, with_path: bool, max_r
     good = held.join(known, "p", "left_semi")
     broken = held.join(known, "p", "left_anti").select("v", F.lit(True).alias("cut"))
     empty = F.array().cast(f"array<{kind.simpleString()}>")
-    links = good.select("v", "p", F.lit(1).cast("int").alias("w"), F.col("v").alias("low"), empty.alias("via"))
+    # of a link to a row that ends a chain all is known: such rows are never looked up again
+    over = base.where("p is null").select(F.col("v").alias("p"), F.lit(END).alias("_fin")).union(broken.select(F.col("v").alias("p"), F.lit(CUT).alias("_fin")))
+    links = good.join(over, "p", "left").select("v", "p", F.coalesce("_fin", F.lit(OPEN)).alias("fin"), F.lit(1).cast("int").alias("w"), F.col("v").alias("low"), empty.alias("via"))
     records = _contract(links, with_path, max_rounds)
-    path_of = (lambda v: F.array(v)) if with_path else (lambda v: empty)
-    # of the rows that end a chain only those that others point at are looked up
-    ends = base.where("p is null").select("v").join(good.select(F.col("p").alias("v")).distinct(), "v", "left_semi").select("v", F.lit(False).alias("cut")).union(broken)
-    solved = ends.select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(False).alias("on"), "cut", path_of("v").alias("path"))
     around = F.concat(F.array("v"), "via") if with_path else empty
-    for record in records:
-        solved = solved.union(record.where(F.col("kind") == LOOPED).select("v", F.col("low").alias("root"), F.lit(-1).alias("d"), F.lit(True).alias("on"), F.lit(False).alias("cut"), around.alias("path")))
-    solved = materialize(solved, "solved")
-    parts = [solved]
+    parts = [broken.select("v", F.col("v").alias("root"), F.lit(0).alias("d"), F.lit(False).alias("on"), "cut", (F.array("v") if with_path else empty).alias("path"))]
+    later: list[DataFrame] = []  # what was removed in later rounds, a shrinking share of all rows
     for record in reversed(records):
-        lookup = parts[0]
-        for more in parts[1:]:
-            lookup = lookup.union(more)
-        up = lookup.select(F.col("v").alias("p"), "root", "d", "cut", F.col("path").alias("up_path"))
-        kid = lookup.select(F.col("v").alias("kid"), "on")
-        # a node spliced out of a chain lies on a loop if its only child does
-        got = record.where(F.col("kind") != LOOPED).join(up, "p", "left").join(kid, "kid", "left")
-        on = F.coalesce("on", F.lit(False))
-        # the way around the loop from p ends with v and the nodes between them
-        rest = F.when(on, F.slice("up_path", F.lit(1), F.size("up_path") - 1 - F.size("via"))).otherwise(F.col("up_path"))
-        path = F.concat(F.array("v"), "via", rest) if with_path else F.col("up_path")
-        depth = F.when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + F.col("w"))
-        parts.append(materialize(got.select("v", "root", depth.cast("int").alias("d"), on.alias("on"), "cut", path.alias("path")), "solved"))
+        loops = record.where(F.col("kind") == LOOPED).select("v", F.col("low").alias("root"), F.lit(-1).alias("d"), F.lit(True).alias("on"), F.lit(False).alias("cut"), around.alias("path"))
+        gone = record.where(F.col("kind") != LOOPED)
+        path = F.concat(F.array("v"), "via", F.array("p")) if with_path else empty
+        ended = gone.where(F.col("fin") != OPEN).select("v", F.col("p").alias("root"), F.col("w").cast("int").alias("d"), F.lit(False).alias("on"), (F.col("fin") == CUT).alias("cut"), path.alias("path"))
+        got = loops.union(ended)
+        if later:
+            lookup = later[0]
+            for more in later[1:]:
+                lookup = lookup.union(more)
+            up = lookup.select(F.col("v").alias("p"), "root", "d", "cut", F.col("path").alias("up_path"))
+            kid = lookup.where("on").select(F.col("v").alias("kid"), "on")
+            # a node spliced out of a chain lies on a loop if its only child does
+            rows = gone.where(F.col("fin") == OPEN).join(up, "p").join(kid, "kid", "left")
+            on = F.coalesce("on", F.lit(False))
+            # the way around the loop from p ends with v and the nodes between them
+            rest = F.when(on, F.slice("up_path", F.lit(1), F.size("up_path") - 1 - F.size("via"))).otherwise(F.col("up_path"))
+            path = F.concat(F.array("v"), "via", rest) if with_path else F.col("up_path")
+            depth = F.when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + F.col("w"))
+            got = got.union(rows.select("v", "root", depth.cast("int").alias("d"), on.alias("on"), "cut", path.alias("path")))
+        later.append(materialize(got, "solved"))
+    parts += later
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)

@@ -8,12 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stem import analyze
 from ..functions.text import effective_date, snippet, tokens
+from ..session import materialize
 
 #: Rows each arm recalls, rows of the fused pool, the constant of reciprocal ranks.
 ARM_LIMIT, POOL_LIMIT, RRF_K = 50, 25, 60
@@ -128,8 +130,14 @@ def lexical_cover_arm(df: DataFrame, id_col: str, text_cols: list[str], query: s
     return top.withColumn("lex_rank", F.row_number().over(Window.orderBy(F.desc("lex_score"), "id")))
 
 
+def _best_of(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of the largest scores, of equal ones those of the least place."""
+    at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k]) if k < len(score) else np.arange(len(score))
+    return at[np.lexsort((place[at], -score[at]))[:k]]
+
+
 def vector_scores(df: DataFrame, id_col: str, vec_col: str, queries: dict[str, np.ndarray], limit: int) -> DataFrame:
-    """(query_id, id, cosine): per query and batch of rows the nearest `limit`. `queries` is a stated set, held by each task."""
+    """(query_id, id, cosine): per query and batch of rows the nearest `limit`, by the cosine to six places and then by id, as the ranks that follow go. `queries` is a stated set, held by each task."""
     names = list(queries)
     q = np.stack([np.asarray(queries[n], float) for n in names]) if names else np.zeros((0, 1))
     norm = np.sqrt((q * q).sum(1))
@@ -147,9 +155,12 @@ def vector_scores(df: DataFrame, id_col: str, vec_col: str, queries: dict[str, n
             k = min(limit, len(ok))
             if not k:
                 continue
-            at = np.argpartition(-sims, k - 1, axis=0)[:k] if k < len(ok) else np.tile(np.arange(len(ok))[:, None], (1, len(names)))
-            ids = b.column("id").take(pa.array(ok[at.T.ravel()]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, at.shape[0]).tolist()), ids, pa.array(np.take_along_axis(sims, at, 0).T.ravel())], ["query_id", "id", "cosine"])
+            sims = np.round(sims, 6)
+            own = b.column("id").take(pa.array(ok))
+            place = np.empty(len(ok), np.int64)
+            place[pc.sort_indices(own).to_numpy()] = np.arange(len(ok))
+            at = np.stack([_best_of(sims[:, j], place, k) for j in range(len(names))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k).tolist()), own.take(pa.array(at.ravel())), pa.array(np.take_along_axis(sims.T, at, 1).ravel())], ["query_id", "id", "cosine"])
 
     rows = df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
     return rows.mapInArrow(run, f"query_id string, id {kind}, cosine double").where(~F.isnan("cosine"))
@@ -223,14 +234,23 @@ def memory_search(df: DataFrame, query: str, vector: list[float], now: str, stri
 def conjunctive_batch(queries: DataFrame, query_id: str, query_text: Column, docs: DataFrame, doc_id: str, doc_text: Column, stop: frozenset[str]) -> DataFrame:
     """(query_id, id): the documents that hold every word of a query, for a table of queries; queries of stop words only find nothing.
 
-    Each query meets the postings of its rarest word alone; its other words are then looked up in the document.
+    Each query meets the postings of its two rarest words alone, so a query of common words doesn't meet the whole list of
+    one; its other words are then looked up in the document, of which only the words that some query asks for are kept.
     """
     stops = F.array(*[F.lit(w) for w in sorted(stop)]) if stop else F.array().cast("array<string>")
     q = queries.select(F.col(query_id).alias("query_id"), F.array_except(F.array_distinct(tokens(query_text)), stops).alias("terms")).where(F.size("terms") > 0)
     d = docs.select(F.col(doc_id).alias("id"), F.array_except(F.array_distinct(tokens(doc_text)), stops).alias("held"))
     asked = q.select(F.explode("terms").alias("term")).distinct()
-    posted = d.select("id", F.explode("held").alias("term")).join(asked, "term", "left_semi")
+    posted = materialize(d.select("id", F.explode("held").alias("term")).join(asked, "term", "left_semi"), "postings")
     freq = posted.groupBy("term").count()
-    rare = q.select("query_id", "terms", F.explode("terms").alias("term")).join(freq, "term", "left")
-    least = rare.groupBy("query_id").agg(F.min_by(F.struct("term", "terms"), F.struct(F.coalesce("count", F.lit(0)), "term")).alias("x")).select("query_id", "x.term", "x.terms")
-    return least.join(posted, "term").join(d, "id").where(F.size(F.array_except("terms", "held")) == 0).select("query_id", "id")
+    rare = q.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(freq, "term", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "term")))  # the words of one query
+    least = rare.groupBy("query_id").agg(F.first("n").alias("n"), order.alias("t")).select("query_id", "n", F.col("t")[0]["term"].alias("first"), F.try_element_at("t", F.lit(2))["term"].alias("second"), F.transform("t", lambda x: x["term"]).alias("terms"))
+    one = least.where("second is null").select("query_id", F.col("first").alias("term")).join(posted, "term").select("query_id", "id")
+    # pairs of words that some query has as its rarest two, and the documents that hold both
+    pairs = least.where("second is not null").select("first", "second").distinct()
+    both = pairs.join(posted.withColumnRenamed("term", "first"), "first").join(posted.withColumnRenamed("term", "second"), ["second", "id"]).select("first", "second", "id")
+    some = least.where("second is not null").join(both, ["first", "second"]).select("query_id", "id", "n", "terms")
+    kept = posted.groupBy("id").agg(F.collect_list("term").alias("held"))  # asked words of one document
+    more = some.where("n > 2").join(kept, "id").where(F.size(F.array_except("terms", "held")) == 0).select("query_id", "id")
+    return one.union(some.where("n = 2").select("query_id", "id")).union(more)

@@ -24,6 +24,7 @@ class Extract:
     symbols: list[tuple[str, str, int]] = field(default_factory=list)  # name, kind, line
     calls: list[tuple[str, str, int]] = field(default_factory=list)  # caller, callee, line
     imports: list[tuple[str, str, str, int]] = field(default_factory=list)  # local name, exported name, module, line
+    failed: bool = False
 
 
 def _tokens(text: str, line: int = 1) -> list[tuple[str, str, int]]:
@@ -132,11 +133,17 @@ def _imports(ts: list[tuple[str, str, int]], i: int, out: Extract) -> int:
 
 
 def extract(text: str, path: str) -> Extract:
-    """Symbols, calls within symbols and imports. Other languages give nothing; text that cannot be read gives what was found before."""
+    """Symbols, calls within symbols and imports. Other languages give nothing; text that cannot be read gives what was found before, and `failed`."""
     out = Extract()
-    if not path.lower().endswith(GRAPH_EXTENSIONS):
-        return out
-    ts = _tokens(text)
+    if path.lower().endswith(GRAPH_EXTENSIONS):
+        try:
+            _scan(_tokens(text), out)
+        except (IndexError, AttributeError, RecursionError):
+            out.failed = True
+    return out
+
+
+def _scan(ts: list[tuple[str, str, int]], out: Extract) -> None:
     scopes: list[tuple[int, str, str]] = []  # depth that ends it, name, kind
     pending: tuple[str, str] | None = None  # a declaration whose body has not begun
     flat: list[tuple[int, str]] = []  # arrow bodies without braces: bracket level, name
@@ -217,21 +224,18 @@ def extract(text: str, path: str) -> Extract:
             if opens < len(ts) and ts[opens][1] == "(" and before not in ("new", "function", "*") and owner():
                 out.calls.append((owner(), v, line))
         i += 1
-    return out
 
 
 def extract_all(df: DataFrame, key_cols: list[str], path_col: str, text_col: str) -> DataFrame:
-    """(keys, record, name, kind, other, line): record symbol (name, kind), call (name is the caller, other the callee) or import (local name, exported name as other, kind the module)."""
+    """(keys, record, name, kind, other, line): record symbol (name, kind), call (name is the caller, other the callee) import (local name, exported name as other, kind the module), or failed, where the text could not be read to its end."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key_cols) + ", record string, name string, kind string, other string, line int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, path, text in zip(zip(*(b[k] for k in key_cols)), b[path_col], b[text_col]):
-                try:
-                    got = extract(text or "", path or "")
-                except (IndexError, AttributeError, RecursionError):
-                    continue
+                got = extract(text or "", path or "")
+                rows += [(*key, "failed", None, None, None, None)] if got.failed else []
                 rows += [(*key, "symbol", n, k, None, ln) for n, k, ln in got.symbols]
                 rows += [(*key, "call", a, None, c, ln) for a, c, ln in got.calls]
                 rows += [(*key, "import", a, m, e, ln) for a, e, m, ln in got.imports]

@@ -124,19 +124,12 @@ def slice_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean difference over all searches. Distinct differences are few; each draw counts them by a multinomial."""
-    import numpy as np
-
+    """Interval of the mean difference over all searches. Distinct differences are few, so they are collected with their counts."""
     counts = _deltas(spark, sf_dir).groupBy(F.round("delta", 9).alias("d")).count().orderBy("d").collect()  # values of a metric at k = 3
     n = sum(r["count"] for r in counts)
     if not n:
         return spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "n long, mean double, low double, high double")
-    if n <= 100_000:
-        got = ev.bootstrap([r["d"] for r in counts for _ in range(r["count"])])
-    else:
-        d, p = np.array([r["d"] for r in counts]), np.array([r["count"] for r in counts]) / n
-        means = np.sort(np.random.default_rng(ev.SEED).multinomial(n, p, ev.DRAWS) @ d / n)
-        got = (float(d @ p), ev.percentile(means, 0.025), ev.percentile(means, 0.975))
+    got = ev.bootstrap_counts(spark, [(r["d"], r["count"]) for r in counts])
     return spark.createDataFrame([(n, *got)], "n long, mean double, low double, high double")
 
 

@@ -299,7 +299,8 @@ def dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = f"""{_NEAR},
-ex as (select a.id as x, b.id as y from memories a join memories b on a.project_id = b.project_id and sha256(a.content) = sha256(b.content) and a.id < b.id),
+kp as (select project_id, sha256(content) as h, min(id) as k from memories where content is not null group by 1, 2),
+ex as (select kp.k as x, m.id as y from memories m join kp on kp.project_id = m.project_id and kp.h = sha256(m.content) where m.id <> kp.k),
 al as (select id as x, near_id as y, c as sim, 'sweep' as source from near union all select x, y, 1.0, 'flag' from ex),
 sl as (select case when ma.created_at < mb.created_at or (ma.created_at = mb.created_at and ma.id < mb.id) then x else y end as a, case when ma.created_at < mb.created_at or (ma.created_at = mb.created_at and ma.id < mb.id) then y else x end as b, sim, source
 from al join memories ma on ma.id = x join memories mb on mb.id = y),
@@ -309,8 +310,9 @@ pairs as (select a, b, round(max(sim), 4) as sim, case when count(distinct sourc
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "memories")
     sweep = _near(spark, sf_dir).select(F.col("id").alias("a"), F.col("near_id").alias("b"), F.col("cosine").alias("sim"), F.lit("sweep").alias("source"))
-    hashed = rows.where("content is not null").select("project_id", F.sha2("content", 256).alias("h"), "id")
-    same = hashed.toDF("project_id", "h", "a").join(hashed.toDF("project_id", "h", "b"), ["project_id", "h"]).where("a < b").select("a", "b", F.lit(1.0).alias("sim"), F.lit("flag").alias("source"))
+    # a copy is paired with the one of its group that is kept, not with every other
+    copies = dedup.exact_groups(rows.where("content is not null and project_id is not null"), "id", [F.col("project_id"), F.sha2("content", 256)]).where("copies > 1 and id <> keep_id")
+    same = copies.select(F.col("keep_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"), F.lit("flag").alias("source"))
     return dedup.merge_pairs(sweep.union(same), rows, "id", "created_at")
 
 

@@ -103,11 +103,17 @@ def read_gold(path: str, split: str | None = None, legacy: bool = False) -> list
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, transcript): messages of a JSONL file as 'role: text' lines, the last 24,000 characters; shorter ones than 200 are left out."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.from_json("value", "role string, content string, message struct<role:string,content:string>").alias("m"))
-    said = raw.select("file", "n", F.coalesce("m.role", "m.message.role").alias("role"), F.coalesce("m.content", "m.message.content").alias("text")).where("role is not null and text <> ''")
+    """(file, transcript): messages of a JSONL file as 'role: text' lines, the last 24,000 characters; files whose whole text is shorter than 200 are left out.
+
+    The content of a message is a string, or an array of blocks, of which those of type text count, one a line.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value", F.from_json("value", "role string, content string, message struct<role:string,content:string>").alias("m"))
+    said = raw.select("file", "n", F.coalesce("m.role", "m.message.role").alias("role"), F.coalesce("m.content", "m.message.content").alias("c"))
+    blocks = F.filter(F.from_json("c", "array<struct<type:string,text:string>>"), lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    text = F.when(F.col("c").startswith("[{") & blocks.isNotNull(), F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")).otherwise(F.col("c"))
+    said = said.select("file", "n", "role", text.alias("text")).where("role is not null and text <> ''")
     per = said.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("t"))
-    return per.select("file", F.expr(f"right(t, {TRANSCRIPT_CHARS})").alias("transcript")).where(F.length("transcript") >= LEAST_TRANSCRIPT)
+    return per.where(F.length("t") >= LEAST_TRANSCRIPT).select("file", F.expr(f"right(t, {TRANSCRIPT_CHARS})").alias("transcript"))
 
 
 def write_artifact(folder: str, label: str, payload: dict, today: dt.date | None = None) -> str:
