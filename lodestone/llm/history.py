@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, shared_dir
-from .setjoin import collapse, frequent_words, may_be_near, region_rows, similar_texts, word_sets
+from .setjoin import collapse, frequent_words, may_be_near, region_rows, similar_texts, size_of, word_sets
 
 #: Rows of distances that a range should hold at first, and the most ranges of a table.
 RANGE_ROWS, MOST_RANGES = 500_000, 4096
@@ -94,11 +94,14 @@ class HistoryTable:
         turns, found = max(1, math.ceil(rows / TURN_ROWS)), None
         for t in range(turns):
             mine = asked.where(F.pmod(F.xxhash64("rid"), F.lit(turns)) == t)
-            cond = f"a.key = b.key and {may_be_near(self.theta, False)}"  # equal pivots lie in the same range
-            got = self._read("distances", parts, sorted(per_range)).alias("a").join(F.broadcast(mine).alias("b"), F.expr(cond))
-            got = got.select(F.col("b.rid").alias("x"), "part", F.col("a.rid").alias("y")).distinct()
-            found = got if found is None else found.union(got)
-        pairs = materialize(found.withColumn("range", F.pmod("y", F.lit(self.ranges)).cast("int")), "candidates")
+            theirs, short = self._read("distances", parts, sorted(per_range)), F.expr("m & 2 <> 0")
+            near, longer = may_be_near(self.theta, False), f"{size_of('b')} > {size_of('a')}"
+            # whichever text is the smaller one takes part with its rarest words alone; equal pivots lie in the same range
+            for held, asking, cond in ((theirs, mine.where(short), f"not {longer}"), (theirs.where(short), mine, longer)):
+                got = held.alias("a").join(F.broadcast(asking).alias("b"), F.expr(f"a.key = b.key and {cond} and {near}"))
+                got = got.select(F.col("b.rid").alias("x"), "part", F.col("a.rid").alias("y"))
+                found = got if found is None else found.union(got)
+        pairs = materialize(found.distinct().withColumn("range", F.pmod("y", F.lit(self.ranges)).cast("int")), "candidates")
         at = sorted(r["range"] for r in pairs.select("range").distinct().collect())  # at most MOST_RANGES
         theirs = self._read("texts", parts, at).select("range", "part", F.col("rid").alias("y"), F.col("words").alias("wy"))
         both = pairs.join(theirs, ["range", "part", "y"]).join(texts.select(F.col("rid").alias("x"), F.col("words").alias("wx")), "x")

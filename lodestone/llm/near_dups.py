@@ -42,8 +42,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text: Column, theta: flo
     return out if count_links else out.drop("links")
 
 
-def group_pairs(groups: DataFrame) -> DataFrame:
-    """(id_a, id_b): all pairs of documents in the same group, the smaller id first."""
-    sizes = groups.groupBy("group_id").count().where("count > 1").select("group_id")
-    g = groups.join(sizes, "group_id", "left_semi").select("group_id", "doc")
-    return g.select("group_id", F.col("doc").alias("id_a")).join(g.select("group_id", F.col("doc").alias("id_b")), "group_id").where("id_a < id_b").select("id_a", "id_b")
+#: Members of a group that one task pairs with each other group's part: larger groups are dealt to so many parts.
+PART_ROWS = 4096
+
+
+def group_pairs(groups: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(id_a, id_b): all pairs of documents in the same group, the smaller id first.
+
+    Each row is one of the pairs asked for. A large group is dealt to parts by hash, and each pair of parts is a join of
+    its own, so that no task holds a group whatever its size.
+    """
+    sizes = groups.groupBy("group_id").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / part_rows).cast("int")).drop("count")
+    g = groups.join(sizes, "group_id").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    spread = g.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("group_id", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc")
+    keys = ["group_id", "lo", "hi"]
+    a, b = spread.toDF(*keys, "pa", "id_a"), spread.toDF(*keys, "pb", "id_b")
+    # two parts meet once; within a part only the rows of its own pair of parts do
+    return a.join(b, keys).where("id_a < id_b and (lo = hi or pa <> pb)").select("id_a", "id_b")

@@ -195,7 +195,7 @@ def region_rows(texts: DataFrame, theta: float, keys: np.ndarray, counts: np.nda
     All rows that are to meet must be made with the same keys, counts and total: they fix the order of the words.
     """
     label = F.col("label") if "label" in texts.columns else F.col("rid").alias("label")
-    return texts.select("rid", "tag", "n", "s1", "s2", label, "words").mapInArrow(_regions(theta, keys, counts, total, cap or REGION_TEXTS, hot), "key long, rid long, m long, s1 long, s2 long, label long")
+    return texts.select("rid", "tag", "n", "s1", "s2", label, "words").mapInArrow(_regions(theta, keys, counts, total, cap or REGION_TEXTS, hot), "key long not null, rid long not null, m long not null, s1 long not null, s2 long not null, label long not null")
 
 
 def size_of(x: str) -> str:
@@ -219,8 +219,8 @@ def may_be_near(theta: float, ordered: bool = True) -> str:
     both = f"({size_of('a')} + {size_of('b')})"
     t = f"({theta / (1 + theta)!r} * {both} - {EPS!r})"
     sketch = f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {(1 - theta) / (1 + theta)!r} * {both} + {EPS!r}"
-    if ordered:  # written so that no part concerns b alone: both sides then read the same shuffle
-        sizes = f"if({is_short('b')}, {size_of('b')}, 1L << 40) <= {size_of('a')} and {size_of('b')} >= {theta!r} * {size_of('a')} - {EPS!r}"
+    if ordered:
+        sizes = f"{size_of('b')} <= {size_of('a')} and {size_of('b')} >= {theta!r} * {size_of('a')} - {EPS!r}"
     else:
         lo, hi = f"least({size_of('a')}, {size_of('b')})", f"greatest({size_of('a')}, {size_of('b')})"
         short = f"if({size_of('a')} < {size_of('b')}, {is_short('a')}, {is_short('b')})"
@@ -229,9 +229,15 @@ def may_be_near(theta: float, ordered: bool = True) -> str:
 
 
 def join_regions(regions: DataFrame, theta: float, allow: str = "a.label <> b.label") -> DataFrame:
-    """Candidate pairs (a, b), a being the larger text: they share a region, and nothing in its rows keeps them apart. Each comes once."""
+    """Candidate pairs (a, b), a being the larger text: they share a region, and nothing in its rows keeps them apart. Each comes once.
+
+    The rows are shuffled once for both sides: the condition that b takes part as the smaller text, with its rarest words
+    alone, is put so that it can't be moved below the shuffle.
+    """
+    regions = regions.repartition("key")
+    smaller = regions.where("if(spark_partition_id() >= 0, m & 2 <> 0, false)")
     cond = f"a.key = b.key and ({allow}) and {may_be_near(theta)} and ({size_of('b')} < {size_of('a')} or b.rid < a.rid)"
-    return regions.alias("a").join(regions.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+    return regions.alias("a").join(smaller.alias("b"), F.expr(cond)).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
 
 #: Bits of the filter that spares texts without candidates a shuffle: so many per candidate, and at most; beyond it lets more through.

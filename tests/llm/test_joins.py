@@ -118,6 +118,14 @@ def test_group_pairs_and_empty(spark):
     assert near_duplicate_groups(df.select("id", F.lit(None).cast("string").alias("t")), "id", F.col("t")).count() == 3
 
 
+def test_pairs_of_a_large_group(spark):
+    from itertools import combinations
+
+    rows = [(f"d{i:03}", "g" if i < 60 else f"s{i // 2}") for i in range(70)]
+    got = sorted(tuple(r) for r in group_pairs(spark.createDataFrame(rows, "doc string, group_id string"), 7).collect())
+    assert got == sorted((a, b) for (a, x), (b, y) in combinations(rows, 2) if x == y)
+
+
 def test_a_third_are_copies_and_long_text(spark):
     rows = [(i, "same text for all of these rows") for i in range(300)] + [(1000 + i, f"a{i} b{i} c{i} same text") for i in range(100)] + [(5000, " ".join(f"v{i}" for i in range(20_000))), (5001, " ".join(f"v{i}" for i in range(19_000)))]
     got = {r.doc: (r.group_id, r.links) for r in near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"), count_links=True).collect()}
