@@ -112,8 +112,50 @@ def enclosing(sites: DataFrame, symbols: DataFrame, keys: list[str], line_col: s
     return got.select(*sites.columns, F.coalesce("_e", "_first").alias("enclosing"))
 
 
-def resolve_seed(symbols: DataFrame, project: str, symbol_id: str | None = None, name: str | None = None, file: str | None = None, line: int | None = None) -> DataFrame:
-    """Seed symbols (id, project, file, name, start_line) by id, else by name, else by file and line; all within the project."""
+def code_graph(extracted: DataFrame, repo: str = "repo", file: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(symbols (id, repo, file, name, kind, start_line), edges (src, dst, kind)) of what `symbols.extract_all` found, with the keys `repo` and `file` and lines of the file.
+
+    A symbol that overlapping windows found twice comes once. Calls lead from the caller in its file to every symbol of
+    the called name in the repository, imports from every symbol of a file to those of the exported name elsewhere.
+    """
+    got = extracted.select(F.col(repo).alias("repo"), F.col(file).alias("file"), "record", "name", "kind", "other", "line")
+    symbols = got.where("record = 'symbol'").select("repo", "file", "name", "kind", F.col("line").alias("start_line")).distinct()
+    symbols = materialize(symbols.withColumn("id", F.concat_ws("|", "repo", "file", "name", "kind", F.col("start_line").cast("string"))), "symbols")
+    calls = got.where("record = 'call'").select("repo", F.col("name").alias("from_name"), F.col("file").alias("from_file"), F.col("other").alias("to_name"))
+    imports = got.where("record = 'import'").select("repo", F.col("file").alias("from_file"), F.col("other").alias("to_name"))
+    edges = resolve_calls(calls, symbols).withColumn("kind", F.lit("call")).union(resolve_imports(imports, symbols).withColumn("kind", F.lit("import")))
+    return symbols, edges.toDF("src", "dst", "kind")
+
+
+def graph_rows(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, direction: str = "both", depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """(id, name, file, line, depth, edge_type, ambiguous): `expand` over the call edges (src, dst, kind), in the order of depth, file, line and id, the first `limit` rows.
+
+    ambiguous tells targets that a caller reaches by a name it shares with others; seeds are never flagged.
+    """
+    calls = materialize(edges.where("kind = 'call'").select("src", "dst").distinct(), "calls")
+    got = expand(calls, seeds, direction, depth).join(symbols.select("id", "name", "file", F.col("start_line").alias("line")), "id")
+    many = ambiguous(calls, symbols.select("id", "name")).withColumn("_many", F.lit(True))
+    flagged = got.join(many, "id", "left").select("id", "name", "file", "line", "depth", F.col("label").alias("edge_type"), ((F.col("depth") > 0) & F.coalesce("_many", F.lit(False))).alias("ambiguous"))
+    return flagged.orderBy("depth", "file", "line", "id").limit(clamp(limit, DEFAULT_ROWS, MAX_ROWS))
+
+
+def lookup_symbol(symbols: DataFrame, project: str, name: str, repo: str | None = None, limit: int | None = None) -> DataFrame:
+    """(name, kind, file, line): the symbols of exactly that name in a project, in the order of file and line."""
+    own = symbols.where((F.col("project") == project) & (F.col("name") == name))
+    own = own if repo is None else own.where(F.col("repo") == repo)
+    return own.select("name", "kind", "file", F.col("start_line").alias("line")).orderBy("file", "line", "kind").limit(clamp(limit, DEFAULT_ROWS, MAX_ROWS))
+
+
+def resolve_seed(symbols: DataFrame, project: str, symbol_id: str | None = None, name: str | None = None, file: str | None = None, line: int | None = None, chunk_id: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Seed symbols (id, project, file, name, start_line) by id, else by name, else by chunk, else by file and line; all within the project.
+
+    A chunk (id, project, file, start_line) stands for its file and first line.
+    """
+    if symbol_id is None and name is None and chunk_id is not None and chunks is not None:
+        at = chunks.where((F.col("id") == chunk_id) & (F.col("project") == project)).select("file", "start_line").first()
+        if at is None:
+            return symbols.where(F.lit(False))
+        file, line = at["file"], at["start_line"]
     own = symbols.where(F.col("project") == project)
     if symbol_id is not None:
         return own.where(F.col("id") == symbol_id)

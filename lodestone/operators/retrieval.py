@@ -231,6 +231,31 @@ def memory_search(df: DataFrame, query: str, vector: list[float], now: str, stri
     return SearchResult(hits, size, limit, n == limit and size > limit, retried)
 
 
+def reranked(pool: DataFrame, rows: DataFrame, query: str, rerank: Callable[[str, list[str]], list[float]], doc: Column) -> DataFrame:
+    """pool with `relevance`, by a reranker that scores the documents of one query; null for all if it fails or gives another number of scores. A pool has at most its limit of rows."""
+    held = pool.join(rows.select("id", doc.alias("_doc")), "id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields) + ", relevance double"
+    names = pool.columns
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("pool_rank")
+        try:
+            got = [float(x) for x in rerank(query, b["_doc"].fillna("").tolist())]
+        except Exception:
+            got = []
+        scores = got if len(got) == len(b) else [None] * len(b)
+        return b.assign(relevance=pd.Series(scores, index=b.index, dtype=float))[[*names, "relevance"]]
+
+    return held.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, schema)
+
+
+def search_logged(hits: DataFrame, pool: DataFrame, search_id: str, project: str, query: str, at: str) -> DataFrame:
+    """The row of the search log: what was asked, the ids of the pool and of the hits, each in order."""
+    ids = lambda df, by: df.agg(F.coalesce(F.transform(F.array_sort(F.collect_list(F.struct(by, "id"))), lambda x: x["id"]), F.array().cast("array<string>")).alias("ids"))
+    both = ids(pool, "pool_rank").toDF("pool_ids").crossJoin(ids(hits, "rank").toDF("final_ids"))  # one row each
+    return both.select(F.lit(search_id).alias("id"), F.lit(project).alias("project_id"), F.lit(query).alias("query"), "pool_ids", "final_ids", F.lit(at).cast("timestamp").alias("created_at"))
+
+
 def conjunctive_batch(queries: DataFrame, query_id: str, query_text: Column, docs: DataFrame, doc_id: str, doc_text: Column, stop: frozenset[str]) -> DataFrame:
     """(query_id, id): the documents that hold every word of a query, for a table of queries; queries of stop words only find nothing.
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import code_doc, code_snippet, line_range
+from ..functions.text import SYMBOL, code_doc, code_snippet, line_range
 from ..operators import filters, graph, retrieval
 from ..operators.chunking import cached_values, line_windows
 from ..operators.hits import merge_adjacent
+from ..operators.rendering import graph_line, status_line
 from ..operators.snapshot import latest
 from ..operators.symbols import extract_all
 from ..session import load, materialize
@@ -43,7 +44,7 @@ def _windows_sql(table: str, key: str, text: str, window: int, overlap: int) ->
     return f"""with l as (select {key} as k, string_split({text}, chr(10)) as l from {table} where {text} is not null),
 s as (select k, l, unnest(range(0, greatest(ceil((len(l) - {window})::double / {step})::int, 0) * {step} + 1, {step}))::int as s from l),
 w as (select k, s + 1 as start_line, least(s + {window}, len(l))::int as end_line, array_to_string(l[s + 1:s + {window}], chr(10)) as t from s),
-p as (select k, start_line, end_line, substr(t, 1, 4000) as content, regexp_extract(t, '\\b(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(function|class|interface|type|enum|const|def|struct|impl|fn|func|module)\\s+([A-Za-z0-9_$]+)', ['kind', 'name']) as y from w where regexp_matches(t, '\\S'))
+p as (select k, start_line, end_line, substr(t, 1, 4000) as content, regexp_extract(t, '{SYMBOL}', ['kind', 'name']) as y from w where regexp_matches(t, '\\S'))
 select k as {key}, start_line, end_line, sha256(content) as content_sha256, nullif(y.name, '') as symbol_name, nullif(y.kind, '') as symbol_kind from p"""
 
 
@@ -167,65 +168,117 @@ def enclosing_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.enclosing(sites, symbols, ["file_id"], "end_line", "start_line", "symbol_name").select("id", "enclosing")
 
 
-_EDGES = "ed as (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_returnflag = 'R' and a.l_quantity >= 40)"
-_SEEDS = "seed as (select min(src) as id from ed union select max(src) from ed)"
+_EDGES = f"{_CALLS}, ed as (select from_symbol as src, to_symbol as dst from calls)"
+_CALLERS = "seed as (select src as id from ed group by src order by count(*) desc, src limit 2)"
+_CALLED = "seed as (select dst as id from ed group by dst order by count(*) desc, dst limit 2)"
 _OUT = "wout as (select id, 0 as depth from seed union select e.dst, w.depth + 1 from wout w join ed e on e.src = w.id where w.depth < 4)"
 _IN = "win as (select id, 0 as depth from seed union select e.src, w.depth + 1 from win w join ed e on e.dst = w.id where w.depth < 4)"
 
 
-def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph: from each part of a returned line of 40 or more to the part of the order's next line."""
-    li = load(spark, sf_dir, "lineitem")
-    a = li.where("l_returnflag = 'R' and l_quantity >= 40").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
-    b = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
-    return materialize(a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct(), "edges")
+def _call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole call graph of the chunks."""
+    return materialize(graph.resolve_calls(_staged(spark, sf_dir), _symbols(spark, sf_dir)).toDF("src", "dst"), "edges")
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.agg(F.array(F.min("src"), F.max("src")).alias("x")).select(F.explode("x").alias("id")).where("id is not null").distinct()
+def _busiest(edges: DataFrame, end: str) -> DataFrame:
+    """The two symbols with the most calls out (src) or in (dst)."""
+    return edges.groupBy(F.col(end).alias("id")).count().orderBy(F.desc("count"), "id").limit(2).select("id")
 
 
 def _expanded(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
-    edges = _part_edges(spark, sf_dir)
-    return graph.expand(edges, _ends(edges), direction, 4)
+    edges = _call_edges(spark, sf_dir)
+    return graph.expand(edges, _busiest(edges, "dst" if direction == "in" else "src"), direction, 4)
 
 
-@register(f"with recursive {_EDGES}, {_SEEDS}, {_OUT} select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' else 'call→' end as label from wout group by id")
+@register(f"with recursive {_EDGES}, {_CALLERS}, {_OUT} select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' else 'call→' end as label from wout group by id")
 def graph_expand_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanded(spark, sf_dir, "out")
 
 
-@register(f"with recursive {_EDGES}, {_SEEDS}, {_IN} select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' else 'call←' end as label from win group by id")
+@register(f"with recursive {_EDGES}, {_CALLED}, {_IN} select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' else 'call←' end as label from win group by id")
 def graph_expand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanded(spark, sf_dir, "in")
 
 
-@register(f"with recursive {_EDGES}, {_SEEDS}, {_OUT}, {_IN}, al as (select id, depth, 0 as late from wout union all select id, depth, 1 from win) select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' when arg_min(late, depth * 2 + late) = 0 then 'call→' else 'call←' end as label from al group by id")
+_BOTH = f"{_EDGES}, {_CALLERS}, {_OUT}, {_IN}, al as (select id, depth, 0 as late from wout union all select id, depth, 1 from win), exp as (select id, min(depth)::int as depth, case when min(depth) = 0 then 'def' when arg_min(late, depth * 2 + late) = 0 then 'call→' else 'call←' end as label from al group by id)"
+
+
+@register(f"with recursive {_BOTH} select id, depth, label from exp")
 def graph_expand_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanded(spark, sf_dir, "both")
 
 
-_PATHS = f"with recursive {_EDGES}, {_SEEDS}, p as (select id, 0 as depth, [id] as path from seed union all select e.dst, p.depth + 1, list_append(p.path, e.dst) from p join ed e on e.src = p.id where p.depth < 4 and not list_contains(p.path, e.dst))"
+@register(
+    f"""with recursive {_BOTH}, nm as (select c.src, c.dst, s.name from ed c join sym s on s.id = c.dst), amb as (select distinct dst from nm join (select src, name from nm group by 1, 2 having count(distinct dst) > 1) g using (src, name))
+select e.id, s.name, s.file, e.depth, e.label as edge_type, (e.depth > 0 and e.id in (select dst from amb)) as ambiguous, repeat('  ', e.depth) || '[d' || e.depth || ' ' || e.label || '] ' || s.name || '  ' || s.file || ':' || case when e.depth > 0 and e.id in (select dst from amb) then ' (name-matched, may be ambiguous)' else '' end || '  [' || e.id || ']' as line
+from exp e join sym s on s.id = e.id order by e.depth, s.file, e.id limit 50"""
+)
+def graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expansion as callers read it: ordered, its first 50 rows, ambiguous hops flagged, each as a line."""
+    edges = _call_edges(spark, sf_dir)
+    symbols = _symbols(spark, sf_dir).withColumn("start_line", F.lit(None).cast("int"))
+    got = graph.graph_rows(edges.withColumn("kind", F.lit("call")), symbols, _busiest(edges, "src"), "both", 4, 50)
+    return got.select("id", "name", "file", "depth", "edge_type", "ambiguous", graph_line().alias("line"))
+
+
+_PATHS = f"with recursive {_EDGES}, {_CALLERS}, p as (select id, 0 as depth, [id] as path from seed union all select e.dst, p.depth + 1, list_append(p.path, e.dst) from p join ed e on e.src = p.id where p.depth < 4 and not list_contains(p.path, e.dst))"
 
 
 @register(_PATHS + " select id, depth::int as depth, array_to_string(path, '>') as path from (select *, row_number() over (partition by id order by depth, path) as r from p) where r = 1")
 def trace_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest path from a seed to every node within four steps."""
-    edges = _part_edges(spark, sf_dir)
-    return graph.shortest_paths(edges, _ends(edges), 4).select("id", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    """The shortest path from a seed to every symbol within four calls."""
+    edges = _call_edges(spark, sf_dir)
+    return graph.shortest_paths(edges, _busiest(edges, "src"), 4).select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
-@register(_PATHS + ", far as (select id from p group by id order by min(depth) desc, id limit 1), t as (select part.p_name as n from part join far on part.p_partkey = far.id), hit as (select path from p join part on part.p_partkey = p.id where part.p_name in (select n from t) order by depth, path limit 1) select unnest(path) as id, unnest(range(len(path)))::int as depth from hit")
+@register(_PATHS + ", far as (select id from p group by id order by min(depth) desc, id limit 1), t as (select sym.name as n from sym join far on sym.id = far.id), hit as (select path from p join sym on sym.id = p.id where sym.name in (select n from t) order by depth, path limit 1) select unnest(path) as id, unnest(range(len(path)))::int as depth from hit")
 def trace_to_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path to the name of the farthest node."""
-    edges = _part_edges(spark, sf_dir)
-    seeds = _ends(edges)
-    names = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    """The path to the name of the farthest symbol."""
+    edges = _call_edges(spark, sf_dir)
+    seeds = _busiest(edges, "src")
+    names = _symbols(spark, sf_dir).select("id", "name")
     far = graph.shortest_paths(edges, seeds, 4).orderBy(F.desc("depth"), "id").select("id").limit(1)
     target = names.join(far, "id").first()
     return graph.trace(edges, seeds, names, target["name"] if target else "", 4)[0]
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of all TypeScript chunks, by the scanner, with lines of the file."""
+    rows = load(spark, sf_dir, "code_chunks").where(F.lower("file_path").rlike(r"\.tsx?$")).select(F.col("repository_id").alias("repo"), F.col("file_path").alias("file"), "start_line", "content")
+    got = extract_all(rows, ["repo", "file", "start_line"], "file", "content").withColumn("line", F.col("line") + F.col("start_line") - 1)
+    return graph.code_graph(got)
+
+
+@register()
+def code_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code graph as one plan: symbols, calls and imports found by the scanner, resolved by name, as edges with their kind."""
+    return _extracted(spark, sf_dir)[1]
+
+
+@register()
+def code_graph_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that a caller of the scanned graph reaches by a name it shares with others."""
+    symbols, edges = _extracted(spark, sf_dir)
+    return graph.ambiguous(edges.where("kind = 'call'").select("src", "dst"), symbols.select("id", "name"))
+
+
+@register()
+def code_graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned graph around its two busiest callers, ordered and flagged, at depth 6."""
+    symbols, edges = _extracted(spark, sf_dir)
+    edges = materialize(edges, "edges")
+    return graph.graph_rows(edges, symbols, _busiest(edges.where("kind = 'call'"), "src"), "both", 6, 200)
+
+
+@register("select repository_id as repo, file_path as file, symbol_name as name, min(start_line) as line from code_chunks where symbol_name = (select symbol_name from code_chunks where symbol_name is not null group by 1 order by count(*) desc, 1 limit 1) group by 1, 2, 3 order by file, line, repo limit 50")
+def symbol_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the name that most chunks declare is declared, in the order of file and line."""
+    rows = load(spark, sf_dir, "code_chunks").where("symbol_name is not null")
+    name = rows.groupBy("symbol_name").count().orderBy(F.desc("count"), "symbol_name").limit(1).select("symbol_name")
+    hit = rows.join(F.broadcast(name), "symbol_name").groupBy(F.col("repository_id").alias("repo"), F.col("file_path").alias("file"), F.col("symbol_name").alias("name")).agg(F.min("start_line").alias("line"))
+    return hit.orderBy("file", "line", "repo").limit(50)
+
+
 @register("select n.n_nationkey, n.n_name, r.r_name from nation n join region r on r.r_regionkey = n.n_regionkey where n.n_name ilike '%a%' or n.n_nationkey::varchar = '3'")
 def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities by a pattern of their name or by id, with what they point to."""
@@ -249,6 +302,13 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.join(files, "repository_id", "full_outer").select("repository_id", zero("n_chunks"), zero("n_files"), zero("n_languages"), zero("files_total"), "last_indexed")
 
 
+@register("""with c as (select repository_id, count(*) as n_chunks, count(distinct file_id) as n_files from code_chunks group by 1), f as (select repository_id, count(*) as files_total, max(indexed_at) as t from files group by 1)
+select coalesce(c.repository_id, f.repository_id) as repository_id, coalesce(c.repository_id, f.repository_id) || ': ' || coalesce(n_files, 0) || '/' || coalesce(files_total, 0) || ' files, ' || coalesce(n_chunks, 0) || ' chunks, last indexed ' || coalesce(strftime(t, '%Y-%m-%d %H:%M'), 'never') as line from c full outer join f on c.repository_id = f.repository_id""")
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index status as lines."""
+    return index_status(spark, sf_dir).select("repository_id", status_line().alias("line"))
+
+
 @register("""with s as (select id, coalesce(language, '') as l, split_part(path, '/', 1) as d, row_number() over (partition by coalesce(language, ''), split_part(path, '/', 1) order by sha256(id), id) as r from files)
 select id, l as language, d as top_dir from s where r <= 2""")
 def file_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators.hierarchy import hierarchy
+from ..operators import runs
 from ..operators.mining import harvest as mine
+from ..operators.retrieval import ARMS
+from ..functions.text import memory_doc, tokens
 from ..session import load, materialize
 from .registry import register
 
@@ -150,3 +153,58 @@ def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))
     rows = load(spark, sf_dir, "search_log").groupBy(F.window("created_at", "1 hour").alias("w"), key.alias("query_key")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.coalesce(F.size("final_ids"), F.lit(0)) <= 0, 1)).alias("n_zero"), F.round(F.avg("pool_ms"), 6).alias("mean_pool_ms"))
     return rows.select(F.col("w.start").alias("start"), "query_key", "n", "n_zero", "mean_pool_ms")
+
+
+_CAPTURED = f"{_RUNS}, lq as (select id, min(query) as query from search_log group by id), cap as (select run.id, lq.query, gold, pool, ranked as final from run join lq using (id))"
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, query, gold, pool, final): the pool of every search with results, its results as gold, and the pool by importance as the final ranking."""
+    asked = load(spark, sf_dir, "search_log").groupBy("id").agg(F.min("query").alias("query"))
+    return materialize(_log(spark, sf_dir).join(asked, "id").select("id", "query", "gold", "pool", F.col("ranked").alias("final")), "captured")
+
+
+_LAYERS = f"""with {_CAPTURED}, q as (select id, query, list_distinct(gold) as gold, pool, coalesce(list_filter(final, lambda x, i: list_position(final, x) = i), []) as final from cap),
+pl as (select *, list_sort(list_filter(list_transform(gold, lambda g: list_position(pool, g)), lambda x: x > 0)) as pa, list_sort(list_filter(list_transform(gold, lambda g: list_position(final, g)), lambda x: x > 0)) as pb from q),
+lay as (select id, query, case when len(list_filter(pa, lambda x: x <= 25)) > 0 then 1.0::double else 0.0::double end as pool_recall, {_gain('list_filter(pb, lambda x: x <= 10)')} / {_gain('range(1, greatest(least(len(gold), 10), 1) + 1)')} as ndcg, coalesce(1.0 / pb[1], 0.0) as mrr, pb[1]::int as rank from pl)"""
+
+
+@register(f"{_LAYERS} select id, query, pool_recall, round(ndcg, 6) as ndcg, round(mrr, 6) as mrr, rank from lay")
+def two_layer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every search of the log with results: its pool, and the pool by importance, against what it gave."""
+    got = runs.two_layers(_captured(spark, sf_dir), runs.retrieval_config(ARMS["A0"]))
+    return got.select("id", "query", "pool_recall", F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"), "rank")
+
+
+@register(f"{_LAYERS} select count(*) as n_queries, round(coalesce(avg(pool_recall), 0), 6) as recall_at_25, round(coalesce(avg(ndcg), 0), 6) as ndcg_at_10, round(coalesce(avg(mrr), 0), 6) as mrr_at_10 from lay")
+def two_layer_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = runs.aggregates(runs.two_layers(_captured(spark, sf_dir), runs.retrieval_config(ARMS["A0"])))
+    return got.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall_at_25", "ndcg_at_10", "mrr_at_10")])
+
+
+@register()
+def blend_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five arms over the captured pools against A0, with intervals and the winner."""
+    rows = load(spark, sf_dir, "memories").select("id", "type", "source_kind", "event_date", "created_at", "importance")
+    return runs.compare(spark, runs.blend_bakeoff(_captured(spark, sf_dir), rows, ARMS, NOW), "A0")
+
+
+@register(f"""with {_CAPTURED}, fb as (select id, gold, unnest(pool) as m, unnest(range(len(pool))) as p from cap), s as (select fb.id, gold, m, p, round(61.0 / (61 + p), 9) as score from fb join memories q on q.id = fb.m),
+k as (select id, gold, m, row_number() over (partition by id order by score desc, p) as r from s), rb as (select id, list_distinct(any_value(gold)) as gold, list(m order by r) as ranked from k where r <= 10 group by id),
+pb as (select id, gold, list_sort(list_filter(list_transform(gold, lambda g: list_position(ranked, g)), lambda x: x > 0)) as pb from rb) select id, round({_gain('pb')} / {_gain('range(1, greatest(least(len(gold), 10), 1) + 1)')}, 6) as ndcg from pb""")
+def blend_arm_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nDCG of each captured search by the arm of relevance alone."""
+    rows = load(spark, sf_dir, "memories").select("id", "type", "source_kind", "event_date", "created_at", "importance")
+    return runs.blend_bakeoff(_captured(spark, sf_dir), rows, {"A4": ARMS["A4"]}, NOW)["A4"].select("id", F.round("ndcg", 6).alias("ndcg"))
+
+
+def _word_share(query, doc):
+    q = F.array_distinct(tokens(query))
+    return F.size(F.array_intersect(q, tokens(doc))) / F.greatest(F.size(q), F.lit(1))
+
+
+@register()
+def rerank_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the pools against a reranker by the share of the query's words, over the same captured pools."""
+    docs = load(spark, sf_dir, "memories").select("id", memory_doc(F.col("title"), F.col("summary"), F.col("content")).alias("doc"))
+    return runs.compare(spark, runs.rerank_bakeoff(_captured(spark, sf_dir), docs, {"pool": None, "overlap": _word_share}), "pool")

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions.stem import STOP_WORDS
 from ..functions.text import budget_body, effective_date, json_strings, memory_doc, snippet
-from ..operators import dedup, filters, mining, retrieval
+from ..operators import dedup, filters, lifecycle, mining, rendering, retrieval
 from ..operators.chunking import running_total, snapshot_diff
 from ..operators.hits import query_snippets
 from ..operators.snapshot import get_secrets, latest, set_secrets
 from ..session import load, materialize
+from ..sources.models import overlap_reranker
 from .registry import register
 
 NOW = "2026-07-01 00:00:00"
@@ -235,6 +236,90 @@ def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.hits.withColumns({"pool_size": F.lit(got.pool_size), "truncated": F.lit(got.truncated), "retried": F.lit(got.retried)})
 
 
+_RERANK = f"""{_LEX}, {_VEC}, {_fused(60)}, qw as (select list_distinct(regexp_extract_all(lower('{QUERY_TEXT}'), '[^ ]+')) as w),
+rr as (select p.id, p.pool_rank, len(list_filter((select w from qw), lambda x: list_contains(regexp_split_to_array(lower(substr(concat_ws(chr(10), m.title, nullif(m.summary, ''), m.content), 1, 1200)), '\\s+'), x))) / len((select w from qw))::double as rel from pool p join memories m on m.id = p.id)"""
+
+
+@register(f"with {_RERANK} select rr.id, m.title, rr.pool_rank, round(0.7 * rel + 0.2 * {_RECENCY['A0']} + 0.1 * {_IMP}, 6) as final from rr join memories m on m.id = rr.id order by final desc, pool_rank limit 10")
+def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool scored by a reranker (the share of the query's words), blended, the ten best."""
+    rows = load(spark, sf_dir, "memories")
+    pool = materialize(retrieval.reranked(_pool(spark, sf_dir), rows, QUERY_TEXT, overlap_reranker, memory_doc(F.col("title"), F.col("summary"), F.col("content"))), "reranked")
+    return retrieval.rank_pool(pool, rows, retrieval.ARMS["A0"], NOW, F.col("relevance"), 10).select("id", "title", "pool_rank", "final")
+
+
+@register()
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship search as callers read it: hits in order without scores, with the snippets of the query, one line block each."""
+    best = _blended(spark, sf_dir, "A0", 10)
+    ranked = materialize(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), "pool_rank"))).select("id", "rank"), "hits")  # ten rows
+    rows = load(spark, sf_dir, "memories").join(F.broadcast(ranked), "id")
+    cut = query_snippets(rows.select("id", "content", F.lit(QUERY_TEXT).alias("query")), "id", "content", "query")
+    shown = rows.drop("snippet").join(cut.select("id", "snippet"), "id", "left").withColumn("at", effective_date(F.col("event_date"), F.col("created_at")))
+    return rendering.public_hits(shown.select("rank", "id", rendering.hit_line().alias("line")))
+
+
+@register(f"with {_LEX}, {_VEC}, {_fused(60)}, r as (select m.*, p.pool_rank, p.rrf / (select max(rrf) from pool) as rel from memories m join pool p on m.id = p.id), h as (select id, round({_FINAL['A0']}, 6) as final, pool_rank from r order by final desc, pool_rank limit 10) select 's1' as id, 'p1' as project_id, '{QUERY_TEXT}' as query, (select list(id order by pool_rank) from pool) as pool_ids, (select list(id order by final desc, pool_rank) from h) as final_ids, timestamptz '2026-07-01 00:00:00+00' as created_at")
+def search_log_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the flagship search adds to the log."""
+    pool = materialize(_pool(spark, sf_dir), "pool")
+    best = retrieval.rank_pool(pool, load(spark, sf_dir, "memories"), retrieval.ARMS["A0"], NOW, None, 10)
+    hits = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), "pool_rank")))  # ten rows
+    return retrieval.search_logged(hits, pool, "s1", "p1", QUERY_TEXT, NOW)
+
+
+@register("select id, case when status = 'superseded' and coalesce(superseded_by, '') <> '' then 'superseded — see ' || superseded_by || chr(10) when coalesce(status, '') not in ('', 'active') then 'status=' || status || chr(10) else '' end as banner from memories")
+def banners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line above each memory that is not active."""
+    return load(spark, sf_dir, "memories").select("id", rendering.banner(F.col("status"), F.col("superseded_by")).alias("banner"))
+
+
+_NEW = "nw as (select 'i' || intake_id as id, project_id, title, content, sha256(content) as h, created_at, case when intake_id % 3 = 0 then 'decision' else source_kind end as kind from memory_intake)"
+
+
+@register(f"""with {_NEW}, up as (select nw.id as by_id, m.id as old, m.project_id from nw join (select id, project_id, row_number() over (partition by project_id order by id) as r from memories where source_kind = 'decision') m on m.project_id = nw.project_id and m.r = 1 where nw.kind = 'decision'),
+live as (select distinct project_id, coalesce(lower(content_sha256), sha256(content)) as h from memories where {_LIVE}),
+nd as (select id, row_number() over (partition by project_id, h order by id) as r from nw where kind is distinct from 'decision' and not exists (select 1 from live where live.project_id = nw.project_id and live.h = nw.h)),
+fresh as (select id from nw where kind = 'decision' union all select nd.id from nd join nw using (id) where nd.r = 1),
+f2 as (select id from fresh where true),
+taken as (select old as id, min(by_id) as by_id from up group by 1)
+select m.id, case when t.by_id is not null then t.by_id else m.superseded_by end as superseded_by, case when t.by_id is not null then 'superseded' end as decision_status from memories m left join taken t on t.id = m.id
+union all select f2.id, null, case when nw.kind = 'decision' then 'active' end from f2 join nw using (id)""")
+def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories after all intake rows are stored, every third as a decision that supersedes the first decision of its project."""
+    rows = load(spark, sf_dir, "memories").withColumns({"decision_status": F.lit(None).cast("string"), "supersedes_id": F.lit(None).cast("string"), "decided_at": F.lit(None).cast("timestamp")})
+    first = rows.where("source_kind = 'decision'").groupBy("project_id").agg(F.min("id").alias("supersedes_id"))
+    kind = F.when(F.col("intake_id") % 3 == 0, F.lit("decision")).otherwise(F.col("source_kind"))
+    new = load(spark, sf_dir, "memory_intake").select(F.concat(F.lit("i"), F.col("intake_id").cast("string")).alias("id"), "project_id", "title", "content", "created_at", kind.alias("source_kind"), F.lit(None).cast("string").alias("decision_status"))
+    new = new.join(first, "project_id", "left").withColumn("supersedes_id", F.when(F.col("source_kind") == "decision", F.col("supersedes_id")))
+    return lifecycle.store_decisions(rows, new, NOW).select("id", "superseded_by", "decision_status")
+
+
+@register(f"select id, case when {_LIVE} and summary is null and length(trim(coalesce(title, ''))) > 0 then trim(title) else summary end as summary from memories")
+def summaries_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live memory without a summary gets one from an offline model that repeats the title."""
+    return lifecycle.backfill_summaries(load(spark, sf_dir, "memories"), lambda title, content: title)[0].select("id", "summary")
+
+
+@register("""with n as (select file_id, count(*) as n from code_chunks group by 1) select file_id as file, part::int as part, true as bounded from (select file_id, unnest(range(case when n > 8000 then ceil(n / 8000.0)::int else 1 end)) as part from n)""")
+def context_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of chunks in requests to a contextual embedder, and whether each request keeps to its bounds."""
+    chunks = load(spark, sf_dir, "code_chunks")
+    got = materialize(lifecycle.contextual_requests(chunks, "file_id", "start_line"), "requests")
+    sizes = got.join(chunks.groupBy(F.col("file_id").alias("file")).agg(F.count(F.lit(1)).alias("n")), "file").groupBy("request").agg(F.count(F.lit(1)).alias("f"), F.sum(F.least("n", F.lit(lifecycle.CONTEXT_CHUNKS))).alias("n"))
+    ok = (F.col("f") <= lifecycle.CONTEXT_FILES) & (F.col("n") <= lifecycle.CONTEXT_CHUNKS)
+    return got.join(sizes.select("request", ok.alias("bounded")), "request").select("file", "part", "bounded")
+
+
+def _word_judge(batch: list[tuple[str, str]]) -> str:
+    """The fixed rule of an offline judge: sides that share nine tenths of their words are the same, and the later one stays."""
+    import json
+
+    words = lambda s: set((s or "").lower().split())
+    same = [len(words(a) & words(b)) >= 0.9 * max(1, len(words(a) | words(b))) for a, b in batch]
+    return json.dumps({str(i): {"verdict": int(s), "keep": "b"} for i, s in enumerate(same, 1)})
+
+
 @register()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-aware snippets of the best hits."""
@@ -335,6 +420,21 @@ def flagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.flagged_pairs(rows, "id", "flags")
 
 
+_SIDE = "list_distinct(list_filter(string_split_regex(lower(substr(concat_ws(': ', title, regexp_replace(coalesce(nullif(summary, ''), content), '\\s+', ' ', 'g')), 1, 700)), '\\s+'), lambda x: x <> ''))"
+
+
+@register(f"""with {_PAIRS}, sd as (select id, {_SIDE} as w, coalesce(pinned, false) as pin from memories),
+jd as (select p.*, len(list_intersect(x.w, y.w)) >= 0.9 * greatest(1, len(list_distinct(list_concat(x.w, y.w)))) as same, x.pin, row_number() over (order by case when source = 'sweep' then 1 else 0 end, sim desc, a, b) as r from pairs p join sd x on x.id = a join sd y on y.id = b),
+vd as (select *, case when not same then 0 when pin then -1 else 1 end as verdict from jd)
+select a, b, sim, source, verdict::int as verdict, case when verdict = 1 then 'b' end as keep, verdict >= 0 and r <= greatest(1, (select count(*) from pairs) // 2) as carried from vd""")
+def consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consolidation in two runs: the first judges half of the candidates, the second takes its report over and judges the rest."""
+    rows = load(spark, sf_dir, "memories")
+    pairs = materialize(_pairs(spark, sf_dir), "pairs")
+    first = materialize(lifecycle.consolidate(rows, pairs, _word_judge, limit=max(1, pairs.count() // 2)), "report")
+    return lifecycle.consolidate(rows, pairs, _word_judge, carried=first).select("a", "b", "sim", "source", "verdict", "keep", "carried")
+
+
 @register()
 def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs judged by a fixed rule (equal sides are the same) and applied in order."""
@@ -342,14 +442,7 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = rows.select("id", dedup.judge_side(F.col("title"), F.col("summary"), F.col("content")).alias("side"), "pinned")
     pairs = _pairs(spark, sf_dir).join(side.toDF("a", "side_a", "pinned_a"), "a").join(side.toDF("b", "side_b", "pinned_b"), "b")
 
-    def judge(batch: list[tuple[str, str]]) -> str:
-        import json
-
-        words = lambda s: set((s or "").lower().split())
-        same = [len(words(a) & words(b)) >= 0.9 * max(1, len(words(a) | words(b))) for a, b in batch]
-        return json.dumps({str(i): {"verdict": int(s), "keep": "b"} for i, s in enumerate(same, 1)})
-
-    judged = materialize(dedup.judge_pairs(pairs, judge).withColumn("seq", F.xxhash64("a", "b")), "judged")
+    judged = materialize(dedup.judge_pairs(pairs, _word_judge).withColumn("seq", F.xxhash64("a", "b")), "judged")
     after = dedup.apply_judged(rows.select("id", "status", "superseded_by", "pinned", "source_kind", "archived_at"), judged)
     return after.select("id", "status", "superseded_by")
 
@@ -375,7 +468,7 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_total(rows, "doc_id", "t").select("doc_id", F.floor(F.col("before") / 100_000).alias("batch_no"))
 
 
-@register()
+@register("select n_nationkey::varchar as name, n_name as value, 'nation' as description from nation")
 def secret_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name of each nation kept as a secret and read back."""
     rows = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("value"), F.lit("nation").alias("description"))
