@@ -29,9 +29,16 @@ def exact_groups(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     return rows.join(groups, names).select("id", "keep_id", "copies")
 
 
+#: Rows of a bucket, and the most that a cosine by 16-bit components can be off: twice the rounding error of 1,024 components.
+BUCKET_ROWS, SLACK = 512, 2 * 2 * math.sqrt(1024) * 0.5 / 32767
+
+
 def plan_bits(rows: int, threshold: float, miss: float = 1e-6) -> tuple[int, int]:
-    """(tables, bits) of sign hashing, so that a pair at the threshold is missed with a probability of `miss` at most."""
-    bits = max(4, math.ceil(math.log2(max(rows, 2) / 32)))
+    """(tables, bits) of sign hashing, so that a pair at the threshold is missed with a probability of `miss` at most.
+
+    Buckets hold BUCKET_ROWS rows on average: comparing these costs less than the tables that smaller ones would need.
+    """
+    bits = max(4, math.ceil(math.log2(max(rows, 2) / BUCKET_ROWS)))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return math.ceil(math.log(miss) / math.log(1 - agree)), bits
 
@@ -41,7 +48,9 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
 
     Signs of random projections put each row in one bucket of each table; rows that share a bucket are compared exactly.
     A pair at the threshold is missed with a probability of a millionth, closer ones with less. Null, all-zero and
-    odd-sized vectors don't take part. A bucket is compared in blocks and gives each row its nearest few only.
+    odd-sized vectors don't take part. Vectors travel to the buckets at 16 bits a component; a bucket is compared in
+    blocks and gives each row its nearest few, and all that the rounding may have put behind them, whose cosines are then
+    computed exactly.
     """
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -53,6 +62,12 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     weights = 1 << np.arange(bits, dtype=np.int64)
     usable = rows.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
+    usable = materialize(usable.select(F.monotonically_increasing_id().alias("rid"), "id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")), "usable")
+    # equal vectors are one row: what would be all pairs of copies is never made
+    firsts = usable.groupBy("h1", "h2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies"))
+    many = materialize(firsts.where("copies > 1").drop("copies"), "many")
+    named = materialize(usable.select("rid", "id", "h1", "h2").join(many, ["h1", "h2"], "left").select("rid", "id", F.coalesce("first", "rid").alias("first")), "named")
+    usable = usable.join(named.where("first <> rid").select("rid"), "rid", "left_anti").select("rid", "id", "v")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,35 +76,48 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
             ok = np.flatnonzero(np.isfinite(norm) & (norm > 0))
             code = ((x[ok] @ planes) > 0).reshape(len(ok), tables, bits) @ weights + (np.arange(tables, dtype=np.int64) << 32)
             at = np.repeat(ok, tables)
-            q = (x / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
-            data = [q[i].tobytes() for i in ok]
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), b.column("id").take(pa.array(at)), pa.array([d for d in data for _ in range(tables)], pa.binary())], ["bucket", "id", "q"])
+            q = np.rint(x[ok] / norm[ok, None] * 32767).astype(np.int16)
+            data = pa.array([r.tobytes() for r in q], pa.binary()).take(pa.array(np.repeat(np.arange(len(ok)), tables)))
+            yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), b.column("rid").take(pa.array(at)), data], ["bucket", "rid", "q"])
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id").combine_chunks()
-        ids = group.column("id").chunk(0) if isinstance(group.column("id"), pa.ChunkedArray) else group.column("id")
-        x = np.frombuffer(b"".join(group.column("q").to_pylist()), np.float32).reshape(-1, dim)
+        ids = group.column("rid").to_numpy()
+        x = np.frombuffer(b"".join(group.column("q").to_pylist()), np.int16).reshape(-1, dim).astype(np.float32)
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(x), 1024):
             sims = x[at : at + 1024] @ x.T
             sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
-            i, j = np.nonzero(sims > threshold - 1e-4)
-            if top is not None:  # a few more than asked for, as the order is settled in double precision
-                order = np.lexsort((j, -sims[i, j], i))
-                i, j = i[order], j[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < top + 8
+            i, j = np.nonzero(sims > threshold - SLACK)
+            if top is not None and len(i):
+                v = sims[i, j]
+                order = np.lexsort((-v, i))
+                i, j, v = i[order], j[order], v[order]
+                first = np.searchsorted(i, i)
+                last = v[np.minimum(first + top - 1, np.searchsorted(i, i, "right") - 1)]  # the last that is asked for
+                keep = v >= last - 2 * SLACK
                 i, j = i[keep], j[keep]
-            left.append(at + i)
-            right.append(j)
-        return pa.table([ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+            left.append(ids[at + i])
+            right.append(ids[j])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
-    found = usable.mapInArrow(hashed, f"bucket long, id {kind}, q binary").groupBy("bucket").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    found = usable.select("rid", "v").mapInArrow(hashed, "bucket long, rid long, q binary").groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
     found = materialize(found, "pairs")
-    both = found.join(usable.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(usable.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > threshold).toDF("id", "near_id", "cosine")
+    v = usable.select("rid", "v")
+    both = found.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+    own = v.join(many.select(F.col("first").alias("rid")), "rid").select(F.col("rid").alias("a"), F.col("rid").alias("b"), cosine(F.col("v"), F.col("v")).alias("cosine"))
+    near = both.union(own).where((F.col("cosine") > threshold) & ~F.isnan("cosine"))
+    members = named.select(F.col("first").alias("b"), F.col("id").alias("near_id"))
+    if top is not None:  # no more than the top + 1 least ids of a class can be among the nearest of a row
+        members = members.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy("near_id"))).where(F.col("_r") <= top + 1).drop("_r")
+    pairs = near.join(members, "b").select("a", "near_id", "cosine")
+    if top is not None:
+        pairs = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "near_id"))).where(F.col("_r") <= top + 1).drop("_r")
+    out = named.select(F.col("first").alias("a"), "id").join(pairs, "a").where("id <> near_id").select("id", "near_id", "cosine")
     if top is None:
-        return both
+        return out
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "near_id")
-    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
 
 def flags(near: DataFrame) -> DataFrame:
