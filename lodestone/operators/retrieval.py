@@ -17,6 +17,8 @@ from ..functions.stem import analyze
 from ..functions.text import effective_date, snippet, tokens
 from ..session import materialize
 
+#: Kinds of memories.
+TYPES = ("episodic", "semantic", "procedural", "entity")
 #: Rows each arm recalls, rows of the fused pool, the constant of reciprocal ranks.
 ARM_LIMIT, POOL_LIMIT, RRF_K = 50, 25, 60
 
@@ -44,6 +46,40 @@ class Blend:
             raise ValueError("weights must be finite and not negative, tau and power positive")
 
 
+def parse_blend(given: dict[str, str | None]) -> Blend:
+    """A blend from settings as text, by the names of its fields; unset and empty ones keep their defaults. Raises ValueError, naming the setting, for any that can't be read.
+
+    tau_by_type is a JSON object of types and days; `exempt` lists types and kinds, as in 'type:entity,source_kind:decision'.
+    """
+    import json
+
+    out: dict = {}
+    for name, raw in given.items():
+        if raw is None or raw.strip() == "":
+            continue
+        try:
+            if name in ("form", "shape"):
+                out[name] = raw
+            elif name in ("relevance", "recency", "importance", "tau", "power"):
+                out[name] = float(raw)
+            elif name == "tau_by_type":
+                got = json.loads(raw)
+                if not isinstance(got, dict) or any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in got.values()):
+                    raise ValueError("not an object of numbers")
+                out[name] = {k: float(v) for k, v in got.items()}
+            elif name == "exempt":
+                parts = [x.strip().partition(":") for x in raw.split(",") if x.strip()]
+                if any(k not in ("type", "source_kind") or not v for k, _, v in parts) or any(k == "type" and v not in TYPES for k, _, v in parts):
+                    raise ValueError("not a list of types and kinds")
+                out["exempt_types"] = tuple(v for k, _, v in parts if k == "type")
+                out["exempt_kinds"] = tuple(v for k, _, v in parts if k == "source_kind")
+            else:
+                raise ValueError("no such setting")
+        except ValueError as e:
+            raise ValueError(f"{name}={raw!r}: {e}") from None
+    return Blend(**out)
+
+
 #: The arms that are compared with each other.
 ARMS = {
     "A0": Blend(),

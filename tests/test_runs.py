@@ -213,3 +213,14 @@ def test_transcript_blocks(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)))
     text = read_transcripts(spark, f"file://{tmp_path}/t.jsonl").first().transcript
     assert "assistant: one one" in text and "two" in text and "tool_use" not in text and text.endswith("user: [not blocks")
+
+
+def test_settings_of_a_blend():
+    from lodestone.operators.retrieval import Blend, parse_blend
+
+    assert parse_blend({"relevance": "", "tau": None}) == Blend()
+    got = parse_blend({"tau": "45", "shape": "power", "tau_by_type": '{"semantic": 90}', "exempt": "type:entity, source_kind:decision"})
+    assert (got.tau, got.shape, got.tau_by_type, got.exempt_types, got.exempt_kinds) == (45.0, "power", {"semantic": 90.0}, ("entity",), ("decision",))
+    for bad in ({"tau": "x"}, {"tau": "-1"}, {"tau": "nan"}, {"shape": "log"}, {"tau_by_type": "[1]"}, {"tau_by_type": '{"a": "b"}'}, {"exempt": "type:other"}, {"exempt": "source_kind:"}, {"nothing": "1"}):
+        with pytest.raises(ValueError):
+            parse_blend(bad)
