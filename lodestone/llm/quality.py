@@ -66,6 +66,20 @@ def _fresh(ws: list[str], before: list[str], runs: set[tuple[str, ...]]) -> floa
     return 1 - sum(len(w) for w, o in zip(ws, old[at:]) if o) / total if total else 1.0
 
 
+def _without_filler(sentences: list[tuple[int, int, list[str]]]) -> float:
+    """Characters of the sentence lines of a document, but for runs of words that stood before in it, across lines and whether or not they end in marks."""
+    whole = [w for _, _, ws in sentences for w in ws]
+    if len(whole) < RUN or len(set(zip(*(whole[i:] for i in range(RUN))))) == len(whole) - RUN + 1:
+        return sum(n + p for n, p, _ in sentences)
+    runs: set[tuple[str, ...]] = set()
+    last: list[str] = []
+    out = 0.0
+    for n, p, ws in sentences:
+        out += n * _fresh(ws, last, runs) + p
+        last = (last + ws)[1 - RUN :]
+    return out
+
+
 def is_prose(share: float, common: float, listed: float, lines: float, paragraphs: float, ngram: float) -> bool:
     """The combined rule: mostly sentences, not dominated by repetition of lines, paragraphs or one n-gram, and no bare list."""
     repeated = lines >= MOST_REPEATED_LINES or paragraphs >= MOST_REPEATED_PARAGRAPHS or ngram >= MOST_NGRAM
@@ -92,9 +106,8 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     lang = max(sorted(hits), key=hits.__getitem__, default=None) if any(hits.values()) else None
     known = common.get(lang, frozenset()) if lang else frozenset()
     n = len(bare)
-    chars = prose = listed = ended = 0
-    runs: set[tuple[str, ...]] = set()
-    last: list[str] = []
+    chars = listed = ended = 0
+    sentences: list[tuple[int, int, list[str]]] = []  # characters, those of the prefix, words
     before = False
     for line, body, m, core, low in parts:
         marked = LIST_MARK.match(line) is not None
@@ -121,9 +134,8 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
         else:
             before = good and not body.endswith((".", "?", "!"))
         if good:
-            # runs of words that stood before in the document are filler, across lines and whether or not they end in marks
-            prose += (len(core) + 1) * _fresh(low, last, runs) + (m.end() if m else 0)
-            last = (last + low)[1 - RUN :]
+            sentences.append((len(core) + 1, m.end() if m else 0, low))
+    prose = _without_filler(sentences)
     letters = sum(map(len, bare))
     three = list(zip(*(bare[i:] for i in range(NGRAM))))
     top = 0.0
