@@ -352,7 +352,7 @@ def neighbour_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 5, spread
     return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour_id", "rank", F.col("s").cast("double").alias("cosine"))
 
 
-def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int = 5, beam: int = 32, hops: int = 12, seed: int = 42) -> DataFrame:
+def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int = 5, beam: int = 64, hops: int = 16, seed: int = 42, spread: int = 5, cell_rows: int = 32_768) -> DataFrame:
     """(query_id, id, rank, cosine): for each row of `queries` (same columns) the k rows of df nearest to it, by greedy walks.
 
     Each walk starts at the `beam` / 2 nearest of at most MOST_CENTRES sampled rows; in every hop the unvisited neighbours of its best rows join the
@@ -364,7 +364,7 @@ def graph_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
     kind = df.schema[id_col].dataType.simpleString()
     if not dim:
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, rank int, cosine double")
-    edges = _graph(vectors, dim, k, k, 4, 3, seed, 0.01)
+    edges = _graph(vectors, dim, k, k, spread, 3, seed, 0.02, cell_rows)
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "walks")
     rids, data = _sample(vectors, vectors.count(), seed)
     some = np.random.default_rng(seed).choice(len(rids), min(len(rids), MOST_CENTRES), replace=False)
