@@ -68,8 +68,8 @@ def _chunker(mask_bits: int):
     return run
 
 
-#: Zero bits that end a chunk (of four words on average), and the share of common chunks from which a pair is a candidate.
-MASK_BITS, CHUNK_SHARE = 2, 0.2
+#: Zero bits that end a chunk (of two words on average), and the share of common chunks from which a pair is a candidate: much less would bring together all records that share one frequent chunk.
+MASK_BITS, CHUNK_SHARE = 1, 0.4
 
 
 def _across(a: str = "a", b: str = "b") -> str:
