@@ -29,8 +29,8 @@ def exact_groups(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     return rows.join(groups, names).select("id", "keep_id", "copies")
 
 
-#: Rows of a bucket, and the most that a cosine by 16-bit components can be off: twice the rounding error of 1,024 components.
-BUCKET_ROWS, SLACK = 512, 2 * 2 * math.sqrt(1024) * 0.5 / 32767
+#: Rows of a bucket.
+BUCKET_ROWS = 512
 
 
 def plan_bits(rows: int, threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -48,9 +48,9 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
 
     Signs of random projections put each row in one bucket of each table; rows that share a bucket are compared exactly.
     A pair at the threshold is missed with a probability of a millionth, closer ones with less. Null, all-zero and
-    odd-sized vectors don't take part. Vectors travel to the buckets at 16 bits a component; a bucket is compared in
-    blocks and gives each row its nearest few, and all that the rounding may have put behind them, whose cosines are then
-    computed exactly.
+    odd-sized vectors don't take part. Vectors travel to the buckets at 8 bits a component; a bucket is compared in
+    blocks and gives each row its nearest few, and all that the rounding, which is bounded by the length of a code, may have
+    put behind them; their cosines are then computed exactly.
     """
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -76,26 +76,30 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, threshold: float = DU
             ok = np.flatnonzero(np.isfinite(norm) & (norm > 0))
             code = ((x[ok] @ planes) > 0).reshape(len(ok), tables, bits) @ weights + (np.arange(tables, dtype=np.int64) << 32)
             at = np.repeat(ok, tables)
-            q = np.rint(x[ok] / norm[ok, None] * 32767).astype(np.int16)
+            q = np.rint(x[ok] * (127 / np.abs(x[ok]).max(1, initial=1e-300))[:, None]).astype(np.int8)
             data = pa.array([r.tobytes() for r in q], pa.binary()).take(pa.array(np.repeat(np.arange(len(ok)), tables)))
             yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), b.column("rid").take(pa.array(at)), data], ["bucket", "rid", "q"])
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("rid").to_numpy()
-        x = np.frombuffer(b"".join(group.column("q").to_pylist()), np.int16).reshape(-1, dim).astype(np.float32)
-        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x = np.frombuffer(b"".join(group.column("q").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        off = (1.001 * math.sqrt(dim) / length + 1e-5).astype(np.float32)  # twice the most that rounding turns a vector by
+        x /= length[:, None]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(x), 1024):
             sims = x[at : at + 1024] @ x.T
             sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
-            i, j = np.nonzero(sims > threshold - SLACK)
+            slack = off[at : at + 1024, None] + off[None, :]
+            i, j = np.nonzero(sims > threshold - slack)
             if top is not None and len(i):
-                v = sims[i, j]
-                order = np.lexsort((-v, i))
-                i, j, v = i[order], j[order], v[order]
-                first = np.searchsorted(i, i)
-                last = v[np.minimum(first + top - 1, np.searchsorted(i, i, "right") - 1)]  # the last that is asked for
-                keep = v >= last - 2 * SLACK
+                low, high = sims[i, j] - slack[i, j], sims[i, j] + slack[i, j]
+                order = np.lexsort((-low, i))
+                i, j, low, high = i[order], j[order], low[order], high[order]
+                # as many as are asked for are surely at least this near
+                last = low[np.minimum(np.searchsorted(i, i) + top - 1, np.searchsorted(i, i, "right") - 1)]
+                full = np.searchsorted(i, i, "right") - np.searchsorted(i, i) > top
+                keep = ~full | (high >= last)
                 i, j = i[keep], j[keep]
             left.append(ids[at + i])
             right.append(ids[j])
